@@ -30,8 +30,10 @@ CALL_ALIASES = {
 }
 
 INCIDENT_TYPES = {"fir_id": "string", "date_time": "timestamp_ntz", "crime_type": "string",
-                  "latitude": "double", "longitude": "double", "accused_list": "string",
-                  "victim_list": "string"}
+                  "latitude": "double", "longitude": "double"}
+# Person lists are kept only when the input has them (no all-null columns
+# that later stages would scan and explode for nothing).
+LIST_COLS = ("accused_list", "victim_list")
 CALL_TYPES = {"cdr_id": "string", "caller_id": "string", "receiver_id": "string",
               "start_time": "timestamp_ntz", "duration_seconds": "double",
               "tower_lat": "double", "tower_lon": "double", "imei": "string"}
@@ -96,8 +98,7 @@ def normalize_incidents(df: DataFrame, source: str | None = None) -> DataFrame:
         "date_time": parse_time("date_time"),
         "latitude": parse_number("latitude"),
         "longitude": parse_number("longitude"),
-        "accused_list": F.col("accused_list").cast("string"),
-        "victim_list": F.col("victim_list").cast("string"),
+        **{c: F.col(c).cast("string") for c in LIST_COLS if c in df.columns},
     })
     if source is not None:
         df = df.withColumn("source", F.lit(source))

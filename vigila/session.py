@@ -66,6 +66,43 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def cut_lineage(df, spark: SparkSession | None = None):
     """Reliable checkpoint (survives executor loss) of an iterative state."""
+    from pyspark import StorageLevel
     spark = spark or df.sparkSession
     checkpoint_dir(spark)
-    return df.checkpoint(eager=True)
+    # Persist first: the checkpoint write then reads the cached blocks
+    # instead of recomputing the plan a second time.
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
+
+
+class RoundState:
+    """Materialises the state of an iterative job round by round.
+
+    Rounds are persisted; every ``every`` rounds the state is written as a
+    reliable checkpoint (shared folder, survives executor loss) and the
+    persisted rounds before it are released.  Releasing a round earlier
+    would make Spark re-plan every cached round derived from it, so the
+    caches are only dropped once the checkpoint has cut the lineage."""
+
+    def __init__(self, every: int = 5):
+        self.every = max(1, every)
+        self.held: list = []
+        self.round = 0
+
+    def keep(self, df):
+        from pyspark import StorageLevel
+        self.round += 1
+        if self.round % self.every == 0:
+            out = cut_lineage(df)
+            self.release()
+            return out
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        self.held.append(df)
+        return df
+
+    def release(self):
+        for d in self.held:
+            d.unpersist(blocking=False)
+        self.held = []
