@@ -86,11 +86,31 @@ def ring_contains(ring, x, y) -> Column:
         .otherwise(F.lit(False))
 
 
+def on_ring(ring, x, y) -> Column:
+    """True when (x, y) lies on an edge of the ring (zero cross product
+    and inside the edge's bounding box)."""
+    ring, x, y = _c(ring), _c(x), _c(y)
+    n = F.size(ring)
+
+    def step(acc, i):
+        a = F.element_at(ring, i + 1)
+        b = F.element_at(ring, i + 2)
+        cross = (b["x"] - a["x"]) * (y - a["y"]) - (b["y"] - a["y"]) * (x - a["x"])
+        inside = ((x >= F.least(a["x"], b["x"])) & (x <= F.greatest(a["x"], b["x"]))
+                  & (y >= F.least(a["y"], b["y"])) & (y <= F.greatest(a["y"], b["y"])))
+        return acc | ((cross == 0) & inside)
+
+    return F.when(n >= 2, F.aggregate(F.sequence(F.lit(0), n - 2), F.lit(False), step)).otherwise(F.lit(False))
+
+
 def rings_contain(rings, x, y) -> Column:
-    """Even-odd rule over all rings of a polygon (outer ring plus holes)."""
+    """Strict containment ("within"): even-odd rule over all rings of a
+    polygon (outer ring plus holes), points on any edge excluded."""
     rings = _c(rings)
     flags = F.transform(rings, lambda r: ring_contains(r, x, y).cast("int"))
-    return (F.aggregate(flags, F.lit(0), lambda a, b: a + b) % 2) == 1
+    inside = (F.aggregate(flags, F.lit(0), lambda a, b: a + b) % 2) == 1
+    edge = F.exists(rings, lambda r: on_ring(r, x, y))
+    return inside & ~edge
 
 
 def ring_centroid(ring) -> Column:
