@@ -72,7 +72,7 @@ def q_kde_cells(spark, sf):
     return k.select("cell_id", r6("kde_score").alias("kde_score"))
 
 
-SQL_kde_cells = _with(SQL_INCIDENT, SQL_PTS, """
+_KDE_CTES = _with(SQL_INCIDENT, SQL_PTS, """
 b as (select min(x) as minx, min(y) as miny, max(x) as maxx, max(y) as maxy from pts),
 n as (select *, cast(floor((maxx-minx)/500.0) as bigint) + 1 as nx,
              cast(floor((maxy-miny)/500.0) as bigint) + 1 as ny from b),
@@ -81,7 +81,9 @@ cells as (select 'cell_' || ix || '_' || iy as cell_id, (minx + ix*500.0) + 250.
 recent as (select x, y from pts where date_time >= (select max(date_time) from pts) - interval 72 hour),
 dens as (select c.cell_id, coalesce(sum(exp(-(pow(c.cx - r.x, 2) + pow(c.cy - r.y, 2)) / 2000000.0)), 0)
                  / ((select count(*) from recent) * pi() * 2000000.0) as raw
-         from cells c left join recent r on true group by c.cell_id)""") + """
+         from cells c left join recent r on true group by c.cell_id)""")
+
+SQL_kde_cells = _KDE_CTES + """
 select cell_id, round((raw - (select min(raw) from dens)) /
        ((select max(raw) from dens) - (select min(raw) from dens) + 1e-9), 6) as kde_score
 from dens"""
@@ -128,3 +130,37 @@ register("near_tower", q_near_tower, SQL_near_tower)
 register("kde_cells", q_kde_cells, SQL_kde_cells)
 register("knn_cells", q_knn_cells, SQL_knn_cells)
 register("routes", q_routes, None)
+
+
+ALERT_THRESHOLD = 0.7
+
+
+def q_alert_windows(spark, sf):
+    """The streaming alert operator applied to the whole incident view as a
+    batch: sliding 60/5-minute windows of incidents per cell whose density
+    score is at or above the threshold."""
+    from ..streaming.alerts import prepare_incidents, alert_counts, grid_parameters
+    inc = clean_incidents_df(spark, sf)
+    pts = S.project(inc).where(F.col("x").isNotNull())
+    spec = S.grid_spec(pts, CELL)
+    cells = S.grid_cells(spec)
+    grid = S.kde_cells(inc, cells, KDE_BANDWIDTH, KDE_HOURS).withColumnRenamed("kde_score", "combined_prob_24h")
+    a = alert_counts(prepare_incidents(inc), grid, grid_parameters(spec), ALERT_THRESHOLD)
+    return a.select("cell_id", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
+                    F.date_format("window_end", "yyyy-MM-dd HH:mm:ss").alias("window_end"),
+                    r6("prob").alias("prob"), "n_incidents", "msg")
+
+
+SQL_alert_windows = _KDE_CTES + """,
+kde as (select cell_id, (raw - (select min(raw) from dens)) /
+       ((select max(raw) from dens) - (select min(raw) from dens) + 1e-9) as prob from dens),
+hot as (select cell_id, prob from kde where prob >= 0.7),
+win as (select a.cell_id, h.prob, time_bucket(interval 5 minute, a.date_time) - to_minutes(5 * r.k) as ws
+        from assigned a join hot h on h.cell_id = a.cell_id, range(0, 12) r(k))
+select cell_id, strftime(ws, '%Y-%m-%d %H:%M:%S') as window_start,
+       strftime(ws + interval 60 minute, '%Y-%m-%d %H:%M:%S') as window_end, round(prob, 6) as prob,
+       count(*) as n_incidents,
+       printf('Emerging hotspot %s prob=%.3f recent_events=%d', cell_id, prob, count(*)) as msg
+from win group by cell_id, ws, prob"""
+
+register("alert_windows", q_alert_windows, SQL_alert_windows)
