@@ -208,7 +208,9 @@ def cross_source_graph(incident_sets: list[DataFrame], call_sets: list[DataFrame
     ``scope_by_source`` ids are ``Label::source::key`` so jurisdictions only
     meet through towers, otherwise one person or phone links sources."""
     nparts, eparts = [], []
-    inc = _union([i.select("fir_id", "crime_type", "date_time", "latitude", "longitude", "accused_list", "source")
+    from .normalize import ensure_cols
+    inc = _union([ensure_cols(i, {"accused_list": "string"})
+                  .select("fir_id", "crime_type", "date_time", "latitude", "longitude", "accused_list", "source")
                   for i in incident_sets]) if incident_sets else None
     cal = _union([c.select("cdr_id", "caller_id", "receiver_id", "start_time", "duration_seconds",
                            "tower_lat", "tower_lon", "source") for c in call_sets]) if call_sets else None

@@ -213,11 +213,11 @@ def read_folder(spark: SparkSession, folder: str) -> dict[str, list[tuple[str, D
             continue
         if df is None:
             continue
-        cols = df.columns
-        if "properties" in cols:  # GeoJSON: classify on property names is not possible lazily
-            kind = "FIR"
-        else:
-            kind = classify_columns(cols)
+        if "properties" in df.columns:  # GeoJSON: lift the (few) property keys into columns
+            keys = sorted(r[0] for r in df.select(F.explode(F.map_keys("properties"))).distinct().collect())
+            df = df.select(*[F.col("properties")[k].alias(k) for k in keys],
+                           *[c for c in df.columns if c not in ("properties", *keys)])
+        kind = classify_columns(df.columns)
         out[kind].append((fp.stem, df))
     return out
 
