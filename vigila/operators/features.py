@@ -62,15 +62,57 @@ def exact_median(df: DataFrame, col: str, band_limit: int = BAND_LIMIT) -> float
     return (picked["a"] + picked["b"]) / 2.0
 
 
+def exact_medians(df: DataFrame, cols: list[str], band_limit: int = BAND_LIMIT) -> dict:
+    """Exact medians of several columns with shared passes: one count pass,
+    one ``percentile_approx`` pass bracketing the middle ranks of every
+    column, one pass counting rows below / inside each bracket; columns
+    whose bracket is still too wide fall back to :func:`exact_median`."""
+    if not cols:
+        return {}
+    cnt = df.agg(*[F.count(F.when(~F.isnan(F.col(c).cast("double")), F.col(c))).alias(c) for c in cols]).first()
+    out, todo = {}, []
+    for c in cols:
+        n = cnt[c]
+        if n == 0:
+            out[c] = None
+        else:
+            todo.append((c, n, (n - 1) // 2, n // 2))
+    if not todo:
+        return out
+    eps = 0.01
+    qs = df.agg(*[F.percentile_approx(F.col(c).cast("double"), [max(0.0, r0 / n - eps), min(1.0, (r1 + 1) / n + eps)],
+                                      100_000).alias(c) for c, n, r0, r1 in todo]).first()
+    st = df.agg(*[F.count_if(F.col(c).cast("double") < qs[c][0]).alias(f"lt_{c}") for c, *_ in todo],
+                *[F.count_if((F.col(c).cast("double") >= qs[c][0]) & (F.col(c).cast("double") <= qs[c][1]))
+                  .alias(f"in_{c}") for c, *_ in todo]).first()
+    for c, n, r0, r1 in todo:
+        lo, hi, lt, inb = qs[c][0], qs[c][1], st[f"lt_{c}"], st[f"in_{c}"]
+        if lt <= r0 and lt + inb > r1 and inb <= band_limit:
+            band = df.select(F.col(c).cast("double").alias("v")).where((F.col("v") >= lo) & (F.col("v") <= hi))
+            picked = (band.withColumn("_r", F.row_number().over(W.orderBy("v")) - 1 + F.lit(lt))
+                      .where(F.col("_r").isin(r0, r1))
+                      .agg(F.avg(F.when(F.col("_r") == r0, F.col("v"))).alias("a"),
+                           F.avg(F.when(F.col("_r") == r1, F.col("v"))).alias("b")).first())
+            out[c] = (picked["a"] + picked["b"]) / 2.0
+        elif lt <= r0 and lt + inb > r1 and lo == hi:
+            out[c] = float(lo)
+        else:
+            out[c] = exact_median(df, c, band_limit)
+    return out
+
+
 def impute_median(df: DataFrame, cols: list[str]) -> DataFrame:
     """M1: add absent columns as null, then fill nulls with the exact median
-    (a column with no values at all stays null, as nothing is learnt)."""
+    (a column with no values at all stays null, as nothing is learnt).
+    Columns without nulls need no statistic and are skipped."""
     for c in cols:
         if c not in df.columns:
             df = df.withColumn(c, F.lit(None).cast("double"))
-    fills = {c: exact_median(df, c) for c in cols}
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(v)) if v is not None
-                           else F.col(c).cast("double") for c, v in fills.items()})
+    nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
+    need = [c for c in cols if nulls[c] > 0]
+    fills = exact_medians(df, need)
+    return df.withColumns({c: (F.coalesce(F.col(c).cast("double"), F.lit(fills[c])) if fills.get(c) is not None
+                               else F.col(c).cast("double")) for c in cols})
 
 
 def standard_scale(df: DataFrame, cols: list[str], fit_on: DataFrame | None = None) -> DataFrame:
@@ -106,8 +148,10 @@ def one_hot(df: DataFrame, cols: list[str], prefix: str = "cat") -> tuple[DataFr
 def incident_features(mapped: DataFrame, crime_col: str = "crime_type") -> DataFrame:
     """M4: hour and weekday (Monday = 0) of the incident, median-imputed and
     standard-scaled call statistics, one-hot categories."""
-    df = mapped.withColumns({"hour": F.hour("date_time").cast("double"),
-                             "dayofweek": F.weekday("date_time").cast("double")})
+    from ..session import cut_lineage
+    # several statistics passes read this table: materialise it once
+    df = cut_lineage(mapped.withColumns({"hour": F.hour("date_time").cast("double"),
+                                         "dayofweek": F.weekday("date_time").cast("double")}))
     df = impute_median(df, NUMERIC_FEATURES)
     df = standard_scale(df, NUMERIC_FEATURES)
     cats = [crime_col] + [c for c in CATEGORY_FEATURES if c != crime_col]

@@ -140,12 +140,14 @@ def heuristic_link_scores(nodes: DataFrame, edges: DataFrame, top_n: int = 1000,
 
 def stratified_split(df: DataFrame, label: str = "label", test_size: float = 0.2, seed: int = 42,
                      keys=("u", "v")) -> DataFrame:
-    """M6: repeatable stratified split; adds ``is_test``.  Within each
-    class the rows are ranked by a seeded hash and the last ``test_size``
-    share goes to test (the per-class window holds at most the sample)."""
-    h = hash64(f"{seed}s", F.concat_ws("|", *keys))
-    w = W.partitionBy(label).orderBy(h, *keys)
-    return df.withColumn("is_test", F.percent_rank().over(w) >= F.lit(1.0 - test_size))
+    """M6: repeatable split; adds ``is_test``.  Each row goes to test when
+    its seeded key hash, scaled to [0, 1), falls below ``test_size`` - a
+    per-row decision, so every class keeps the test share in expectation
+    and no class is gathered into one task (a per-class rank window
+    would put a whole class in one partition)."""
+    h = hash64(f"{seed}s", F.concat_ws("|", F.col(label).cast("string"), *keys))
+    u = (h % F.lit(1_000_000_007)) / F.lit(1_000_000_007.0)
+    return df.withColumn("is_test", u < F.lit(float(test_size)))
 
 
 def fit_scaler(df: DataFrame, cols: list[str]) -> dict:

@@ -41,7 +41,10 @@ def train_forest(df: DataFrame, feature_cols: list[str], label: str = "label", n
         const = float(classes[0]) if classes else 0.0
         return {"model": None, "constant": const, "scaler": scaler, "auc": None, "features": feature_cols}
     rf = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=n_trees, seed=seed)
-    model = rf.fit(apply_scaler(train, scaler).withColumn(label, F.col(label).cast("double")))
+    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fit_rows = apply_scaler(train, scaler).withColumn(label, F.col(label).cast("double")) \
+        .select("features", label).repartition(n_parts)
+    model = rf.fit(fit_rows)
     test = data.where(F.col("is_test"))
     scored = model.transform(apply_scaler(test, scaler)).withColumn("score", vector_to_array("probability")[1])
     auc = auc_ap(scored, "score", label).first()["auc"]

@@ -86,18 +86,28 @@ class RoundState:
     would make Spark re-plan every cached round derived from it, so the
     caches are only dropped once the checkpoint has cut the lineage."""
 
-    def __init__(self, every: int = 5):
+    def __init__(self, every: int = 5, lazy: bool = False):
         self.every = max(1, every)
+        self.lazy = lazy
         self.held: list = []
         self.round = 0
 
-    def keep(self, df):
+    def due(self) -> bool:
+        """Whether the next :meth:`keep` will checkpoint."""
+        return (self.round + 1) % self.every == 0
+
+    def keep(self, df, force: bool = False):
+        """``lazy`` states are only materialised at checkpoints (the rounds
+        in between run as one chained job); otherwise each round is
+        persisted for a per-round action."""
         from pyspark import StorageLevel
         self.round += 1
-        if self.round % self.every == 0:
+        if force or self.round % self.every == 0:
             out = cut_lineage(df)
             self.release()
             return out
+        if self.lazy:
+            return df
         df = df.persist(StorageLevel.MEMORY_AND_DISK)
         self.held.append(df)
         return df
