@@ -208,3 +208,19 @@ def test_supervised_link_model_runs(spark):
     rows = top.collect()
     assert len(rows) == 10
     assert all((r.u, r.v) not in set(edges) for r in rows)
+
+
+def test_auc_ap_brute_force(spark):
+    rnd = np.random.default_rng(3)
+    scores = np.round(rnd.random(3000), 2)          # many ties
+    labels = (rnd.random(3000) < scores).astype(int)
+    df = spark.createDataFrame([(float(s), int(l)) for s, l in zip(scores, labels)], "score double, label int")
+    r = L.auc_ap(df).first()
+    pos, neg = scores[labels == 1], scores[labels == 0]
+    auc = ((pos[:, None] > neg[None, :]).sum() + 0.5 * (pos[:, None] == neg[None, :]).sum()) / (len(pos) * len(neg))
+    ap = 0.0
+    for t in sorted(set(scores), reverse=True):
+        sel = scores >= t
+        ap += ((labels == 1) & (scores == t)).sum() / len(pos) * labels[sel].sum() / sel.sum()
+    assert r.auc == pytest.approx(auc, abs=1e-12)
+    assert r.ap == pytest.approx(ap, abs=1e-12)

@@ -54,3 +54,31 @@ def graph_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Node and edge counts."""
     n_edges = edges.agg(F.count(F.lit(1))).scalar()
     return nodes.agg(F.count(F.lit(1)).alias("n_nodes")).withColumn("n_edges", n_edges)
+
+
+def prefix_sums(df: DataFrame, order: str, cols: list[str], descending: bool = False,
+                inclusive: bool = True, buckets: int = 256) -> DataFrame:
+    """Running sums of ``cols`` in ``order`` without a single-task window.
+
+    The order column is cut into ``buckets`` ranges by ``percentile_approx``;
+    per-bucket totals (a table of at most ``buckets`` rows) give each
+    bucket's offset, and the running sum inside a bucket is a window
+    partitioned by the bucket.  Rows with equal ``order`` values must be
+    pre-aggregated (one row per value), as for distinct scores.
+    Adds ``cum_{c}`` columns (inclusive or exclusive of the row)."""
+    key = F.col(order) if not descending else -F.col(order)
+    d = df.withColumn("_k", key.cast("double"))
+    qs = d.agg(F.percentile_approx("_k", [i / buckets for i in range(1, buckets)], 10_000).alias("q")).first()["q"]
+    cuts = sorted(set(qs or []))
+    b = F.lit(0)
+    for c in cuts:
+        b = b + (F.col("_k") > F.lit(c)).cast("int")
+    d = d.withColumn("_b", b)
+    tot = d.groupBy("_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
+    wb = W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    offs = tot.select("_b", *[F.coalesce(F.sum(f"_t_{c}").over(wb), F.lit(0)).alias(f"_o_{c}") for c in cols])
+    frame = (W.unboundedPreceding, W.currentRow) if inclusive else (W.unboundedPreceding, -1)
+    wl = W.partitionBy("_b").orderBy("_k").rowsBetween(*frame)
+    d = d.join(F.broadcast(offs), "_b")
+    return d.withColumns({f"cum_{c}": F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(wl), F.lit(0)) for c in cols}) \
+        .drop("_k", "_b", *[f"_o_{c}" for c in cols])

@@ -165,14 +165,15 @@ def apply_scaler(df: DataFrame, scaler: dict, out: str = "features") -> DataFram
 def auc_ap(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """M9 + M10: exact ROC AUC (ties count one half) and average precision
     sum(dR * P) over distinct thresholds; null when one class is absent.
-    Scores are first reduced to (score, positives, negatives), so the
-    cumulative window runs over distinct scores only."""
+    Scores are reduced to (score, positives, negatives) and the running
+    sums come from :func:`prefix_sums` (no single-task window)."""
+    from .aggregates import prefix_sums
     g = scored.groupBy(score).agg(F.sum(F.col(label)).alias("pos"),
                                   F.sum(F.lit(1) - F.col(label)).alias("neg"))
-    w_desc = W.orderBy(F.col(score).desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    w_asc = W.orderBy(F.col(score)).rowsBetween(W.unboundedPreceding, -1)
-    g = g.withColumns({"tp": F.sum("pos").over(w_desc), "fp": F.sum("neg").over(w_desc),
-                       "neg_below": F.coalesce(F.sum("neg").over(w_asc), F.lit(0))})
+    down = prefix_sums(g, score, ["pos", "neg"], descending=True, inclusive=True) \
+        .select(score, "pos", "neg", F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"))
+    g = prefix_sums(down, score, ["neg"], descending=False, inclusive=False) \
+        .withColumnRenamed("cum_neg", "neg_below")
     tot = g.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"),
                 F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0)).alias("auc_num"),
                 F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("ap_num"))

@@ -110,3 +110,16 @@ def densify(counts: DataFrame, cells: DataFrame) -> DataFrame:
 def pivot_counts(counts: DataFrame, cell_ids: list[str]) -> DataFrame:
     """G9 wide form for a short, explicit cell list: one row per bin."""
     return counts.groupBy("time_bin").pivot("cell_id", cell_ids).agg(F.sum("crime_count")).na.fill(0)
+
+
+def minmax_sequences(seqs: DataFrame, seq_len: int = 7, eps: float = 0.0) -> DataFrame:
+    """M5: scale every lag and the target by the cell's min and max count
+    over the observed bins (per-cell statistics from one aggregate,
+    joined back by ``cell_id``; a constant cell maps to 0)."""
+    lags = [f"lag_{k}" for k in range(1, seq_len + 1)]
+    vals = seqs.select("cell_id", F.explode(F.array(*[F.col(c) for c in lags + ["target"]])).alias("v"))
+    st = vals.groupBy("cell_id").agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"))
+    rng = F.col("_hi") - F.col("_lo")
+    out = seqs.join(st, "cell_id")
+    return out.withColumns({c: F.when(rng > 0, (F.col(c) - F.col("_lo")) / (rng + F.lit(eps))).otherwise(F.lit(0.0))
+                            for c in lags + ["target"]}).drop("_lo", "_hi")
