@@ -113,3 +113,23 @@ def test_exact_median(spark):
     assert FE.exact_median(df, "v", band_limit=300) == pytest.approx(float(np.median(vals)))
     df2 = spark.createDataFrame([(v,) for v in vals[:4000]], "v double")
     assert FE.exact_median(df2, "v", band_limit=100) == pytest.approx(float(np.median(vals[:4000])))
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_theta_joins_plan_no_nested_loop(spark):
+    from vigila.sources.fixtures import demographics_view
+    inc = incidents_view(spark, SF_SMALL)
+    cal = calls_view(spark, SF_SMALL)
+    pip = S.points_in_polygons(inc, demographics_view(spark, SF_SMALL))
+    a = inc.select(F.col("fir_id").alias("id"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
+    b = cal.select(F.col("cdr_id").alias("id"), F.col("tower_lat").alias("lat"), F.col("tower_lon").alias("lon"))
+    pts = S.project(inc).where(F.col("x").isNotNull())
+    cells = S.grid_cells(S.grid_spec(pts, 500.0))
+    for df in [pip, S.near_pairs(a, b, 100.0, "haversine"), S.near_pairs(a, b, 100.0, "degree"),
+               S.near_pairs(a, b, 100.0, "mercator"), S.kde_cells(inc, cells),
+               S.knn_cells(cells.withColumn("p", F.lit(0.0)), 8, "p")]:
+        p = _plan(df)
+        assert "NestedLoop" not in p and "Cartesian" not in p, p[:2000]
