@@ -70,10 +70,10 @@ def prefix_sums(df: DataFrame, order: str, cols: list[str], descending: bool = F
     d = df.withColumn("_k", key.cast("double"))
     qs = d.agg(F.percentile_approx("_k", [i / buckets for i in range(1, buckets)], 10_000).alias("q")).first()["q"]
     cuts = sorted(set(qs or []))
-    b = F.lit(0)
-    for c in cuts:
-        b = b + (F.col("_k") > F.lit(c)).cast("int")
-    d = d.withColumn("_b", b)
+    # bucket = number of cut points below the key (one array literal and a
+    # HOF keep the generated code small)
+    arr = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
+    d = d.withColumn("_b", F.size(F.filter(arr, lambda c: c < F.col("_k"))))
     tot = d.groupBy("_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
     wb = W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     offs = tot.select("_b", *[F.coalesce(F.sum(f"_t_{c}").over(wb), F.lit(0)).alias(f"_o_{c}") for c in cols])

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .graph_algo import adjacency
+from ..session import cut_lineage
 
 FEATURES = ["cn", "jaccard", "adamic_adar", "pref_attach", "resource_alloc", "deg_u", "deg_v"]
 
@@ -29,10 +30,11 @@ def hash64(seed, c) -> F.Column:
 
 def neighbour_table(edges: DataFrame) -> DataFrame:
     """``(src, dst, deg_dst)``: both directions of each simple edge (no
-    self-loops) with the neighbour's degree attached once."""
+    self-loops) with the neighbour's degree attached once.  Materialised
+    (reliable checkpoint): every pair-score pass reads it several times."""
     adj = adjacency(edges).where(F.col("src") != F.col("dst")).select("src", "dst").distinct()
     deg = adj.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
-    return adj.join(deg.select(F.col("src").alias("dst"), F.col("deg").alias("deg_dst")), "dst")
+    return cut_lineage(adj.join(deg.select(F.col("src").alias("dst"), F.col("deg").alias("deg_dst")), "dst"))
 
 
 def degrees_of(edges: DataFrame) -> DataFrame:
@@ -45,7 +47,7 @@ def pair_features(edges: DataFrame, pairs: DataFrame, nbrs: DataFrame | None = N
     Adamic-Adar, preferential attachment, resource allocation and both
     degrees.  Pairs whose ends share nothing score 0 (attachment aside)."""
     nbrs = nbrs if nbrs is not None else neighbour_table(edges)
-    deg = nbrs.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("deg"))
+    deg = nbrs.select(F.col("dst").alias("id"), F.col("deg_dst").alias("deg")).distinct()
     p = (pairs.select("u", "v").distinct()
          .join(deg.select(F.col("id").alias("u"), F.col("deg").alias("deg_u")), "u", "left")
          .join(deg.select(F.col("id").alias("v"), F.col("deg").alias("deg_v")), "v", "left")
@@ -85,9 +87,9 @@ def sample_non_edges(nodes: DataFrame, edges: DataFrame, n: int, seed: int = 42,
     anti join and the ``n`` smallest pair hashes kept.  Bucket sizes are
     binomial in V/M, independent of the data's skew; if too few qualify,
     M shrinks and the draw is repeated."""
-    ids = nodes.select("id").distinct()
+    ids = cut_lineage(nodes.select("id").distinct())
     V = ids.count()
-    ce = canonical_edges(edges)
+    ce = cut_lineage(canonical_edges(edges))
     E = ce.count()
     NE = V * (V - 1) // 2 - E
     if NE <= 0 or n <= 0:

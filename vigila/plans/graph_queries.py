@@ -21,10 +21,17 @@ TOP_N = 1000
 SEED = 42
 
 
-def fixture_graph(spark, sf):
+def fixture_graph(spark, sf, materialize: bool = False):
+    """Nodes, simple edges and multigraph edges of the fixture graph.
+    ``materialize`` checkpoints nodes and simple edges first, for queries
+    that read the graph several times."""
+    from ..session import cut_lineage
     inc = clean_incidents_df(spark, sf)
     nodes, edges = B.build_graph(inc, clean_calls_df(spark, sf), salt=SALT)
-    return nodes, B.simple_graph(edges), edges
+    simple = B.simple_graph(edges)
+    if materialize:
+        nodes, simple = cut_lineage(nodes), cut_lineage(simple)
+    return nodes, simple, edges
 
 
 SQL_GRAPH = f"""
@@ -88,7 +95,7 @@ SQL_degree = _with(SQL_INCIDENT, SQL_CALL, SQL_GRAPH, SQL_DEG) + "\nselect id, d
 
 
 def q_degree_subgraph(spark, sf):
-    n, e, _ = fixture_graph(spark, sf)
+    n, e, _ = fixture_graph(spark, sf, materialize=True)
     sn, se = FL.min_degree_subgraph(n, e, GA.degree(n, e), MIN_DEGREE)
     return se.select("src", "dst")
 
@@ -100,7 +107,7 @@ where src in (select id from deg where degree >= {MIN_DEGREE})
 
 
 def q_pagerank(spark, sf):
-    n, e, _ = fixture_graph(spark, sf)
+    n, e, _ = fixture_graph(spark, sf, materialize=True)
     pr = GA.pagerank(n, e, fixed_rounds=PR_ROUNDS)
     return pr.select("id", F.round("pagerank", 9).alias("pagerank"))
 
@@ -129,7 +136,7 @@ SQL_pagerank = _pagerank_sql(PR_ROUNDS)
 
 
 def q_top_influencers(spark, sf):
-    n, e, _ = fixture_graph(spark, sf)
+    n, e, _ = fixture_graph(spark, sf, materialize=True)
     pr = GA.pagerank(n, e, fixed_rounds=PR_ROUNDS).select("id", F.round("pagerank", 9).alias("pagerank"))
     return G.top_k(pr.join(GA.degree(n, e), "id"), "pagerank", 15, "id")
 
@@ -142,7 +149,7 @@ order by pagerank desc, p.id limit 15""").replace("pr_adj as (", SQL_DEG.strip()
 
 
 def q_link_scores_edges(spark, sf):
-    _, e, _ = fixture_graph(spark, sf)
+    _, e, _ = fixture_graph(spark, sf, materialize=True)
     f = L.pair_features(e, L.canonical_edges(e))
     return f.select("u", "v", "cn", r6("jaccard").alias("jaccard"), r6("adamic_adar").alias("adamic_adar"),
                     "pref_attach", r6("resource_alloc").alias("resource_alloc"), "deg_u", "deg_v")
@@ -178,7 +185,7 @@ select u, v, cn, round(jaccard, 6) as jaccard, round(adamic_adar, 6) as adamic_a
 
 
 def q_link_heuristics(spark, sf):
-    n, e, _ = fixture_graph(spark, sf)
+    n, e, _ = fixture_graph(spark, sf, materialize=True)
     s = L.heuristic_link_scores(n, e, top_n=TOP_N, seed=SEED)
     return s.select("u", "v", r6("jaccard").alias("jaccard"), r6("adamic_adar").alias("adamic_adar"),
                     F.col("pref_attach"), r6("resource_alloc").alias("resource_alloc"),
@@ -208,32 +215,32 @@ from feat"""
 
 
 def q_communities(spark, sf):
-    n, e, _ = fixture_graph(spark, sf)
+    n, e, _ = fixture_graph(spark, sf, materialize=True)
     return GA.label_propagation(n, e)
 
 
 def q_modularity(spark, sf):
-    n, e, _ = fixture_graph(spark, sf)
+    n, e, _ = fixture_graph(spark, sf, materialize=True)
     return GA.modularity(e, GA.label_propagation(n, e)).select(r6("modularity").alias("modularity"))
 
 
 def q_eigenvector(spark, sf):
-    n, e, _ = fixture_graph(spark, sf)
+    n, e, _ = fixture_graph(spark, sf, materialize=True)
     return GA.eigenvector(n, e).select("id", r6("eigenvector").alias("eigenvector"))
 
 
 def q_closeness(spark, sf):
-    n, e, _ = fixture_graph(spark, sf)
+    n, e, _ = fixture_graph(spark, sf, materialize=True)
     return GA.closeness(n, e).select("id", r6("closeness").alias("closeness"))
 
 
 def q_betweenness(spark, sf):
-    n, e, _ = fixture_graph(spark, sf)
+    n, e, _ = fixture_graph(spark, sf, materialize=True)
     return GA.betweenness(n, e).select("id", F.round("betweenness", 9).alias("betweenness"))
 
 
 def q_link_supervised(spark, sf):
-    n, e, _ = fixture_graph(spark, sf)
+    n, e, _ = fixture_graph(spark, sf, materialize=True)
     info = L.supervised_link_model(n, e, 2000, 2000, 0.2, SEED)
     return L.predict_top_links(n, e, info, candidate_sample=5000, top_k=100, seed=SEED) \
         .select("u", "v", r6("score").alias("score"))
