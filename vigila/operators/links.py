@@ -170,8 +170,10 @@ def auc_ap(scored: DataFrame, score: str = "score", label: str = "label") -> Dat
     Scores are reduced to (score, positives, negatives) and the running
     sums come from :func:`prefix_sums` (no single-task window)."""
     from .aggregates import prefix_sums
-    g = scored.groupBy(score).agg(F.sum(F.col(label)).alias("pos"),
-                                  F.sum(F.lit(1) - F.col(label)).alias("neg"))
+    # one row per distinct score, materialised: the prefix passes read it
+    # several times and must not re-run the model scoring upstream
+    g = cut_lineage(scored.groupBy(score).agg(F.sum(F.col(label)).alias("pos"),
+                                              F.sum(F.lit(1) - F.col(label)).alias("neg")))
     down = prefix_sums(g, score, ["pos", "neg"], descending=True, inclusive=True) \
         .select(score, "pos", "neg", F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"))
     g = prefix_sums(down, score, ["neg"], descending=False, inclusive=False) \

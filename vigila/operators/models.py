@@ -32,8 +32,11 @@ def train_forest(df: DataFrame, feature_cols: list[str], label: str = "label", n
     """M6 + M2 + M7 + M9: stratified split, scaler fit on the training
     rows, random forest, test ROC AUC (None with one class).  A training
     set with a single class gives a constant-probability model."""
-    data = stratified_split(df.withColumn(label, F.col(label).cast("int")), label, test_size, seed,
-                            keys=[F.col(k).cast("string") for k in keys])
+    from ..session import cut_lineage
+    # the labelled features are read by the scaler, the class check, the
+    # fit and the test scoring: materialise them once
+    data = cut_lineage(stratified_split(df.withColumn(label, F.col(label).cast("int")), label, test_size, seed,
+                                        keys=[F.col(k).cast("string") for k in keys]))
     train = data.where(~F.col("is_test"))
     scaler = fit_scaler(train, feature_cols)
     classes = [r[0] for r in train.select(label).distinct().collect()]
@@ -79,7 +82,8 @@ def sequence_forecast(counts: DataFrame, cells: DataFrame, seq_len: int = 7) ->
     their number.  Returns per cell the forecast count for the bin after
     the last observed one and ``lstm_prob_24h`` = P(count >= 1) = 1 - e^-mu."""
     lags = [f"lag_{k}" for k in range(1, seq_len + 1)]
-    seqs = T.lag_sequences(counts, seq_len)
+    from ..session import cut_lineage
+    seqs = cut_lineage(T.lag_sequences(counts, seq_len))
     bins = T.bin_index(counts)
     nb = bins.agg(F.max("bin_no")).first()[0]  # number of observed bins - 1 (bounded scalar)
     if nb is None:
@@ -158,6 +162,8 @@ def hotspot_forecast(incidents: DataFrame, cell_size: float = 500.0, seq_len: in
     grid = (cells.join(grid, "cell_id").join(seq, "cell_id", "left").join(kde.select("cell_id", "kde_score"),
                                                                             "cell_id", "left")
             .na.fill(0.0, ["lstm_pred_next24_count", "lstm_prob_24h", "kde_score"]))
+    from ..session import cut_lineage
+    grid = cut_lineage(grid)  # scored once; the min-max statistics read it again
     grid = grid.withColumns({
         "_c24": F.lit(W_FOREST) * F.col("rf_prob_24h") + F.lit(W_SEQUENCE) * F.col("lstm_prob_24h")
         + F.lit(W_DENSITY) * F.col("kde_score"),
