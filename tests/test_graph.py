@@ -224,3 +224,12 @@ def test_auc_ap_brute_force(spark):
         ap += ((labels == 1) & (scores == t)).sum() / len(pos) * labels[sel].sum() / sel.sum()
     assert r.auc == pytest.approx(auc, abs=1e-12)
     assert r.ap == pytest.approx(ap, abs=1e-12)
+
+
+def test_closeness_hll_close_to_exact(spark):
+    nodes, edges = random_graph(seed=13, n=60, m=150)
+    n, e = graph(spark, nodes, edges)
+    exact = {r.id: r.closeness for r in GA.closeness(n, e).collect()}
+    approx = {r.id: r.closeness for r in GA.closeness_hll(n, e).collect()}
+    for v in nodes:
+        assert approx[v] == pytest.approx(exact[v], rel=0.03)

@@ -275,6 +275,41 @@ def closeness(nodes: DataFrame, edges: DataFrame, dist: DataFrame | None = None)
             .select("id", F.coalesce(val, F.lit(0.0)).alias("closeness")))
 
 
+def closeness_hll(nodes: DataFrame, edges: DataFrame, lg_k: int = 12, max_depth: int | None = None) -> DataFrame:
+    """L5 for graphs too large for an all-pairs distance table: ball growth
+    with HyperLogLog sketches (the HyperBall method).  Every node keeps a
+    sketch of the nodes within distance t; one round unions the sketches of
+    its neighbours (one join and one ``hll_union_agg`` per round, O(E) rows),
+    and sum(d) accumulates t * (|B_t| - |B_t-1|).  Estimates are exact for
+    small balls and within the sketch's error beyond; stops when no ball
+    grows.  Same component-corrected formula as :func:`closeness`."""
+    ids = cut_lineage(nodes.select("id").distinct())
+    n = ids.count()
+    adj = adjacency(edges, None, self_loops_twice=False).where(F.col("src") != F.col("dst")).select("src", "dst")
+    table = cut_lineage(adj.withColumn("is_self", F.lit(False)).unionByName(
+        ids.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(True).alias("is_self"))))
+    st = cut_lineage(ids.groupBy("id").agg(F.hll_sketch_agg("id", lg_k).alias("sk"))
+                     .select("id", "sk", F.lit(1.0).alias("cnt"), F.lit(0.0).alias("sum_d")))
+    t = 0
+    while max_depth is None or t < max_depth:
+        t += 1
+        g = (st.join(table, st["id"] == table["src"]).groupBy("dst")
+             .agg(F.hll_union_agg("sk", True).alias("sk"),
+                  F.max(F.when(F.col("is_self"), F.col("cnt"))).alias("_prev"),
+                  F.max(F.when(F.col("is_self"), F.col("sum_d"))).alias("_sd")))
+        est = F.greatest(F.hll_sketch_estimate("sk").cast("double"), F.col("_prev"))
+        nxt = cut_lineage(g.select(F.col("dst").alias("id"), "sk", est.alias("cnt"),
+                                   (F.col("_sd") + F.lit(float(t)) * (est - F.col("_prev"))).alias("sum_d"),
+                                   (est > F.col("_prev")).alias("_grew")))
+        grew = nxt.where("_grew").limit(1).count()
+        st = nxt.drop("_grew")
+        if grew == 0:
+            break
+    val = F.when((F.col("sum_d") > 0) & F.lit(n > 1),
+                 (F.col("cnt") - 1) / F.col("sum_d") * (F.col("cnt") - 1) / F.lit(max(n - 1, 1))).otherwise(0.0)
+    return st.select("id", val.alias("closeness"))
+
+
 def betweenness(nodes: DataFrame, edges: DataFrame, dist: DataFrame | None = None,
                 normalized: bool = True) -> DataFrame:
     """L4: exact betweenness (Brandes) from the all-sources BFS table: the

@@ -234,6 +234,11 @@ def q_closeness(spark, sf):
     return GA.closeness(n, e).select("id", r6("closeness").alias("closeness"))
 
 
+def q_closeness_hll(spark, sf):
+    n, e, _ = fixture_graph(spark, sf, materialize=True)
+    return GA.closeness_hll(n, e).select("id", r6("closeness").alias("closeness"))
+
+
 def q_betweenness(spark, sf):
     n, e, _ = fixture_graph(spark, sf, materialize=True)
     return GA.betweenness(n, e).select("id", F.round("betweenness", 9).alias("betweenness"))
@@ -259,5 +264,6 @@ register("communities", q_communities, None)
 register("modularity", q_modularity, None)
 register("eigenvector", q_eigenvector, None)
 register("closeness", q_closeness, None)
+register("closeness_hll", q_closeness_hll, None)
 register("betweenness", q_betweenness, None)
 register("link_supervised", q_link_supervised, None)
