@@ -65,3 +65,15 @@ def test_zscore_and_drilldown(spark):
     assert top == {"c1": "hist_1d", "c2": "hist_1d", "c3": "hist_1d"}
     d = FE.drilldown(cells)
     assert d.count() == 6 and set(d.columns) == {"cell_id", "feature", "value"}
+
+
+def test_permutation_importance_ranks_informative_feature(spark):
+    rnd = np.random.default_rng(4)
+    rows = []
+    for i in range(600):
+        y = int(rnd.random() < 0.5)
+        rows.append((f"c{i}", "2024-01-01 00:00:00", float(y) + rnd.normal(0, 0.1), float(rnd.normal()), y))
+    df = spark.createDataFrame(rows, "cell_id string, time_bin string, good double, noise double, label int")
+    info = M.train_forest(df, ["good", "noise"], "label", 20, 42)
+    imp = {r.feature: r.importance for r in M.permutation_importance(info, df, "label", repeats=3).collect()}
+    assert imp["good"] > 0.2 and imp["good"] > imp["noise"]

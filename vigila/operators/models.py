@@ -15,6 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from . import spatial as S
 from . import timecell as T
@@ -185,35 +186,39 @@ def _cell_demographics(cells: DataFrame, demographics: DataFrame) -> DataFrame:
 def permutation_importance(info: dict, df: DataFrame, label: str = "label", repeats: int = 10,
                            seed: int = 0, partitions: int | None = None) -> DataFrame:
     """Mean drop in accuracy when one feature's values are permuted.
-    Rows are spread over random partitions and each feature is shuffled
-    inside every partition with numpy (a uniform permutation of random
-    row groups); every (feature, repeat) is scored by the model in one
-    distributed pass.  Returns ``feature, importance, std``."""
+    Rows are spread over random partitions; one ``mapInPandas`` pass emits,
+    for every partition, each (feature, repeat) copy with that feature
+    shuffled by numpy (a uniform permutation of random row groups); a
+    single model ``transform`` and one grouped aggregate then score every
+    copy.  Returns ``feature, importance, std`` (population std over the
+    repeats)."""
     import numpy as np
-    import pandas as pd
-    cols = info["features"]
+    cols = list(info["features"])
     spark = df.sparkSession
     n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = df.select(*cols, F.col(label).cast("int").alias("label")).repartition(n_parts, F.rand(seed))
 
-    def acc(frame):
+    def correct(frame):
         s = score_forest(info, frame, "_p")
-        return s.agg(F.avg(((F.col("_p") >= 0.5).cast("int") == F.col("label")).cast("double"))).first()[0]
-
-    ref = acc(base)
-    schema = base.schema
-
-    def make_perm(feature, rep):
-        def fn(it):
-            for pdf in it:
-                rng = np.random.default_rng([seed, rep, cols.index(feature), int(pdf.shape[0])])
-                pdf = pdf.copy()
-                pdf[feature] = rng.permutation(pdf[feature].to_numpy())
-                yield pdf
-        return fn
-
-    rows = []
-    for f in cols:
-        drops = [ref - acc(base.mapInPandas(make_perm(f, r), schema)) for r in range(repeats)]
-        rows.append((f, float(np.mean(drops)), float(np.std(drops))))
-    return spark.createDataFrame(pd.DataFrame(rows, columns=["feature", "importance", "std"]))
+        return s.withColumn("_ok", ((F.col("_p") >= 0.5).cast("int") == F.col("label")).cast("double"))
+
+    ref = correct(base).agg(F.avg("_ok")).first()[0]
+    out_schema = ST.StructType(base.schema.fields + [ST.StructField("_f", ST.StringType()),
+                                                      ST.StructField("_rep", ST.IntegerType())])
+
+    def permute_all(it):
+        for pdf in it:
+            for fi, f in enumerate(cols):
+                for rep in range(repeats):
+                    rng = np.random.default_rng([seed, rep, fi, int(pdf.shape[0])])
+                    q = pdf.copy()
+                    q[f] = rng.permutation(q[f].to_numpy())
+                    q["_f"] = f
+                    q["_rep"] = rep
+                    yield q
+
+    copies = base.mapInPandas(permute_all, out_schema)
+    acc = correct(copies).groupBy("_f", "_rep").agg(F.avg("_ok").alias("_acc"))
+    return (acc.groupBy(F.col("_f").alias("feature"))
+            .agg(F.avg(F.lit(ref) - F.col("_acc")).alias("importance"),
+                 F.stddev_pop(F.lit(ref) - F.col("_acc")).alias("std")))
