@@ -162,7 +162,11 @@ def incident_features(mapped: DataFrame, crime_col: str = "crime_type") -> DataF
 def zscore_contributions(cells: DataFrame, feature_cols: list[str], topk: int = 6,
                          key: str = "cell_id", eps: float = 1e-9) -> DataFrame:
     """For every cell, the ``topk`` features with the largest absolute
-    z-score against all cells (sample std + eps), with the local value."""
+    z-score against all cells (sample std + eps), with the local value.
+    The input is read twice (statistics, then scores), so it is
+    materialised once."""
+    from ..session import cut_lineage
+    cells = cut_lineage(cells.select(key, *feature_cols))
     st = cells.select(F.struct(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(feature_cols)],
                                *[F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(feature_cols)]).alias("s")
                       ).scalar()
