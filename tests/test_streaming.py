@@ -49,3 +49,22 @@ def test_alert_stream_restart_and_dedupe(spark, tmpdir_path):
     assert a2.count() > n1
     assert a2.where(F.col("window_start") >= F.lit("2024-01-01 12:00:00").cast("timestamp")).count() > 0
     assert alert_history(spark, table, 20).count() <= 20
+
+
+def test_late_rows_are_dropped(spark, tmpdir_path):
+    base = tmpdir_path
+    inbox = os.path.join(base, "inbox"); os.makedirs(inbox)
+    pts = spark.createDataFrame([(28.50, 77.00), (28.52, 77.03)], "latitude double, longitude double")
+    spec = S.grid_spec(S.project(pts), 500.0)
+    cells = S.grid_cells(spec).withColumn("combined_prob_24h", F.lit(0.9))
+    params = spec.select("minx", "miny", "size").first().asDict()
+    table, ckpt = os.path.join(base, "alerts"), os.path.join(base, "ckpt")
+    _write(inbox, "a.csv", [("f1", "2024-01-01 15:00:00", "28.5105", "77.0105")])
+    start_alerts(spark, inbox, cells, params, table, ckpt, columns=COLS).awaitTermination(120)
+    # a second batch advances the watermark to 14:00; a row at 10:00 is then late
+    _write(inbox, "b.csv", [("f2", "2024-01-01 15:01:00", "28.5105", "77.0105")])
+    start_alerts(spark, inbox, cells, params, table, ckpt, columns=COLS).awaitTermination(120)
+    _write(inbox, "c.csv", [("f3", "2024-01-01 10:00:00", "28.5105", "77.0105")])
+    start_alerts(spark, inbox, cells, params, table, ckpt, columns=COLS).awaitTermination(120)
+    a = spark.read.parquet(table)
+    assert a.where(F.col("window_start") < F.lit("2024-01-01 12:00:00").cast("timestamp")).count() == 0
