@@ -130,6 +130,7 @@ def ring_centroid(ring) -> Column:
                         (acc["cy"] + (a["y"] + b["y"]) * c).alias("cy"))
 
     zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("cx"), F.lit(0.0).alias("cy"))
-    return F.aggregate(idx, zero, acc3,
-                       lambda s: F.struct((s["cx"] / (F.lit(3.0) * s["a"])).alias("x"),
-                                          (s["cy"] / (F.lit(3.0) * s["a"])).alias("y")))
+    # rings with fewer than 4 points (closed triangle minimum) have no area
+    return F.when(F.size(ring) >= 4, F.aggregate(idx, zero, acc3,
+                  lambda s: F.struct((s["cx"] / (F.lit(3.0) * s["a"])).alias("x"),
+                                     (s["cy"] / (F.lit(3.0) * s["a"])).alias("y"))))

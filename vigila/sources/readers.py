@@ -251,7 +251,7 @@ def read_exported_graph(spark: SparkSession, nodes_path: str, edges_path: str,
         rd = rd.option("header", True)
     n = rd.load(nodes_path)
     e = rd.load(edges_path)
-    label = (F.coalesce(F.element_at(F.col("labels"), 1), F.lit("Entity"))
+    label = (F.coalesce(F.try_element_at(F.col("labels"), F.lit(1)), F.lit("Entity"))
              if "labels" in n.columns and isinstance(n.schema["labels"].dataType, T.ArrayType)
              else F.coalesce(F.col("label"), F.lit("Entity")) if "label" in n.columns
              else F.lit("Entity"))
