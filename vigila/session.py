@@ -31,6 +31,8 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         "spark.ui.enabled": "false",
         "spark.sql.shuffle.partitions": str(shuffle_partitions),
         "spark.driver.memory": "16g",
+        # remove checkpoint files once their DataFrames are garbage collected
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     })
     conf.update(extra or {})
     for k, v in conf.items():
