@@ -52,8 +52,8 @@ def prepare(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for ``DataFrame.checkpoint()``.
 
-    Uses the cluster's ``spark.checkpoint.dir``; only when that is unset
-    (local tests) a private temporary folder is created.
+    Uses the cluster's ``spark.checkpoint.dir``; only a local master may do
+    without one and gets a private temporary folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -61,6 +61,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="vigila-ckpt-")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
