@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, quality
+from . import mixing, quality, secrets
 from .common import table, written
 
 LLM_QUERIES: dict = {}
@@ -125,3 +125,41 @@ left join t on d.source is not distinct from t.source"""
 def op9_mix_sources(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix_sources(docs).select("doc.doc_id", "size", "source_size", "target", "taken")
+
+
+# ------------------------------------------------------------------ 5
+
+def _sql_rule(i: int, r: secrets.Rule) -> str:
+    p = r.pattern.replace("'", "''")
+    keep = f"and length(regexp_extract(m[k], '{p}', {r.group})) >= {r.least}" if r.least > 1 else ""
+    return f"""select rid, {i} as ord, '{r.kind}' as kind,
+  list_sum(list_transform(b[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k-1], lambda x: length(x))), 0) as s,
+  length(m[k]) as n
+from (select rid, regexp_extract_all(t, '{p}') as m, string_split_regex(t, '{p}') as b from d where regexp_matches(t, '{p}')),
+  unnest(range(1, len(m) + 1)) u(k) where true {keep}"""
+
+
+SQL_SECRETS = f"""
+with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as t from documents),
+sp as ({" union all ".join(_sql_rule(i, r) for i, r in enumerate(secrets.RULES))}),
+a as (select rid, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access,
+        count(*) filter (kind = 'hex') as n_hex,
+        string_agg(kind || ':' || s::bigint || ':' || (s + n)::bigint, ',' order by s, ord, n) as spans,
+        string_agg(kind || ':' || s::bigint || ':' || (s + n)::bigint, ',' order by s, ord, n)
+          filter (ord < {len(secrets.BASE_RULES)}) as base
+      from sp group by 1)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join a using (rid)"""
+
+
+@register("op5_secret_scan", SQL_SECRETS)
+def op5_secret_scan(spark, sf_dir):
+    found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["ord"] < len(secrets.BASE_RULES))
+
+    def of(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    count = [of(r.kind) for r in secrets.BASE_RULES]
+    return found.select("doc.doc_id", *count, F.sha2(secrets.joined(base), 256).alias("base_sha256"),
+                        secrets.joined(F.col("spans")).alias("spans"))
