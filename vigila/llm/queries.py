@@ -6,8 +6,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, quality, secrets
-from .common import table, written
+from . import mixing, quality, secrets, simhash
+from .common import hex64, table, written
 
 LLM_QUERIES: dict = {}
 
@@ -163,3 +163,12 @@ def op5_secret_scan(spark, sf_dir):
     count = [of(r.kind) for r in secrets.BASE_RULES]
     return found.select("doc.doc_id", *count, F.sha2(secrets.joined(base), 256).alias("base_sha256"),
                         secrets.joined(F.col("spans")).alias("spans"))
+
+
+# ------------------------------------------------------------------ 10
+
+@register("op10_simhash")
+def op10_simhash(spark, sf_dir):
+    groups = simhash.simhash_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return groups.select("doc_id", hex64(F.col("fp")).alias("fingerprint"),
+                         F.col("first.doc_id").alias("component_id"))
