@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, quality, secrets, simhash
+from . import mixing, packing, quality, secrets, simhash
 from .common import hex64, table, written
 
 LLM_QUERIES: dict = {}
@@ -172,3 +172,16 @@ def op10_simhash(spark, sf_dir):
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return groups.select("doc_id", hex64(F.col("fp")).alias("fingerprint"),
                          F.col("first.doc_id").alias("component_id"))
+
+
+# ------------------------------------------------------------------ 6
+
+def packed(docs):
+    """The pieces with a checksum of their ids in place of the ids."""
+    return packing.pack(docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"),
+                                     "doc_tokens", "sequence_id", "offset")
+
+
+@register("op6_pack_sequences")
+def op6_pack_sequences(spark, sf_dir):
+    return packed(table(spark, sf_dir, "documents").select("doc_id", "text"))
