@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, secrets, simhash
+from . import chat, mixing, packing, quality, secrets, simhash
 from .common import hex64, table, written
 
 LLM_QUERIES: dict = {}
@@ -185,3 +185,24 @@ def packed(docs):
 @register("op6_pack_sequences")
 def op6_pack_sequences(spark, sf_dir):
     return packed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+# ------------------------------------------------------------------ 4
+
+SQL_CHAT = f"""
+with t as (select conv_id, role, text, count(*) over (partition by conv_id) as n,
+             row_number() over (partition by conv_id order by turn nulls first, role nulls first, text nulls first) as rank
+           from conversations),
+p as (select *, string_agg(coalesce('=' || role, '-') || chr(1) || coalesce('=' || text, '-'), chr(2))
+        over (partition by conv_id order by rank) as pre from t),
+whole as (select n, pre, min(conv_id) as conv_id from p where rank = n group by 1, 2),
+kept as (select conv_id from whole w where not exists (
+           select 1 from p where p.rank = w.n and p.rank < p.n and p.pre = w.pre))
+select t.conv_id, cast((rank - 1) // {chat.PART} as bigint) as part, count(*) as n_turns,
+  string_agg('<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || chr(10), '' order by rank) as text
+from t join kept on t.conv_id is not distinct from kept.conv_id group by 1, 2"""
+
+
+@register("op4_chat_format", SQL_CHAT)
+def op4_chat_format(spark, sf_dir):
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
