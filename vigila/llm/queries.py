@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, quality, secrets, simhash
+from . import chat, licenses, mixing, packing, quality, secrets, simhash
 from .common import hex64, table, written
 
 LLM_QUERIES: dict = {}
@@ -206,3 +206,12 @@ from t join kept on t.conv_id is not distinct from kept.conv_id group by 1, 2"""
 @register("op4_chat_format", SQL_CHAT)
 def op4_chat_format(spark, sf_dir):
     return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
+# ------------------------------------------------------------------ 2
+
+@register("op2_license_scan")
+def op2_license_scan(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    return licenses.scan_licenses(docs, path).select("doc.doc_id", "path", "license", "score", "basis", "directory")
