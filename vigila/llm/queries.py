@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, licenses, mixing, packing, quality, secrets, simhash
+from . import chat, html, licenses, mixing, packing, quality, secrets, simhash
 from .common import hex64, table, written
 
 LLM_QUERIES: dict = {}
@@ -215,3 +215,10 @@ def op2_license_scan(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
     return licenses.scan_licenses(docs, path).select("doc.doc_id", "path", "license", "score", "basis", "directory")
+
+
+# ------------------------------------------------------------------ 7
+
+@register("op7_main_text")
+def op7_main_text(spark, sf_dir):
+    return html.extract_main_text(table(spark, sf_dir, "pages"))
