@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, html, licenses, mixing, packing, quality, secrets, simhash
+from . import chat, html, licenses, mixing, packing, quality, repeats, secrets, simhash
 from .common import hex64, table, written
 
 LLM_QUERIES: dict = {}
@@ -222,3 +222,12 @@ def op2_license_scan(spark, sf_dir):
 @register("op7_main_text")
 def op7_main_text(spark, sf_dir):
     return html.extract_main_text(table(spark, sf_dir, "pages"))
+
+
+# ------------------------------------------------------------------ 8
+
+@register("op8_repeated_bytes")
+def op8_repeated_bytes(spark, sf_dir):
+    cut = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
