@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, html, licenses, mixing, packing, quality, repeats, secrets, simhash
+from . import ann, chat, html, licenses, mixing, packing, quality, repeats, secrets, simhash
 from .common import hex64, table, written
 
 LLM_QUERIES: dict = {}
@@ -231,3 +231,10 @@ def op8_repeated_bytes(spark, sf_dir):
     cut = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
+# ------------------------------------------------------------------ 1
+
+@register("op1_nearest")
+def op1_nearest(spark, sf_dir):
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
