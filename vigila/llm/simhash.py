@@ -76,12 +76,56 @@ def _signed(i: int) -> int:
     return (1 << i) - (1 << 64) if i == 63 else 1 << i
 
 
+def _forests(radius: int):
+    """Rows sorted by bucket -> links that connect each bucket, at most one fewer
+    than its members."""
+    def forest(fps: np.ndarray) -> list[tuple[int, int]]:
+        fps = np.sort(fps)
+        u = fps.view(np.uint64)
+        i, j = np.nonzero(np.triu(np.bitwise_count(u[:, None] ^ u[None, :]) <= radius, 1))
+        root = list(range(len(fps)))
+
+        def find(x):
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+        out = []
+        for x, y in zip(i.tolist(), j.tolist()):
+            rx, ry = find(x), find(y)
+            if rx != ry:
+                root[max(rx, ry)] = min(rx, ry)
+                out.append((int(fps[x]), int(fps[y])))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_t = open_k = None
+        held: list[np.ndarray] = []
+        for b in batches:
+            t, k, fp = (b.column(c).to_numpy() for c in ("t", "k", "fp"))
+            starts = np.flatnonzero((np.diff(t, prepend=t[:1]) != 0) | (np.diff(k, prepend=k[:1]) != 0))
+            out = []
+            for lo, hi in zip([0, *starts], [*starts, len(t)]):
+                if lo == hi:
+                    continue
+                if (t[lo], k[lo]) != (open_t, open_k):
+                    out += forest(np.concatenate(held)) if held else []
+                    open_t, open_k, held = t[lo], k[lo], []
+                held.append(fp[lo:hi])
+            yield _pairs(out)
+        yield _pairs(forest(np.concatenate(held)) if held else [])
+
+    def _pairs(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], ["a", "b"])
+    return run
+
+
 def links(fps: DataFrame, radius: int = RADIUS, pairs_to: int = PAIRS_TO) -> DataFrame:
     """Links (a, b), a < b, that connect whatever a chain of pairs within
     ``radius`` bits connects; each is itself within ``radius``.  ``fps``: distinct.
 
     Fingerprints meet under every covering mask.  Up to ``pairs_to`` of them in a
-    bucket are compared in pairs.  In a larger bucket each one visits all values
+    bucket are compared in pairs, and a forest of the links found goes on.  In a
+    larger bucket each one visits all values
     up to radius/2 bits away in the bits that the mask leaves out: two
     fingerprints within the radius share such a midpoint, and all that share one
     are within the radius of the least of them and are linked to it.  The work
@@ -94,10 +138,8 @@ def links(fps: DataFrame, radius: int = RADIUS, pairs_to: int = PAIRS_TO) -> Dat
                        .alias("t", "k"))
     keyed = written(keyed.withColumn("n", F.count("*").over(Window.partitionBy("t", "k"))).where("n > 1"))
     few = keyed.where(F.col("n") <= pairs_to).select("t", "k", "fp")
-    a, b = few.withColumnRenamed("fp", "a"), few.withColumnRenamed("fp", "b")
-    near = a.join(b, ["t", "k"]).where(
-        (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
-    found = near.select("a", "b")
+    found = (few.repartition("t", "k").sortWithinPartitions("t", "k")
+             .mapInArrow(_forests(radius), "a long, b long"))
     # midpoints: every choice of up to radius/2 bits outside the mask
     reach = radius // 2
     outside = [[i for i in range(64) if not m >> i & 1] for m in masks]
@@ -119,23 +161,33 @@ def links(fps: DataFrame, radius: int = RADIUS, pairs_to: int = PAIRS_TO) -> Dat
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(a, b) -> (node, root): root is the least node of the component.  Each
-    round takes the least label around every node and then the label of that
-    label, until nothing changes; every round is a written table."""
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    state = written(both.groupBy(F.col("a").alias("node")).agg(
-        F.least(F.min("b"), F.first("a")).alias("root")))
-    while True:
-        near = (both.join(state.select(F.col("node").alias("b"), "root"), "b")
-                .groupBy(F.col("a").alias("node")).agg(F.min("root").alias("around")))
-        hooked = written(state.join(near, "node").select(
-            "node", F.col("root").alias("was"), F.least("root", "around").alias("root")))
-        up = hooked.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        state = written(hooked.join(up, "root", "left").select(
-            "node", "was", F.coalesce("up", "root").alias("root")))
-        if state.where("was != root").isEmpty():
-            return state.select("node", "root")
-        state = state.select("node", "root")
+    """(a, b) -> (node, root): root is the least node of the component.
+
+    Rounds of contraction: every node takes the least label around it, then the
+    label of that label, and edges are rewritten to labels; what falls together
+    is gone.  So a dense group is gone through about once, and the later rounds
+    are small.  Afterwards the rounds are put together from the last to the first.
+    """
+    rounds = []
+    left = written(edges.select("a", "b").where("a != b").distinct())
+    while not left.isEmpty():
+        ends = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        label = written(ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select(
+            "node", F.least("near", "node").alias("to")))
+        up = label.select(F.col("node").alias("to"), F.col("to").alias("up"))
+        label = written(label.join(up, "to").select("node", F.col("up").alias("to")))
+        rounds.append(label)
+        left = (left.join(label.select(F.col("node").alias("a"), F.col("to").alias("x")), "a")
+                .join(label.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
+                .where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+        left = written(left.distinct())
+    if not rounds:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
+    total = rounds.pop().select("node", F.col("to").alias("root"))
+    for label in reversed(rounds):
+        later = total.select(F.col("node").alias("to"), "root")
+        total = written(label.join(later, "to", "left").select("node", F.coalesce("root", "to").alias("root")))
+    return total
 
 
 def simhash_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
