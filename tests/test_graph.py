@@ -204,7 +204,7 @@ def test_supervised_link_model_runs(spark):
     n, e = graph(spark, nodes, edges)
     info = L.supervised_link_model(n, e, 100, 100, 0.2, 42)
     assert info["auc"] is None or 0.0 <= info["auc"] <= 1.0
-    top = L.predict_top_links(n, e, info, candidate_sample=200, top_k=10)
+    top = L.predict_top_links(e, L.sample_non_edges(n, e, 200, 43), info, top_k=10)
     rows = top.collect()
     assert len(rows) == 10
     assert all((r.u, r.v) not in set(edges) for r in rows)

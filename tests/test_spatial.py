@@ -110,9 +110,9 @@ def test_knn_and_routes_brute_force(spark):
 def test_exact_median(spark):
     vals = [float(v) for v in np.random.default_rng(1).integers(0, 1000, 5001)]
     df = spark.createDataFrame([(v,) for v in vals] + [(None,)], "v double")
-    assert FE.exact_median(df, "v", band_limit=300) == pytest.approx(float(np.median(vals)))
+    assert FE.exact_median(df, "v") == pytest.approx(float(np.median(vals)))
     df2 = spark.createDataFrame([(v,) for v in vals[:4000]], "v double")
-    assert FE.exact_median(df2, "v", band_limit=100) == pytest.approx(float(np.median(vals[:4000])))
+    assert FE.exact_median(df2, "v") == pytest.approx(float(np.median(vals[:4000])))
 
 
 def _plan(df):

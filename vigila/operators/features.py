@@ -10,95 +10,37 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
+from ..session import cut_lineage
+from .aggregates import prefix_sums
+
+# Numeric and category columns of the feature table.
 NUMERIC_FEATURES = ["duration_seconds_mean", "time_diff_minutes_mean", "distance_m_mean", "hour", "dayofweek"]
 CATEGORY_FEATURES = ["crime_type", "victim_gender", "suspect_gender"]
 
-# Rows a median band may hold before it is ranked in one task.
-BAND_LIMIT = 200_000
-
+def exact_median(df: DataFrame, col: str) -> float | None:
+    """M1: exact median (mean of the two middle values for an even count).
 
-def exact_median(df: DataFrame, col: str, band_limit: int = BAND_LIMIT) -> float | None:
-    """M1: exact median (mean of the two middle values for an even count),
-    without gathering the column into one buffer.
-
-    ``percentile_approx`` brackets the middle ranks, rows below the bracket
-    are counted, and the bracket is narrowed until it holds at most
-    ``band_limit`` rows; only that band is ranked."""
+    Equal values are counted first (partial sums), and :func:`prefix_sums` over
+    the distinct values finds those that hold the middle ranks: no gathering and
+    no one-task sort, however often a value repeats."""
     vals = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    n = vals.count()
-    if n == 0:
+    counts = cut_lineage(vals.groupBy("v").agg(F.count("*").alias("c")))
+    n = counts.agg(F.sum("c")).first()[0]
+    if not n:
         return None
     ranks = [(n - 1) // 2, n // 2]  # 0-based middle ranks
-    lo_v, hi_v, below = None, None, 0
-    band = vals
-    band_n = n
-    eps = 0.01
-    while band_n > band_limit:
-        q_lo = max(0.0, (ranks[0] - below) / band_n - eps)
-        q_hi = min(1.0, (ranks[1] - below + 1) / band_n + eps)
-        b = band.agg(F.percentile_approx("v", [q_lo, q_hi], 100_000).alias("q")).first()["q"]
-        new_lo, new_hi = b[0], b[1]
-        st = band.agg(F.count_if(F.col("v") < new_lo).alias("lt"),
-                      F.count_if((F.col("v") >= new_lo) & (F.col("v") <= new_hi)).alias("inb")).first()
-        brackets = below + st["lt"] <= ranks[0] and below + st["lt"] + st["inb"] > ranks[1]
-        if brackets and new_lo == new_hi:
-            return float(new_lo)  # both middle ranks hold this value
-        if not brackets or st["inb"] >= band_n:
-            eps *= 2
-            if eps > 0.5:
-                break
-            continue
-        below += st["lt"]
-        band = band.where((F.col("v") >= new_lo) & (F.col("v") <= new_hi))
-        band_n = st["inb"]
-        eps = 0.01
-    w = W.orderBy("v")
-    picked = (band.withColumn("_r", F.row_number().over(w) - 1 + F.lit(below))
-              .where(F.col("_r").isin(ranks)).agg(F.avg(F.when(F.col("_r") == ranks[0], F.col("v"))).alias("a"),
-                                                   F.avg(F.when(F.col("_r") == ranks[1], F.col("v"))).alias("b"))
-              .first())
-    return (picked["a"] + picked["b"]) / 2.0
-
-
-def exact_medians(df: DataFrame, cols: list[str], band_limit: int = BAND_LIMIT) -> dict:
-    """Exact medians of several columns with shared passes: one count pass,
-    one ``percentile_approx`` pass bracketing the middle ranks of every
-    column, one pass counting rows below / inside each bracket; columns
-    whose bracket is still too wide fall back to :func:`exact_median`."""
-    if not cols:
-        return {}
-    cnt = df.agg(*[F.count(F.when(~F.isnan(F.col(c).cast("double")), F.col(c))).alias(c) for c in cols]).first()
-    out, todo = {}, []
-    for c in cols:
-        n = cnt[c]
-        if n == 0:
-            out[c] = None
-        else:
-            todo.append((c, n, (n - 1) // 2, n // 2))
-    if not todo:
-        return out
-    eps = 0.01
-    qs = df.agg(*[F.percentile_approx(F.col(c).cast("double"), [max(0.0, r0 / n - eps), min(1.0, (r1 + 1) / n + eps)],
-                                      100_000).alias(c) for c, n, r0, r1 in todo]).first()
-    st = df.agg(*[F.count_if(F.col(c).cast("double") < qs[c][0]).alias(f"lt_{c}") for c, *_ in todo],
-                *[F.count_if((F.col(c).cast("double") >= qs[c][0]) & (F.col(c).cast("double") <= qs[c][1]))
-                  .alias(f"in_{c}") for c, *_ in todo]).first()
-    for c, n, r0, r1 in todo:
-        lo, hi, lt, inb = qs[c][0], qs[c][1], st[f"lt_{c}"], st[f"in_{c}"]
-        if lt <= r0 and lt + inb > r1 and inb <= band_limit:
-            band = df.select(F.col(c).cast("double").alias("v")).where((F.col("v") >= lo) & (F.col("v") <= hi))
-            picked = (band.withColumn("_r", F.row_number().over(W.orderBy("v")) - 1 + F.lit(lt))
-                      .where(F.col("_r").isin(r0, r1))
-                      .agg(F.avg(F.when(F.col("_r") == r0, F.col("v"))).alias("a"),
-                           F.avg(F.when(F.col("_r") == r1, F.col("v"))).alias("b")).first())
-            out[c] = (picked["a"] + picked["b"]) / 2.0
-        elif lt <= r0 and lt + inb > r1 and lo == hi:
-            out[c] = float(lo)
-        else:
-            out[c] = exact_median(df, c, band_limit)
-    return out
+    cum = prefix_sums(counts, "v", ["c"])
+    upto = F.col("cum_c")
+
+    def holds(r):
+        return (upto > r) & (upto - F.col("c") <= r)
+    got = cum.agg(*[F.max(F.when(holds(r), F.col("v"))).alias(f"r{i}") for i, r in enumerate(ranks)]).first()
+    return (got["r0"] + got["r1"]) / 2.0
+
+
+def exact_medians(df: DataFrame, cols: list[str]) -> dict:
+    return {c: exact_median(df, c) for c in cols}
 
 
 def impute_median(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -128,27 +70,32 @@ def standard_scale(df: DataFrame, cols: list[str], fit_on: DataFrame | None = No
     return df.withColumns(out)
 
 
-def one_hot(df: DataFrame, cols: list[str], prefix: str = "cat") -> tuple[DataFrame, list[tuple[str, str, str]]]:
+def one_hot(df: DataFrame, cols: list[str], prefix: str = "cat",
+            max_columns: int = 2000) -> tuple[DataFrame, list[tuple[str, str, str]]]:
     """M3: one indicator column per (column, category), categories sorted
-    per column, named ``{prefix}_0..``; absent columns become 'unknown'.
-    Values not seen at fit time get all zeros.  Returns the frame and the
-    (name, column, category) list."""
+    per column, named ``{prefix}_0..``; absent columns become 'unknown' and
+    null counts as the category 'nan', as in the source tool.  Values not seen
+    at fit time get all zeros.  Every category becomes a column of the plan, so
+    more than ``max_columns`` of them raise.  Returns the frame and the (name,
+    column, category) list."""
     for c in cols:
         if c not in df.columns:
             df = df.withColumn(c, F.lit("unknown"))
-    cats = (reduce(lambda a, b: a.unionByName(b),
-                   [df.select(F.lit(c).alias("col"), F.col(c).cast("string").alias("val")).distinct() for c in cols])
-            .where(F.col("val").isNotNull()).collect())
+    text = {c: F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in cols}
+    cats = reduce(lambda a, b: a.unionByName(b),
+                  [df.select(F.lit(c).alias("col"), text[c].alias("val")).distinct() for c in cols]).limit(
+                      max_columns + 1).collect()
+    if len(cats) > max_columns:
+        raise ValueError(f"more than {max_columns} categories in {cols}")
     order = {c: i for i, c in enumerate(cols)}
     spec = sorted(((r["col"], r["val"]) for r in cats), key=lambda t: (order[t[0]], t[1]))
     names = [(f"{prefix}_{i}", c, v) for i, (c, v) in enumerate(spec)]
-    return df.withColumns({n: (F.col(c).cast("string") == F.lit(v)).cast("double") for n, c, v in names}), names
+    return df.withColumns({n: (text[c] == F.lit(v)).cast("double") for n, c, v in names}), names
 
 
 def incident_features(mapped: DataFrame, crime_col: str = "crime_type") -> DataFrame:
     """M4: hour and weekday (Monday = 0) of the incident, median-imputed and
     standard-scaled call statistics, one-hot categories."""
-    from ..session import cut_lineage
     # several statistics passes read this table: materialise it once
     df = cut_lineage(mapped.withColumns({"hour": F.hour("date_time").cast("double"),
                                          "dayofweek": F.weekday("date_time").cast("double")}))

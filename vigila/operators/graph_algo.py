@@ -78,7 +78,10 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, max_iter
     adj = cut_lineage(adjacency(edges, weight, self_loops_twice=False))
     out = adj.groupBy("src").agg(F.sum("w").alias("_ws"))
     trans = adj.join(out, "src").select("src", "dst", (F.col("w") / F.col("_ws")).alias("p"))
-    table = cut_lineage(_with_self_rows(trans, ids, 0.0).repartition(n_parts, "src"))
+    # cached in its layout, so that a round shuffles the ranks only (a checkpoint
+    # would forget the layout)
+    table = (cut_lineage(_with_self_rows(trans, ids, 0.0)).repartition(n_parts, "src")
+             .sortWithinPartitions("src").persist())
     n_dang = ids.join(out.select(F.col("src").alias("id")), "id", "left_anti").count()
     ranks = cut_lineage(ids.select("id", F.lit(1.0 / n).alias("rank")).repartition(n_parts, "id"))
     # In an undirected graph the dangling nodes are the isolated ones; they
@@ -122,9 +125,13 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, max_iter
             carried = []
             nxt = nxt.select("id", "rank")
         ranks = nxt
+    else:
+        if track:
+            raise RuntimeError(f"PageRank has not converged in {max_iter} rounds")
     total = ranks.agg(F.sum("rank")).first()[0]
     result = cut_lineage(ranks.select("id", (F.col("rank") / F.lit(total)).alias("pagerank")))
     state.release()
+    table.unpersist()
     return result
 
 
@@ -139,7 +146,9 @@ def eigenvector(nodes: DataFrame, edges: DataFrame, max_iter: int = 200, tol: fl
     ids = cut_lineage(nodes.select("id").distinct())
     n = ids.count()
     adj = adjacency(edges, weight, self_loops_twice=False).select("src", "dst", F.col("w").alias("p"))
-    table = cut_lineage(_with_self_rows(adj, ids, 1.0))
+    n_parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    table = (cut_lineage(_with_self_rows(adj, ids, 1.0)).repartition(n_parts, "src")
+             .sortWithinPartitions("src").persist())
     x = cut_lineage(ids.select("id", F.lit(1.0 / n).alias("x")))
     state = RoundState(checkpoint_every, lazy=True)
     carried: list[str] = []
@@ -170,26 +179,32 @@ def eigenvector(nodes: DataFrame, edges: DataFrame, max_iter: int = 200, tol: fl
         else:
             x = y
     if result is None:
-        result = x.select("id", F.col("x").alias("eigenvector"))
+        raise RuntimeError(f"the eigenvector has not converged in {max_iter} rounds")
     result = cut_lineage(result)
     state.release()
+    table.unpersist()
     return result
 
 
-def label_propagation(nodes: DataFrame, edges: DataFrame, max_iter: int = 30,
+def label_propagation(nodes: DataFrame, edges: DataFrame, max_iter: int = 100, settle: int = 20,
                       checkpoint_every: int = 5) -> DataFrame:
     """Communities by semi-synchronous label propagation: in round t
     only nodes whose id hash has parity t mod 2 adopt their neighbours'
-    most frequent label (ties -> smallest label); stops when no label
-    changes.  Returns ``id, community`` (the community's smallest-id
+    most frequent label (their own, if it is one of them, else the smallest);
+    stops when no label changes in two rounds.  After ``settle`` rounds a node
+    moves to a smaller label only, so that neighbours which swap labels come to
+    rest.  Returns ``id, community`` (the community's smallest-id
     representative label) and ``community_size``."""
     ids = cut_lineage(nodes.select("id").distinct())
     adj = adjacency(edges, None, self_loops_twice=False).where(F.col("src") != F.col("dst")) \
         .select("src", "dst", F.lit(1.0).alias("p"))
-    table = cut_lineage(_with_self_rows(adj, ids, 0.0))
+    n_parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    table = (cut_lineage(_with_self_rows(adj, ids, 0.0)).repartition(n_parts, "src")
+             .sortWithinPartitions("src").persist())
     lab = cut_lineage(ids.select("id", F.col("id").alias("label"),
                                  (F.abs(F.xxhash64("id")) % 2).alias("_par")))
     state = RoundState(checkpoint_every)
+    still = 0
     for it in range(1, max_iter + 1):
         j = lab.join(table, lab["id"] == table["src"])
         votes = (j.groupBy("dst", "label")
@@ -200,17 +215,23 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, max_iter: int = 30,
             F.min_by("label", F.struct((-F.col("_n")).alias("a"), F.col("label").alias("b"))).alias("_best"),
             F.max("_n").alias("_top"),
             F.max(F.when(F.col("_own") == 1, F.col("label"))).alias("_old"),
+            F.max(F.when(F.col("_own") == 1, F.col("_n"))).alias("_cur"),
             F.max("_par").alias("_par"))
         new = best.select(F.col("dst").alias("id"), "_par", "_old",
-                          F.when((F.col("_par") == it % 2) & (F.col("_top") > 0), F.col("_best"))
+                          F.when((F.col("_par") == it % 2) & (F.col("_top") > F.coalesce("_cur", F.lit(0)))
+                                 & (F.lit(it <= settle) | (F.col("_best") < F.col("_old"))), F.col("_best"))
                           .otherwise(F.col("_old")).alias("label"))
         new = state.keep(new)
         changed = new.where(F.col("label") != F.col("_old")).limit(1).count()
         lab = new.drop("_old")
-        if changed == 0 and it > 1:
+        still = still + 1 if changed == 0 else 0
+        if still == 2:  # both parities
             break
+    else:
+        raise RuntimeError(f"labels still change after {max_iter} rounds")
     lab = cut_lineage(lab)
     state.release()
+    table.unpersist()
     sizes = lab.groupBy("label").agg(F.count(F.lit(1)).alias("community_size"), F.min("id").alias("_rep"))
     return lab.join(sizes, "label").select("id", F.col("_rep").alias("community"), "community_size")
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.privacy import hash_id
-from ..functions.text import split_list, clip
+from ..functions.text import is_array, split_list, clip
 from .spatial import near_pairs
 
 GRAPH_HASH_LEN = 20
@@ -51,6 +51,19 @@ def _nodes(df: DataFrame, nid, label: str, key, source=None, props=None) -> Data
                      (props if props is not None else F.create_map().cast("map<string,string>")).alias("props"))
 
 
+def no_edges(spark) -> DataFrame:
+    return spark.createDataFrame([], "src string, dst string, relation string, start_time timestamp_ntz, "
+                                     "duration double, distance_m double, ord string")
+
+
+def with_loc_id(locations: DataFrame) -> DataFrame:
+    """``loc_id``, or an id from the row's content."""
+    if "loc_id" in locations.columns:
+        return locations
+    from .normalize import content_id
+    return locations.withColumn("loc_id", F.concat(F.lit("loc_"), content_id(locations)))
+
+
 def _src_col(df: DataFrame):
     return F.col("source") if "source" in df.columns else F.lit(None).cast("string")
 
@@ -71,13 +84,14 @@ def case_graph(incidents: DataFrame, salt: str, with_victims: bool = True,
         if col not in inc.columns:
             continue
         m = inc.select(case_id.alias("_case"), src.alias("_s"), "date_time", F.col("fir_id"),
-                       F.explode(split_list(col)).alias("_p"))
-        pkey = hash_id(clip(F.col("_p"), 60) if scoped else F.col("_p"), salt, GRAPH_HASH_LEN)
+                       F.explode(split_list(col, is_array=is_array(inc, col))).alias("_p"))
+        pkey = hash_id(F.col("_p"), salt, GRAPH_HASH_LEN)
         pid = _nid("Person", pkey, F.col("_s"), scoped)
         node_parts.append(_nodes(m, pid, "Person", pkey, F.col("_s")))
         edge_parts.append(_edges(m, pid, F.col("_case"), rel, start_time=F.col("date_time"),
                                  ord_=F.col("fir_id")))
-    return _union(node_parts), _union(edge_parts)
+    edges = _union(edge_parts) if edge_parts else no_edges(inc.sparkSession)
+    return _union(node_parts), edges
 
 
 def phone_graph(calls: DataFrame, salt: str, scoped: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -116,9 +130,8 @@ def device_graph(devices: DataFrame, salt: str) -> tuple[DataFrame, DataFrame]:
 
 
 def location_nodes(locations: DataFrame) -> DataFrame:
-    """Location nodes (``loc_id`` or a stable row number)."""
-    loc = locations if "loc_id" in locations.columns else \
-        locations.withColumn("loc_id", F.concat(F.lit("loc_"), F.monotonically_increasing_id().cast("string")))
+    """Location nodes (``loc_id`` or a content id)."""
+    loc = with_loc_id(locations)
     props = F.create_map(F.lit("name"), clip(F.coalesce(F.col("name"), F.lit("")), 120) if "name" in loc.columns
                          else F.lit(""),
                          F.lit("latitude"), F.col("latitude").cast("string"),
@@ -131,7 +144,7 @@ def near_location_edges(incidents: DataFrame, locations: DataFrame, radius_m: fl
     (haversine), carrying the distance."""
     inc = incidents.select(F.concat(F.lit("Case::"), F.col("fir_id").cast("string")).alias("id"),
                            F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
-    loc = locations.select(F.concat(F.lit("Location::"), F.col("loc_id").cast("string")).alias("id"),
+    loc = with_loc_id(locations).select(F.concat(F.lit("Location::"), F.col("loc_id").cast("string")).alias("id"),
                            F.col("latitude").cast("double").alias("lat"), F.col("longitude").cast("double").alias("lon"))
     p = near_pairs(inc, loc, radius_m, "haversine")
     return _edges(p, F.col("left_id"), F.col("right_id"), "NEAR_LOCATION", distance=F.col("distance_m"))
@@ -195,10 +208,10 @@ def build_graph(incidents: DataFrame | None = None, calls: DataFrame | None = No
         nparts.append(location_nodes(locations))
         if proximity_m is not None and incidents is not None:
             eparts.append(near_location_edges(incidents, locations, proximity_m))
-    spark = (incidents or calls or devices or locations).sparkSession
-    nodes = _union(nparts) if nparts else spark.createDataFrame([], NODE_SCHEMA)
-    edges = _union(eparts) if eparts else None
-    return dedupe_nodes(nodes), edges
+    if not nparts:
+        raise ValueError("no input given")
+    edges = _union(eparts) if eparts else no_edges(nparts[0].sparkSession)
+    return dedupe_nodes(_union(nparts)), edges
 
 
 def cross_source_graph(incident_sets: list[DataFrame], call_sets: list[DataFrame], *, salt: str,

@@ -121,14 +121,32 @@ def sample_edges(edges: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return ce.withColumn("_h", ph).orderBy("_h", "u", "v").limit(n).drop("_h")
 
 
-def heuristic_link_scores(nodes: DataFrame, edges: DataFrame, top_n: int = 1000, seed: int = 42,
-                          pairs: DataFrame | None = None, rank_ensemble: bool = False) -> DataFrame:
+def shared_contact_pairs(calls: DataFrame, edges: DataFrame, salt: str, minutes: int = 60) -> DataFrame:
+    """Candidate pairs (u, v), u < v: phones that called the same receiver
+    within ``minutes`` of each other and are not linked.  An equi-join on
+    (receiver, time bucket), one side copied to the neighbouring buckets, then
+    the exact condition; a busy receiver's buckets are split by AQE."""
+    from .graph_build import GRAPH_HASH_LEN
+    from ..functions.privacy import hash_id
+    span = minutes * 60
+    t = F.floor(F.unix_micros(F.col("start_time").cast("timestamp")) / 1_000_000).cast("long")
+    c = calls.where(F.col("caller_id").isNotNull() & F.col("receiver_id").isNotNull() & F.col("start_time").isNotNull())
+    c = c.select(F.concat(F.lit("Phone::"), hash_id("caller_id", salt, GRAPH_HASH_LEN)).alias("id"),
+                 F.col("receiver_id").alias("r"), t.alias("t")).distinct()
+    bucket = F.floor(F.col("t") / span)
+    a = c.select(F.col("id").alias("u"), "r", F.col("t").alias("ta"), bucket.alias("b"))
+    b = c.select(F.col("id").alias("v"), "r", F.col("t").alias("tb"),
+                 F.explode(F.sequence(bucket - 1, bucket + 1)).alias("b"))
+    near = a.join(b, ["r", "b"]).where((F.col("u") < F.col("v")) & (F.abs(F.col("ta") - F.col("tb")) <= span))
+    return near.select("u", "v").distinct().join(canonical_edges(edges), ["u", "v"], "left_anti")
+
+
+def heuristic_link_scores(edges: DataFrame, pairs: DataFrame, rank_ensemble: bool = False) -> DataFrame:
     """Jaccard, Adamic-Adar, preferential attachment and resource
-    allocation for sampled non-edges (or given ``pairs``), their plain
+    allocation for all of the given ``pairs`` (u, v), their plain
     mean as ``score_ensemble``; highest first.  ``rank_ensemble`` adds the
     mean of per-score percentile ranks, since attachment dominates the mean."""
-    cand = pairs if pairs is not None else sample_non_edges(nodes, edges, top_n, seed)
-    f = pair_features(edges, cand)
+    f = pair_features(edges, pairs)
     f = f.withColumn("score_ensemble", (F.col("jaccard") + F.col("adamic_adar") + F.col("pref_attach")
                                         + F.col("resource_alloc")) / F.lit(4.0))
     if rank_ensemble:
@@ -210,12 +228,11 @@ def supervised_link_model(nodes: DataFrame, edges: DataFrame, sample_pos: int =
     return {"model": model, "scaler": scaler, "auc": metrics["auc"], "ap": metrics["ap"], "features": feats}
 
 
-def predict_top_links(nodes: DataFrame, edges: DataFrame, info: dict, candidate_sample: int = 20000,
-                      top_k: int = 100, seed: int = 42) -> DataFrame:
-    """Score sampled non-edges with the fitted model, top ``top_k``."""
+def predict_top_links(edges: DataFrame, pairs: DataFrame, info: dict, top_k: int = 100) -> DataFrame:
+    """Score all of the given ``pairs`` with the fitted model, then the top
+    ``top_k``."""
     from pyspark.ml.functions import vector_to_array
-    cand = sample_non_edges(nodes, edges, candidate_sample, seed + 1)
-    f = pair_features(edges, cand)
+    f = pair_features(edges, pairs)
     scored = info["model"].transform(apply_scaler(f, info["scaler"]))
     scored = scored.withColumn("score", vector_to_array("probability")[1])
     return (scored.select("u", "v", *FEATURES, "score")

@@ -15,6 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql import types as ST
 
 from . import spatial as S
@@ -184,40 +185,52 @@ def _cell_demographics(cells: DataFrame, demographics: DataFrame) -> DataFrame:
 
 
 def permutation_importance(info: dict, df: DataFrame, label: str = "label", repeats: int = 10,
-                           seed: int = 0, partitions: int | None = None) -> DataFrame:
+                           seed: int = 0) -> DataFrame:
     """Mean drop in accuracy when one feature's values are permuted.
-    Rows are spread over random partitions; one ``mapInPandas`` pass emits,
-    for every partition, each (feature, repeat) copy with that feature
-    shuffled by numpy (a uniform permutation of random row groups); a
-    single model ``transform`` and one grouped aggregate then score every
-    copy.  Returns ``feature, importance, std`` (population std over the
-    repeats)."""
-    import numpy as np
+
+    Rows are numbered once in the order of a seeded hash of their values, so
+    the result doesn't depend on partitions (equal rows may swap numbers without
+    any effect).  Each (feature, repeat) has a permutation ``a * number + b mod
+    n`` with ``a`` prime to n, and a join on the number brings the value.  One
+    ``transform`` scores all copies.  Returns ``feature, importance, std``
+    (population std over the repeats)."""
+    import math
+    import random
+
+    from ..session import cut_lineage
     cols = list(info["features"])
     spark = df.sparkSession
-    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = df.select(*cols, F.col(label).cast("int").alias("label")).repartition(n_parts, F.rand(seed))
+    h = F.xxhash64(F.lit(seed), *cols, F.col(label))
+    base = df.select(*cols, F.col(label).cast("int").alias("label"), h.alias("_h"))
+    base = cut_lineage(base.withColumn("_b", F.shiftright("_h", 52)))
+    sizes = base.groupBy("_b").count()  # at most 4096 rows
+    before = F.coalesce(F.sum("count").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    nth = F.row_number().over(W.partitionBy("_b").orderBy("_h", *cols, "label"))
+    base = cut_lineage(base.join(F.broadcast(sizes.select("_b", before.alias("_o"))), "_b")
+                       .select(*cols, "label", (F.col("_o") + nth - 1).alias("_i")))
+    n = base.count()
 
     def correct(frame):
         s = score_forest(info, frame, "_p")
         return s.withColumn("_ok", ((F.col("_p") >= 0.5).cast("int") == F.col("label")).cast("double"))
 
     ref = correct(base).agg(F.avg("_ok")).first()[0]
-    out_schema = ST.StructType(base.schema.fields + [ST.StructField("_f", ST.StringType()),
-                                                      ST.StructField("_rep", ST.IntegerType())])
-
-    def permute_all(it):
-        for pdf in it:
-            for fi, f in enumerate(cols):
-                for rep in range(repeats):
-                    rng = np.random.default_rng([seed, rep, fi, int(pdf.shape[0])])
-                    q = pdf.copy()
-                    q[f] = rng.permutation(q[f].to_numpy())
-                    q["_f"] = f
-                    q["_rep"] = rep
-                    yield q
-
-    copies = base.mapInPandas(permute_all, out_schema)
+    rng = random.Random(seed)
+    draws = []
+    for f in cols:
+        for rep in range(repeats):
+            a = rng.randrange(1, 1 << 20)
+            while n and math.gcd(a, n) != 1:
+                a += 1
+            draws.append((f, rep, a, rng.randrange(max(n, 1))))
+    plan = F.array(*[F.struct(F.lit(f).alias("f"), F.lit(r).alias("r"), F.lit(a).cast("long").alias("a"),
+                              F.lit(b).cast("long").alias("b")) for f, r, a, b in draws])
+    given = base.select(F.col("_i").alias("_from"), *[F.col(c).alias(f"_g_{c}") for c in cols])
+    copies = base.withColumn("_d", F.explode(plan))
+    copies = copies.withColumn("_from", (F.col("_i") * F.col("_d.a") + F.col("_d.b")) % F.lit(max(n, 1)))
+    copies = copies.join(given, "_from").select(
+        *[F.when(F.col("_d.f") == c, F.col(f"_g_{c}")).otherwise(F.col(c)).alias(c) for c in cols],
+        "label", F.col("_d.f").alias("_f"), F.col("_d.r").alias("_rep"))
     acc = correct(copies).groupBy("_f", "_rep").agg(F.avg("_ok").alias("_acc"))
     return (acc.groupBy(F.col("_f").alias("feature"))
             .agg(F.avg(F.lit(ref) - F.col("_acc")).alias("importance"),

@@ -8,10 +8,11 @@ projection, the data never leaves the executors.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geo import point
-from ..functions.text import split_list
+from ..functions.text import is_array, split_list
 
 # Alias lists for incident and call inputs, in priority order.
 INCIDENT_ALIASES = {
@@ -75,21 +76,39 @@ def _apply_aliases(df: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
     return df.withColumns(out) if out else df
 
 
+def source_order():
+    """Order of rows in their source: file name, place of the split, row in the
+    split.  To be taken right after the scan, before any shuffle."""
+    return F.struct(F.input_file_name().alias("file"), F.input_file_block_start().alias("block"),
+                    F.monotonically_increasing_id().alias("row"))
+
+
 def with_row_order(df: DataFrame, name: str = "_row") -> DataFrame:
-    """Stable per-input row number (partition-major), taken right after the
-    scan so a recomputed partition reproduces the same values."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+    """Adds :func:`source_order` as a column."""
+    return df.withColumn(name, source_order())
+
+
+def content_id(df: DataFrame, source: str | None = None):
+    """An id from the row's content: hash of source and all columns, then
+    the occurrence number within equal rows.  Sources never collide, and a
+    different file split gives the same ids."""
+    names = sorted(df.columns)
+    digest = F.substring(F.sha2(F.concat_ws("|", F.lit(source or ""), *(
+        [F.col("source").cast("string")] if "source" in names else []),
+        F.to_json(F.struct(*names), {"ignoreNullFields": "false"})), 256), 1, 16)
+    nth = F.row_number().over(W.partitionBy(digest).orderBy(digest))
+    return F.concat_ws("-", digest, nth.cast("string"))
 
 
 def normalize_incidents(df: DataFrame, source: str | None = None) -> DataFrame:
     """Canonical incident columns.
 
     ``crime_type`` falls back to ``offence`` then ``'unknown'``; a missing
-    ``fir_id`` becomes the stable row number; ``accused_list`` /
-    ``victim_list`` come from their aliases.  Adds ``point``."""
+    ``fir_id`` becomes a content id; ``accused_list`` / ``victim_list`` come
+    from their aliases, as text or as arrays.  Adds ``point``."""
     df = _apply_aliases(df, INCIDENT_ALIASES)
     if "fir_id" not in df.columns:
-        df = df.withColumn("fir_id", F.monotonically_increasing_id().cast("string"))
+        df = df.withColumn("fir_id", content_id(df, source))
     if "crime_type" not in df.columns:
         df = df.withColumn("crime_type", F.lit("unknown"))
     df = ensure_cols(df, INCIDENT_TYPES)
@@ -98,7 +117,7 @@ def normalize_incidents(df: DataFrame, source: str | None = None) -> DataFrame:
         "date_time": parse_time("date_time"),
         "latitude": parse_number("latitude"),
         "longitude": parse_number("longitude"),
-        **{c: F.col(c).cast("string") for c in LIST_COLS if c in df.columns},
+        **{c: F.col(c).cast("array<string>" if is_array(df, c) else "string") for c in LIST_COLS if c in df.columns},
     })
     if source is not None:
         df = df.withColumn("source", F.lit(source))
@@ -109,7 +128,7 @@ def normalize_calls(df: DataFrame, source: str | None = None) -> DataFrame:
     """S3 (+ ``callee_id`` -> ``receiver_id``), S4, S7, S8, S9, S13."""
     df = _apply_aliases(df, CALL_ALIASES)
     if "cdr_id" not in df.columns:
-        df = df.withColumn("cdr_id", F.monotonically_increasing_id().cast("string"))
+        df = df.withColumn("cdr_id", content_id(df, source))
     df = ensure_cols(df, CALL_TYPES)
     df = df.withColumns({
         "cdr_id": F.col("cdr_id").cast("string"),
@@ -138,10 +157,13 @@ def dedupe_first(df: DataFrame, key: str, order) -> DataFrame:
 def clean_incidents(df: DataFrame, order: str | None = None, filter_first: bool = False) -> DataFrame:
     """lower/trim ``crime_type`` (S10), keep the first row per
     ``fir_id`` (S11), drop null times (S12), parse coordinates (S9) and
-    build the point (S13).  Duplicates are removed before the null-time
-    filter, as in the source tool; ``filter_first`` swaps the two."""
+    build the point (S13).  First means first in the source, or by ``order``;
+    a first row with a bad time is dropped with its duplicates.  Duplicates are
+    removed before the null-time filter, as in the source tool; ``filter_first``
+    swaps the two."""
     df = df.withColumn("crime_type", F.trim(F.lower(F.col("crime_type"))))
-    order_col = F.col(order) if order else F.col("date_time")
+    # a struct is never null, so that min_by skips no row
+    order_col = F.struct(order) if order else source_order()
     if filter_first:
         df = df.where(F.col("date_time").isNotNull())
     df = dedupe_first(df.withColumn("_ord", order_col), "fir_id", "_ord").drop("_ord")
@@ -159,7 +181,7 @@ def clean_calls(df: DataFrame) -> DataFrame:
 
 def explode_list(df: DataFrame, col: str, out: str, sep: str = ";") -> DataFrame:
     """One row per non-empty trimmed member of a ``;`` list."""
-    return df.withColumn(out, F.explode(split_list(col, sep)))
+    return df.withColumn(out, F.explode(split_list(col, sep, is_array(df, col))))
 
 
 def fill_defaults(df: DataFrame, number: float = 0.0, text: str = "unk") -> DataFrame:

@@ -288,6 +288,8 @@ def bbox_filter(df: DataFrame, bbox, lon: str = "longitude", lat: str = "latitud
 # Gaussian term is exactly zero beyond 38.61 bandwidths: cutting the join
 # there gives the same double result as summing over every point.
 KDE_EXACT_CUTOFF = 38.7
+# Parts of a bucket; partial sums per cell meet in the final aggregate.
+KDE_SALTS = 16
 
 
 def kde_cells(points: DataFrame, cells: DataFrame, bandwidth: float = 1000.0,
@@ -316,14 +318,17 @@ def kde_cells(points: DataFrame, cells: DataFrame, bandwidth: float = 1000.0,
     n_pts = pts.agg(F.sum("_w")).scalar()
     reach = float(reach) * float(bandwidth)
     off = F.sequence(F.lit(-1), F.lit(1))
-    P = (pts.withColumns({"_bx": F.floor(F.col("_px") / reach), "_by": F.floor(F.col("_py") / reach)}))
+    # a bucket is as wide as a city: its points are dealt to several tasks
+    salt = F.pmod(F.xxhash64("_px", "_py"), F.lit(KDE_SALTS)).cast("int")
+    P = (pts.withColumns({"_salt": salt, "_bx": F.floor(F.col("_px") / reach), "_by": F.floor(F.col("_py") / reach)}))
     C = (cells.select("cell_id", "cx", "cy",
                       F.floor(F.col("cx") / reach).alias("_cbx"), F.floor(F.col("cy") / reach).alias("_cby"))
          .withColumn("_ox", F.explode(off)).withColumn("_oy", F.explode(off))
-         .select("cell_id", "cx", "cy", (F.col("_cbx") + F.col("_ox")).alias("_bx"),
+         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(KDE_SALTS - 1))))
+         .select("cell_id", "cx", "cy", "_salt", (F.col("_cbx") + F.col("_ox")).alias("_bx"),
                  (F.col("_cby") + F.col("_oy")).alias("_by")))
     h2 = 2.0 * float(bandwidth) ** 2
-    contrib = (C.join(P, ["_bx", "_by"])
+    contrib = (C.join(P, ["_bx", "_by", "_salt"])
                .select("cell_id", (F.col("_w") * F.exp(-(F.pow(F.col("cx") - F.col("_px"), 2)
                                                         + F.pow(F.col("cy") - F.col("_py"), 2)) / h2))
                        .alias("_k"))
@@ -380,7 +385,7 @@ def nearest_neighbour_routes(knn: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("rank", "cell_id", "cx", "cy", "lon", "lat"))).alias("pts"))
     n = F.size("pts")
     first = F.element_at("pts", 1)
-    init = F.struct(F.array(first).alias("route"), F.slice("pts", 2, 1 << 20).alias("rest"),
+    init = F.struct(F.array(first).alias("route"), F.slice("pts", F.lit(2), F.greatest(F.size("pts"), F.lit(1))).alias("rest"),
                     first.alias("cur"))
 
     def step(st, _i):

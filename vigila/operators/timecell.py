@@ -32,17 +32,13 @@ def cell_counts(assigned: DataFrame) -> DataFrame:
 
 def history_features(counts: DataFrame, windows=HISTORY_WINDOWS, hours: int = 24) -> DataFrame:
     """T2 + T3: trailing sums ``hist_{w}d`` over [bin - w days, bin], both
-    ends inclusive, as range frames on the bin's day number; plus ``hour``
-    and ``weekday`` (Monday = 0) of the bin."""
-    unit = F.floor(micros("time_bin") / F.lit(hours * 3600 * 1_000_000)) if hours != 24 \
-        else day_index("time_bin")
-    per_day = 24 // hours if hours <= 24 else None
-    df = counts.withColumn("_t", unit.cast("long"))
+    ends inclusive, as range frames in seconds, so any bin size counts the same
+    days; plus ``hour`` and ``weekday`` (Monday = 0) of the bin."""
+    df = counts.withColumn("_t", F.floor(micros("time_bin") / F.lit(1_000_000)).cast("long"))
     base = W.partitionBy("cell_id").orderBy("_t")
     cols = {}
     for w in windows:
-        span = w * per_day if per_day else w
-        cols[f"hist_{w}d"] = F.sum("crime_count").over(base.rangeBetween(-span, 0))
+        cols[f"hist_{w}d"] = F.sum("crime_count").over(base.rangeBetween(-w * 86_400, 0))
     df = df.withColumns(cols).withColumns({"hour": F.hour("time_bin"), "weekday": F.weekday("time_bin")})
     return df.drop("_t")
 
@@ -59,11 +55,14 @@ def lead_labels(counts: DataFrame, lead_hours: int = 24) -> DataFrame:
 
 def horizon_labels(counts: DataFrame, days: int = 7) -> DataFrame:
     """1 when the cell has any count in the next ``days`` bins (the
-    true 7-day label), as a forward range frame."""
+    true 7-day label), as a forward range frame.  Rows whose horizon runs past
+    the last bin have no known label and are left out."""
     df = counts.withColumn("_t", day_index("time_bin").cast("long"))
+    last = df.agg(F.max("_t")).scalar()
     w = W.partitionBy("cell_id").orderBy("_t").rangeBetween(1, days)
-    return df.select("cell_id", "time_bin",
-                     (F.coalesce(F.sum("crime_count").over(w), F.lit(0)) > 0).cast("int").alias("label_7d"))
+    df = df.withColumn("_last", last)
+    return df.withColumn("_s", F.sum("crime_count").over(w)).where(F.col("_t") + days <= F.col("_last")).select("cell_id", "time_bin",
+                     (F.coalesce("_s", F.lit(0)) > 0).cast("int").alias("label_7d"))
 
 
 def bin_index(counts: DataFrame) -> DataFrame:

@@ -7,14 +7,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.geo import ring_centroid
-from ..sources.fixtures import demographics_view
+from ..sources.fixtures import demographics_view, raw_incidents_view
 from ..sources.sinks import assert_unique
 from ..operators import spatial as S
 from ..operators import timecell as T
 from ..operators import graph_build as B
 from ..operators import graph_algo as GA
 from ..operators import aggregates as G
-from .queries import (register, clean_incidents_df, r6, ts_text, _with, SQL_INCIDENT, SQL_CALL, SQL_PTS,
+from ..operators import normalize as N
+from .queries import (register, clean_incidents_df, r6, ts_text, _with, SQL_INCIDENT, SQL_CALL, SQL_PTS, SQL_RAW, SALT,
                       CELL, _sql_ts)
 from .graph_queries import fixture_graph, SQL_GRAPH, SQL_DEG
 
@@ -75,12 +76,19 @@ from nation"""
 
 
 def q_duplicate_node_keys(spark, sf):
-    n, _, _ = fixture_graph(spark, sf)
+    """W5 on nodes as they come from the cases, before people are merged."""
+    inc = N.clean_incidents(N.normalize_incidents(raw_incidents_view(spark, sf)), order="seq")
+    n, _ = B.case_graph(inc, SALT)
     return assert_unique(n, "id").select("id", F.col("count").cast("long").alias("count"))
 
 
-SQL_duplicate_node_keys = _with(SQL_INCIDENT, SQL_CALL, SQL_GRAPH) + """
-select id, count(*) as count from g_nodes group by id having count(*) > 1"""
+SQL_duplicate_node_keys = _with(SQL_RAW) + f""",
+one as (select * from (select *, row_number() over (partition by fir_id order by seq) as nth from raw)
+        where nth = 1 and try_cast(date_time as timestamp) is not null),
+m as (select trim(unnest(string_split(accused, ';'))) as p from one
+      union all select trim(unnest(string_split(victim, ';'))) from one)
+select 'Person::' || substr(sha256(p || '{SALT}'), 1, 20) as id, count(*) as count
+from m where p <> '' group by 1 having count(*) > 1"""
 
 
 def q_edge_sample(spark, sf):

@@ -15,9 +15,9 @@ from ..operators import aggregates as G
 from .queries import (register, clean_incidents_df, clean_calls_df, r6, _with, SQL_INCIDENT,
                       SQL_CALL, SALT)
 
-PR_ROUNDS = 20
+#: Rounds unrolled in the oracle, more than the tolerance takes.
+PR_ROUNDS = 60
 MIN_DEGREE = 30
-TOP_N = 1000
 SEED = 42
 
 
@@ -108,7 +108,7 @@ where src in (select id from deg where degree >= {MIN_DEGREE})
 
 def q_pagerank(spark, sf):
     n, e, _ = fixture_graph(spark, sf, materialize=True)
-    pr = GA.pagerank(n, e, fixed_rounds=PR_ROUNDS)
+    pr = GA.pagerank(n, e)
     return pr.select("id", F.round("pagerank", 9).alias("pagerank"))
 
 
@@ -128,8 +128,15 @@ r0 as MATERIALIZED (select id, dangling, 1.0 / (select n from pr_n) as rank from
                                        / (select n from pr_n)) as rank
   from r{k-1} i left join (select tp.dst, sum(r.rank * tp.p) as c from r{k-1} r
                            join pr_tp tp on r.id = tp.src group by tp.dst) c on c.dst = i.id)""")
-    return _with(*parts) + f"""
-select id, round(rank / (select sum(rank) from r{rounds}), 9) as pagerank from r{rounds}"""
+    # the first round whose change is below the tolerance
+    parts.append("errs as (" + " union all ".join(
+        f"select {k} as k, sum(abs(a.rank - b.rank)) as e from r{k} a join r{k-1} b on a.id = b.id"
+        for k in range(1, rounds + 1)) + ")")
+    parts.append("hit as (select min(k) as k from errs where e < (select n from pr_n) * 1e-6)")
+    parts.append("ends as (" + " union all ".join(
+        f"select id, rank from r{k} where (select k from hit) = {k}" for k in range(1, rounds + 1)) + ")")
+    return _with(*parts) + """
+select id, round(rank / (select sum(rank) from ends), 9) as pagerank from ends"""
 
 
 SQL_pagerank = _pagerank_sql(PR_ROUNDS)
@@ -137,14 +144,14 @@ SQL_pagerank = _pagerank_sql(PR_ROUNDS)
 
 def q_top_influencers(spark, sf):
     n, e, _ = fixture_graph(spark, sf, materialize=True)
-    pr = GA.pagerank(n, e, fixed_rounds=PR_ROUNDS).select("id", F.round("pagerank", 9).alias("pagerank"))
+    pr = GA.pagerank(n, e).select("id", F.round("pagerank", 9).alias("pagerank"))
     return G.top_k(pr.join(GA.degree(n, e), "id"), "pagerank", 15, "id")
 
 
 SQL_top_influencers = SQL_pagerank.replace(
-    f"select id, round(rank / (select sum(rank) from r{PR_ROUNDS}), 9) as pagerank from r{PR_ROUNDS}",
-    f"""select p.id, round(p.rank / (select sum(rank) from r{PR_ROUNDS}), 9) as pagerank, d.degree
-from r{PR_ROUNDS} p join deg d on p.id = d.id
+    "select id, round(rank / (select sum(rank) from ends), 9) as pagerank from ends",
+    """select p.id, round(p.rank / (select sum(rank) from ends), 9) as pagerank, d.degree
+from ends p join deg d on p.id = d.id
 order by pagerank desc, p.id limit 15""").replace("pr_adj as (", SQL_DEG.strip() + ",\npr_adj as (", 1)
 
 
@@ -186,28 +193,21 @@ select u, v, cn, round(jaccard, 6) as jaccard, round(adamic_adar, 6) as adamic_a
 
 def q_link_heuristics(spark, sf):
     n, e, _ = fixture_graph(spark, sf, materialize=True)
-    s = L.heuristic_link_scores(n, e, top_n=TOP_N, seed=SEED)
+    s = L.heuristic_link_scores(e, L.shared_contact_pairs(clean_calls_df(spark, sf), e, SALT))
     return s.select("u", "v", r6("jaccard").alias("jaccard"), r6("adamic_adar").alias("adamic_adar"),
                     F.col("pref_attach"), r6("resource_alloc").alias("resource_alloc"),
                     r6("score_ensemble").alias("score_ensemble"))
 
 
-def _h(seed: str, expr: str) -> str:
-    return f"cast(('0x' || substr(md5('{seed}:' || {expr}), 1, 15)) as bigint)"
-
-
-SQL_SAMPLE = f"""
-cnt as (select (select count(distinct id) from g_nodes) as V, (select count(*) from ce) as E),
-mb as (select greatest(1, cast(floor(2.0 * (V * (V - 1) / 2 - E) / {4.0 * TOP_N}) as bigint)) as M from cnt),
-ha as (select id as a, {_h(f'{SEED}a', 'id')} % (select M from mb) as k from (select distinct id from g_nodes)),
-hb as (select id as b, {_h(f'{SEED}b', 'id')} % (select M from mb) as k from (select distinct id from g_nodes)),
-cand as (select distinct least(a, b) as u, greatest(a, b) as v from ha join hb on ha.k = hb.k where a <> b),
-samp as (select u, v from (select c.u, c.v from cand c
-                           where not exists (select 1 from ce where ce.u = c.u and ce.v = c.v))
-         order by {_h(f'{SEED}p', "u || '|' || v")}, u, v limit {TOP_N})
+SQL_PAIRS = f"""
+cp as (select distinct 'Phone::' || substr(sha256(caller_id || '{SALT}'), 1, 20) as id, receiver_id as r,
+         cast(floor(epoch(start_time)) as bigint) as t
+       from call_rec where caller_id is not null and receiver_id is not null and start_time is not null),
+pairs as (select distinct a.id as u, b.id as v from cp a join cp b on a.r = b.r and a.id < b.id and abs(a.t - b.t) <= 3600
+          where not exists (select 1 from ce where ce.u = a.id and ce.v = b.id))
 """
 
-SQL_link_heuristics = _with(SQL_INCIDENT, SQL_CALL, SQL_GRAPH, SQL_NBR, SQL_SAMPLE, _pair_sql("samp")) + """
+SQL_link_heuristics = _with(SQL_INCIDENT, SQL_CALL, SQL_GRAPH, SQL_NBR, SQL_PAIRS, _pair_sql("pairs")) + """
 select u, v, round(jaccard, 6) as jaccard, round(adamic_adar, 6) as adamic_adar, pref_attach,
        round(resource_alloc, 6) as resource_alloc,
        round((jaccard + adamic_adar + pref_attach + resource_alloc) / 4.0, 6) as score_ensemble
@@ -247,7 +247,8 @@ def q_betweenness(spark, sf):
 def q_link_supervised(spark, sf):
     n, e, _ = fixture_graph(spark, sf, materialize=True)
     info = L.supervised_link_model(n, e, 2000, 2000, 0.2, SEED)
-    return L.predict_top_links(n, e, info, candidate_sample=5000, top_k=100, seed=SEED) \
+    pairs = L.shared_contact_pairs(clean_calls_df(spark, sf), e, SALT)
+    return L.predict_top_links(e, pairs, info, top_k=100) \
         .select("u", "v", r6("score").alias("score"))
 
 

@@ -88,10 +88,10 @@ def build_graph_job(spark: SparkSession, incidents_path=None, calls_path=None, d
                     out_graphml: str | None = None, out_tables: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Read whatever inputs exist, normalise, build nodes and edges,
     optionally write GraphML and Parquet node/edge tables."""
-    inc = R.read_any(spark, incidents_path, tolerant=True)
-    cal = R.read_any(spark, calls_path, tolerant=True)
-    dev = R.read_any(spark, devices_path, tolerant=True)
-    loc = R.read_any(spark, locations_path, tolerant=True)
+    inc = R.read_any(spark, incidents_path)
+    cal = R.read_any(spark, calls_path)
+    dev = R.read_any(spark, devices_path)
+    loc = R.read_any(spark, locations_path)
     if inc is not None:
         inc = N.normalize_incidents(inc)
     if cal is not None:
@@ -108,23 +108,24 @@ def build_graph_job(spark: SparkSession, incidents_path=None, calls_path=None, d
     return nodes, simple
 
 
-def analyze_graph(nodes: DataFrame, edges: DataFrame, k: int = 20, top_n: int = 1000,
+def analyze_graph(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, k: int = 20,
                   sample_pos: int = 5000, sample_neg: int = 5000, seed: int = 42,
                   supervised: bool = True) -> dict:
     """Centralities, top influencers and bridges, communities,
-    heuristic link scores, supervised link model and its top predictions."""
+    heuristic link scores, supervised link model and its top predictions.  The
+    candidate ``pairs`` (u, v) are a relation of the caller's and are all scored."""
     cent = GA.centrality_table(nodes, edges)
     out = {"centrality": cent,
            "influencers": G.top_k(cent, "pagerank", k, "id"),
            "bridges": G.top_k(cent, "betweenness", k, "id"),
            "communities": GA.label_propagation(nodes, edges),
-           "heuristics": L.heuristic_link_scores(nodes, edges, top_n, seed)
+           "heuristics": L.heuristic_link_scores(edges, pairs)
            .orderBy(F.col("score_ensemble").desc(), "u", "v")}
     out["modularity"] = GA.modularity(edges, out["communities"])
     if supervised:
         info = L.supervised_link_model(nodes, edges, sample_pos, sample_neg, 0.2, seed)
         out["link_model"] = info
-        out["predicted_links"] = L.predict_top_links(nodes, edges, info, 20000, 100, seed)
+        out["predicted_links"] = L.predict_top_links(edges, pairs, info, 100)
     out["annotated"] = GA.annotate(GA.annotate(nodes, cent), out["communities"].select("id", "community"))
     return out
 
@@ -171,6 +172,7 @@ def run_all(spark: SparkSession, incidents: DataFrame, calls: DataFrame, *, salt
     nodes, edges = B.build_graph(inc, cal, salt=salt)
     simple = B.simple_graph(edges)
     hot = M.hotspot_forecast(inc)
-    ana = analyze_graph(nodes, simple, supervised=True)
+    pairs = L.shared_contact_pairs(cal, simple, salt)
+    ana = analyze_graph(nodes, simple, pairs, supervised=True)
     return {"hotspots": hot["grid"], "fir": inc, "cdr": cal, "graph_nodes": nodes, "graph_edges": simple,
             "centrality": ana["centrality"], "predictions": ana["predicted_links"]}

@@ -157,7 +157,7 @@ def q_hotspot_top(spark, sf):
 def q_permutation_importance(spark, sf):
     cells, counts = _cells_and_counts(spark, sf)
     data = T.history_features(counts).join(T.lead_labels(counts), ["cell_id", "time_bin"])
-    info = M.train_forest(data, M.BASE_FEATURES, "label", 50, 42)
+    info = M.train_forest(data, M.BASE_FEATURES, "label", 200, 42)
     if info["model"] is None:
         return spark.createDataFrame([], "feature string, importance double, std double")
     return M.permutation_importance(info, data, "label", repeats=10, seed=0)

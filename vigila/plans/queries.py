@@ -14,13 +14,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.fixtures import incidents_view, calls_view, INCIDENTS_SQL, CALLS_SQL
+from ..sources.fixtures import (CALLS_SQL, INCIDENTS_SQL, RAW_INCIDENTS_SQL, calls_view, incidents_view,
+                                raw_incidents_view)
 from ..operators import normalize as N
 from ..operators import spatial as S
 from ..operators import timecell as T
 from ..operators import filters as FL
 from ..operators import aggregates as G
+from ..operators import graph_build as B
 from ..functions.privacy import hash_id
+from ..functions.text import split_list
 
 SALT = "vigila-fixture-salt"
 CELL = 500.0
@@ -66,6 +69,7 @@ def counts_df(spark, sf):
 
 SQL_INCIDENT = f"incident as ({INCIDENTS_SQL})"
 SQL_CALL = f"call_rec as ({CALLS_SQL})"
+SQL_RAW = f"raw as ({RAW_INCIDENTS_SQL})"
 SQL_PTS = """
 pts as (select *, 6378137.0 * radians(longitude) as x,
                6378137.0 * ln(tan(pi()/4 + radians(latitude)/2)) as y
@@ -100,6 +104,51 @@ select fir_id, {_sql_ts('date_time')} as date_time, trim(lower(crime_type)) as c
 from incident where date_time is not null"""
 
 
+def q_clean_raw_incidents(spark, sf):
+    """Duplicates, bad times, lists of names: the first report of each id."""
+    d = N.clean_incidents(N.normalize_incidents(raw_incidents_view(spark, sf)), order="seq")
+    return d.select("fir_id", "seq", ts_text("date_time").alias("date_time"), "crime_type",
+                    r6("latitude").alias("latitude"), r6("longitude").alias("longitude"),
+                    F.array_join(split_list("accused_list"), "+").alias("accused"),
+                    F.col("victim_list").alias("victim"))
+
+
+SQL_clean_raw_incidents = _with(SQL_RAW) + """
+select fir_id, seq, date_time, trim(lower(crime_type)) as crime_type,
+       round(try_cast(latitude as double), 6) as latitude, round(longitude, 6) as longitude,
+       list_aggregate(list_filter(list_transform(string_split(accused, ';'), lambda x: trim(x)), lambda x: x <> ''),
+                      'string_agg', '+') as accused, victim
+from (select *, row_number() over (partition by fir_id order by seq) as nth from raw)
+where nth = 1 and try_cast(date_time as timestamp) is not null"""
+
+
+def q_fill_defaults(spark, sf):
+    """Null numbers become 0, null texts 'unk'."""
+    d = N.normalize_incidents(raw_incidents_view(spark, sf)).select("seq", "crime_type", "latitude", "accused_list", "victim_list")
+    return N.fill_defaults(d).select("seq", "crime_type", r6("latitude").alias("latitude"),
+                                     F.col("accused_list").alias("accused"), F.col("victim_list").alias("victim"))
+
+
+SQL_fill_defaults = _with(SQL_RAW) + """
+select seq, crime_type, round(coalesce(try_cast(latitude as double), 0), 6) as latitude,
+       coalesce(accused, 'unk') as accused, coalesce(victim, 'unk') as victim from raw"""
+
+
+def q_case_graph_edges(spark, sf):
+    """B1, B2: people of a case, each list member an edge, victims too."""
+    inc = N.clean_incidents(N.normalize_incidents(raw_incidents_view(spark, sf)), order="seq")
+    _, e = B.case_graph(inc, SALT)
+    return e.groupBy("relation", "dst").agg(F.count_distinct("src").alias("n_people"))
+
+
+SQL_case_graph_edges = _with(SQL_RAW) + """,
+one as (select * from (select *, row_number() over (partition by fir_id order by seq) as nth from raw)
+        where nth = 1 and try_cast(date_time as timestamp) is not null),
+m as (select 'CO_OFFEND' as relation, fir_id, trim(unnest(string_split(accused, ';'))) as p from one
+      union all select 'INVOLVED_IN', fir_id, trim(unnest(string_split(victim, ';'))) from one)
+select relation, 'Case::' || fir_id as dst, count(distinct p) as n_people from m where p <> '' group by 1, 2"""
+
+
 def q_clean_calls(spark, sf):
     d = clean_calls_df(spark, sf)
     return d.select("cdr_id", "caller_id", "receiver_id", ts_text("start_time").alias("start_time"),
@@ -215,7 +264,7 @@ select a.cell_id, {_sql_ts('a.time_bin')} as time_bin,
        cast(case when exists (select 1 from counts b where b.cell_id = a.cell_id
             and b.time_bin > a.time_bin and b.time_bin <= a.time_bin + interval 7 day)
             then 1 else 0 end as bigint) as label_7d
-from counts a"""
+from counts a where a.time_bin + interval 7 day <= (select max(time_bin) from counts)"""
 
 
 FILTER_TYPES = ["error"]
@@ -309,13 +358,14 @@ from incident i left join g on i.fir_id = g.fir_id where i.date_time is not null
 
 
 def q_quality_counts(spark, sf):
-    return N.quality_counts(clean_incidents_df(spark, sf), clean_calls_df(spark, sf))
+    return N.quality_counts(N.normalize_incidents(raw_incidents_view(spark, sf)), clean_calls_df(spark, sf))
 
 
-SQL_quality_counts = _with(SQL_INCIDENT, SQL_CALL) + """
-select 'FIR' as kind, count(*) as n_rows, count(*) filter (where date_time is null) as n_null_time,
-       count(*) filter (where latitude is null or longitude is null) as n_null_geometry
-from incident where date_time is not null
+SQL_quality_counts = _with(SQL_RAW, SQL_CALL) + """
+select 'FIR' as kind, count(*) as n_rows,
+       count(*) filter (where try_cast(date_time as timestamp) is null) as n_null_time,
+       count(*) filter (where try_cast(latitude as double) is null or longitude is null) as n_null_geometry
+from raw
 union all
 select 'CDR', count(*), count(*) filter (where start_time is null),
        count(*) filter (where tower_lat is null or tower_lon is null)
@@ -350,5 +400,6 @@ def register(name: str, fn, sql: str | None):
 for _name in ["clean_incidents", "clean_calls", "anonymise_calls", "grid_assign", "grid_cells",
               "grid_counts", "cell_counts", "history_windows", "lead_labels", "horizon_labels",
               "filters", "call_filters", "top_hotspots", "latest_bin", "call_matches",
-              "call_incident_map", "quality_counts", "crime_types", "time_span"]:
+              "call_incident_map", "quality_counts", "crime_types", "time_span", "clean_raw_incidents",
+              "fill_defaults", "case_graph_edges"]:
     register(_name, globals()[f"q_{_name}"], globals()[f"SQL_{_name}"])

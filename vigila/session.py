@@ -44,8 +44,11 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings the operators assume (idempotent)."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """Apply the runtime settings the operators assume (idempotent): naive UTC
+    time, and AQE with the skew split that hot join keys rely on."""
+    for k, v in CORE_CONF.items():
+        if spark.conf.get(k, None) != v:
+            spark.conf.set(k, v)
     return spark
 
 

@@ -74,6 +74,42 @@ def demographics_view(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.array(ring).alias("rings"))
 
 
+def raw_incidents_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incident reports as they arrive: text times, some bad or missing, reports
+    that came twice under one fir_id (``seq`` is the order of arrival), names in
+    lists, coordinates that are no numbers."""
+    base = load_table(spark, sf_dir, "events").where(F.col("event_type").isin("error", "purchase"))
+    e, u = F.col("event_id"), F.col("user_id")
+    stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    lat = _coord(e, 7919, 997, 28.5).cast("decimal(12,6)").cast("string")
+
+    def part(again: bool):
+        time = F.when(e % 11 == 0, F.lit("unknown")).when(e % 13 == 0, F.lit(None)).otherwise(stamp)
+        return base.where(e % 7 == 0 if again else F.lit(True)).select(
+            F.concat(F.lit("I"), e.cast("string")).alias("fir_id"),
+            (e * 2 + (1 if again else 0)).alias("seq"), (stamp if again else time).alias("date_time"),
+            (F.concat(F.lit("  "), F.upper("event_type")) if again else F.col("event_type")).alias("crime_type"),
+            F.when(e % 17 == 0, F.lit("n/a")).otherwise(lat).alias("latitude"),
+            _coord(e, 6101, 991, 77.0).alias("longitude"),
+            F.when(e % 5 == 0, F.lit(None)).otherwise(F.concat_ws(" ; ", u.cast("string"), (u + 1).cast("string"), F.lit("")))
+            .alias("accused"),
+            F.when(e % 3 == 0, F.concat(F.lit("V"), u.cast("string"))).alias("victim"))
+    return part(False).unionByName(part(True))
+
+
+RAW_INCIDENTS_SQL = """
+select concat('I', cast(event_id as varchar)) as fir_id, event_id * 2 + again as seq,
+       case when again = 0 and event_id % 11 = 0 then 'unknown' when again = 0 and event_id % 13 = 0 then null
+            else strftime(ts, '%Y-%m-%d %H:%M:%S') end as date_time,
+       case when again = 1 then '  ' || upper(event_type) else event_type end as crime_type,
+       case when event_id % 17 = 0 then 'n/a' else cast(cast(28.5e0 + ((event_id*7919) % 997)/9970.0e0 as decimal(12,6)) as varchar) end as latitude,
+       cast(77.0e0 + ((event_id*6101) % 991)/9910.0e0 as double) as longitude,
+       case when event_id % 5 = 0 then null else user_id || ' ; ' || (user_id + 1) || ' ; ' end as accused,
+       case when event_id % 3 = 0 then 'V' || user_id end as victim
+from events, (values (0), (1)) r(again)
+where event_type in ('error','purchase') and (again = 0 or event_id % 7 = 0)"""
+
+
 # Equivalent SQL (DuckDB and Spark) for the oracle checks.
 INCIDENTS_SQL = """
 select concat('I', cast(event_id as varchar)) as fir_id, ts as date_time,

@@ -161,28 +161,46 @@ def read_wkt_csv(spark: SparkSession, path: str, geom_col: str = "geometry") ->
 
 # ---------------------------------------------------------- dispatch
 
-def read_any(spark: SparkSession, path: str | None, tolerant: bool = False) -> DataFrame | None:
-    """Choose the reader by extension; a missing path gives ``None``.
-    Read faults raise unless ``tolerant`` (then ``None``)."""
-    if path is None or not os.path.exists(path):
+def _file_system(spark: SparkSession, path: str):
+    """Spark's file system for a path of any scheme, and the path in it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _file_system(spark, path)
+    return fs.exists(p)
+
+
+def list_files(spark: SparkSession, folder: str) -> list[str]:
+    """Files of a folder (Parquet and CSV folders count as one), sorted; hidden
+    ones left out.  A folder that doesn't exist raises."""
+    fs, p = _file_system(spark, folder)
+    if not fs.exists(p):
+        raise FileNotFoundError(folder)
+    found = [s.getPath() for s in fs.listStatus(p) if s.isFile() or os.path.splitext(s.getPath().getName())[1]]
+    return sorted(f.toString() for f in found if not f.getName().startswith((".", "_")))
+
+
+def read_any(spark: SparkSession, path: str | None) -> DataFrame | None:
+    """Choose the reader by extension; no path gives ``None``, a path that
+    doesn't exist or can't be read raises."""
+    if path is None:
         return None
-    ext = os.path.splitext(path)[1].lower()
-    try:
-        if ext in (".json", ".geojson"):
-            df = read_geojson(spark, path)
-        elif ext == ".parquet":
-            prepare(spark)
-            df = spark.read.parquet(path)
-        elif ext == ".graphml":
-            df = read_graphml(spark, path)[1]
-        else:
-            df = _csv(spark, path)
-        df.schema  # resolve now so that unreadable files fail here
-        return df
-    except Exception:
-        if tolerant:
-            return None
-        raise
+    if not path_exists(spark, path):
+        raise FileNotFoundError(path)
+    ext = os.path.splitext(path.rstrip("/"))[1].lower()
+    if ext in (".json", ".geojson"):
+        df = read_geojson(spark, path)
+    elif ext == ".parquet":
+        prepare(spark)
+        df = spark.read.parquet(path)
+    elif ext == ".graphml":
+        df = read_graphml(spark, path)[1]
+    else:
+        df = _csv(spark, path)
+    df.schema  # resolve now so that unreadable files fail here
+    return df
 
 
 def classify_columns(columns, default: str = "FIR") -> str:
@@ -196,42 +214,46 @@ def classify_columns(columns, default: str = "FIR") -> str:
     return default
 
 
-def read_folder(spark: SparkSession, folder: str) -> dict[str, list[tuple[str, DataFrame]]]:
-    """Every readable file in a folder, classified by its columns and
-    labelled with the file stem.  Returns ``{"FIR": [(label, df)], "CDR": [...]}``;
-    the normalisers add the ``source`` column and the kinds are unioned by name."""
+def read_folder(spark: SparkSession, folder: str,
+                refused: list[tuple[str, str]] | None = None) -> dict[str, list[tuple[str, DataFrame]]]:
+    """Every file in a folder, classified by its columns and labelled with
+    the file stem.  Returns ``{"FIR": [(label, df)], "CDR": [...]}``; the
+    normalisers add the ``source`` column and the kinds are unioned by name.  A
+    file that can't be read raises, unless a list is given, which then gets
+    (path, reason) of each such file."""
     out: dict[str, list] = {"FIR": [], "CDR": []}
-    p = Path(folder)
-    if not p.is_dir():
-        return out
-    for fp in sorted(p.glob("*")):
-        if not fp.is_file():
-            continue
+    for path in list_files(spark, folder):
         try:
-            df = read_any(spark, str(fp))
-        except Exception:
-            continue
-        if df is None:
+            df = read_any(spark, path)
+        except Exception as e:
+            if refused is None:
+                raise
+            refused.append((path, str(e).splitlines()[0]))
             continue
         if "properties" in df.columns:  # GeoJSON: lift the (few) property keys into columns
             keys = sorted(r[0] for r in df.select(F.explode(F.map_keys("properties"))).distinct().collect())
             df = df.select(*[F.col("properties")[k].alias(k) for k in keys],
                            *[c for c in df.columns if c not in ("properties", *keys)])
         kind = classify_columns(df.columns)
-        out[kind].append((fp.stem, df))
+        out[kind].append((Path(path).stem, df))
     return out
 
 
 # ------------------------------------------------------------ graph inputs
 
 def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """GraphML -> ``nodes(id)`` and ``edges(src, dst)`` via the XML source."""
+    """GraphML -> ``nodes(id, attributes)`` and ``edges(src, dst,
+    attributes)`` via the XML source; attributes: the ``data`` keys and values."""
     prepare(spark)
-    nodes = (spark.read.format("xml").option("rowTag", "node").load(path)
-             .select(F.col("_id").cast("string").alias("id")))
-    edges = (spark.read.format("xml").option("rowTag", "edge").load(path)
-             .select(F.col("_source").cast("string").alias("src"),
-                     F.col("_target").cast("string").alias("dst")))
+    data = "data array<struct<_VALUE:string,_key:string>>"
+
+    def rows(tag, fields):
+        return spark.read.format("xml").option("rowTag", tag).schema(f"{fields}, {data}").load(path)
+    attributes = F.map_from_entries(F.transform(F.coalesce("data", F.array().cast(data.split(" ", 1)[1])),
+                                                lambda d: F.struct(d["_key"], d["_VALUE"]))).alias("attributes")
+    nodes = rows("node", "_id string").select(F.col("_id").alias("id"), attributes)
+    edges = rows("edge", "_source string, _target string").select(
+        F.col("_source").alias("src"), F.col("_target").alias("dst"), attributes)
     return nodes, edges
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.readers import path_exists
 from ..functions.geo import merc_x, merc_y
 from ..operators.normalize import parse_time, parse_number
 from ..operators.spatial import cell_id
@@ -83,24 +84,28 @@ def alert_counts(stream: DataFrame, grid: DataFrame, params: dict, threshold: fl
 
 
 def alert_sink(table_path: str):
-    """X6 + X7: foreachBatch writer appending (cell, window) keys not yet
-    in the alert table.  Re-running a batch after a failure writes nothing
-    twice (the keys are already there)."""
+    """X6 + X7: foreachBatch writer appending (cell, window, count) keys not yet
+    in the alert table: a window whose count has risen is a new alert.
+    Re-running a batch after a failure writes nothing twice (the keys are already
+    there); a fault in reading the table ends the batch."""
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        new = batch.withColumn("batch_id", F.lit(batch_id).cast("long"))
+        key = ["cell_id", "window_start", "n_incidents"]
+        held = batch.persist()  # read twice, and the stateful plan must run once
         try:
-            # only alerts at or after the batch's first window can collide;
-            # the filter reaches the Parquet scan, so history is not re-read
-            first = batch.agg(F.min("window_start")).scalar()
-            old = (spark.read.parquet(table_path).where(F.col("window_start") >= first)
-                   .select("cell_id", "window_start"))
-            new = new.join(old, ["cell_id", "window_start"], "left_anti")
-        except Exception:  # first batch: no table yet
-            pass
-        new = new.dropDuplicates(["cell_id", "window_start"])
-        (new.select("cell_id", "window_start", "window_end", "prob", "n_incidents", "msg", "batch_id")
-         .write.mode("append").parquet(table_path))
+            new = held.withColumn("batch_id", F.lit(batch_id).cast("long")).dropDuplicates(key)
+            if path_exists(spark, table_path):
+                # only alerts at or after the batch's first window can collide;
+                # the filter reaches the Parquet scan, so history is not re-read
+                first = held.agg(F.min("window_start")).first()[0]
+                old = spark.read.parquet(table_path)
+                if first is not None:
+                    old = old.where(F.col("window_start") >= F.lit(first))
+                new = new.join(old.select(*key), key, "left_anti")
+            (new.select("cell_id", "window_start", "window_end", "prob", "n_incidents", "msg", "batch_id")
+             .write.mode("append").parquet(table_path))
+        finally:
+            held.unpersist()
     return write
 
 
@@ -120,4 +125,4 @@ def start_alerts(spark: SparkSession, folder: str, grid: DataFrame, params: dict
 def alert_history(spark: SparkSession, table_path: str, n: int = 20) -> DataFrame:
     """The latest ``n`` alerts."""
     return (spark.read.parquet(table_path)
-            .orderBy(F.col("window_start").desc(), F.col("cell_id")).limit(n))
+            .orderBy(F.col("window_start").desc(), F.col("cell_id"), F.col("n_incidents").desc()).limit(n))
