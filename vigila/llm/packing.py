@@ -25,7 +25,9 @@ from __future__ import annotations
 import functools
 import os
 import re
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,9 @@ from .common import small, written
 
 CAPACITY, SEPARATOR = 1024, 0
 #: Distinct words whose ids a worker remembers; past it the memory starts anew.
-REMEMBER = 300_000
+REMEMBER = 1_000_000
+#: Marks that end words; between them and a letter or digit a piece always ends.
+_MARKS = ".,;:!?%$&#*"
 
 
 def tokenizer_path() -> str:
@@ -57,7 +61,7 @@ class WordTokenizer:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
-        self.encode = Tokenizer.from_file(path).encode_batch
+        self.encode = Tokenizer.from_file(path).encode_batch_fast
         self.known: dict[str, bytes] = {}
 
     def words(self, text: str) -> list[str]:
@@ -66,12 +70,23 @@ class WordTokenizer:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [self.words(t) for t in texts]
-        if len(self.known) > REMEMBER:
-            self.known.clear()
-        new = list({w for words in split for w in words if w not in self.known})
-        for w, e in zip(new, self.encode(new, add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
-        get = self.known.__getitem__
+        known = self.known
+        if len(known) > REMEMBER:
+            known.clear()
+        # a new word is encoded without the marks at its end, if a letter or digit is before them
+        new = {}
+        for w in set(chain.from_iterable(split)).difference(known):
+            bare = w.rstrip(_MARKS)
+            new[w] = bare if bare[-1:].isalnum() else w
+        parts = {b for b in new.values() if b not in known}
+        parts.update(m for w, b in new.items() if (m := w[len(b):]) and m not in known)
+        parts = list(parts)
+        for w, e in zip(parts, self.encode(parts, add_special_tokens=False)):
+            known[w] = array("I", e.ids).tobytes()
+        for w, b in new.items():
+            if w not in known:
+                known[w] = known[b] + known[w[len(b):]]
+        get = known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 

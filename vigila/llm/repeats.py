@@ -13,14 +13,17 @@ one anchor start at consecutive places; the bytes that they span are its
 segment.  The passes are
 
 1. the hash of the anchor's gram;
-2. the segment: where equal segments meet, all their strings are repeated;
-3. a digit of 132 bytes on either side of the anchor, for segments that share
-   their gram with other segments;
-4. the whole string at each place of what is left, with one segment standing
-   for all equal ones.
-
-Later digits are 128-bit digests of the bytes.  Hot grams, segments and
-strings are counted with partial sums; nothing gathers the members of a group.
+2. within a gram the segment: where equal segments meet, all their strings are
+   repeated;
+3. within a gram that different segments share, zones of ``ZONE`` strings at
+   equal offsets from the anchor: first by the bytes that all strings of a zone
+   hold, then by all bytes of the zone; where equal zones meet, all their strings
+   are repeated;
+4. the whole string, where zones with common bytes differ.
+
+From pass 2 on one member stands for all equal ones.  Digits are 64-bit digests
+under a digit before them, and 128 bits in the last pass.  Hot grams, segments
+and strings are counted with partial sums; nothing gathers a group's members.
 
 Defined results: a null text is empty; texts shorter than ``WIDTH`` stay
 whole; equal rows are different places, so long copies go entirely; offsets
@@ -42,7 +45,7 @@ from pyspark.sql import functions as F
 
 from .common import small, written
 
-WIDTH, GRAM = 200, 64
+WIDTH, GRAM, ZONE = 200, 64, 16
 #: Positions handled at once, and bits of a position in a sort key.
 _CHUNK, _BITS = 1 << 16, 18
 _LOW = np.uint64((1 << _BITS) - 1)
@@ -115,47 +118,70 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array(uid), b.column("doc_id"), pa.array([len(d) for d in data], pa.int64()),
              pa.array([press(d) for d in data], pa.binary()),
              _lists([f[0].view(np.int64) for f in found], pa.int64()),
-             _lists([f[1] for f in found], pa.int64()), _lists([f[2] for f in found], pa.int64())],
+             _lists([f[1] for f in found], pa.int32()), _lists([f[2] for f in found], pa.int32())],
             ["uid", "doc_id", "n_bytes", "z", "grams", "at", "first"])
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _digest(data: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(data) - (1 << 63)
+
+
+def _batch(rows: list[tuple], **fields) -> pa.RecordBatch:
+    cols = list(zip(*rows)) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, fields.values())], list(fields))
+
+
+def _picked(batches, rows: int):
+    """(uid, data, grams, at, first, last, picked) of each text."""
     opened = zstandard.ZstdDecompressor().decompress
-    for b in _slices(batches, 128):
+    for b in _slices(batches, rows):
+        yield ((uid, opened(z), grams, at, first, [x - 1 for x in first[1:]] + [n - WIDTH], picked)
+               for uid, n, z, grams, at, first, picked in zip(*(b.column(c).to_pylist() for c in (
+                   "uid", "n_bytes", "z", "grams", "at", "first", "picked"))))
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for texts in _picked(batches, 128):
+        yield _batch([(grams[i], _digest(data[first[i]:last[i] + WIDTH]), uid, i, first[i], last[i])
+                      for uid, data, grams, at, first, last, picked in texts for i in picked],
+                     gram=pa.int64(), seg=pa.int64(), uid=pa.int64(), i=pa.int32(), lo=pa.int32(), hi=pa.int32())
+
+
+def _zones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for texts in _picked(batches, 128):
         out = []
-        for uid, n, z, grams, at, first, picked in zip(*(b.column(c).to_pylist() for c in (
-                "uid", "n_bytes", "z", "grams", "at", "first", "picked"))):
-            data = opened(z)
-            last = [*first[1:], n - WIDTH + 1]
-            for i in picked:
-                lo, hi, a = first[i], last[i] - 1, at[i]
-                seg = hashlib.blake2b(data[lo:hi + WIDTH], digest_size=16).digest()
-                # 132 bytes to the left of and with the gram, or with it and to the right: strings
-                # that begin at a - 68 or before hold the first, all others the second
-                left = xxhash.xxh3_64_intdigest(data[a - 68:a + GRAM]) if lo <= a - 68 else None
-                right = xxhash.xxh3_64_intdigest(data[a:a + WIDTH - 68]) if hi > a - 68 else None
-                out.append((grams[i], seg, uid, lo, hi, a, left and left - (1 << 63), right and right - (1 << 63)))
-        cols = list(zip(*out)) if out else [()] * 8
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), *[pa.int64()] * 6))],
-            ["gram", "seg", "uid", "lo", "hi", "a", "left", "right"])
+        for uid, data, grams, at, first, last, picked in texts:
+            for x in picked:
+                i = x["i"]
+                a, lo, hi = at[i], first[i], last[i]
+                for k in range((a - hi) // ZONE, (a - lo) // ZONE + 1):
+                    p1 = a - k * ZONE
+                    p0 = p1 - ZONE + 1
+                    row = (grams[i], k, uid, max(p0, lo), min(p1, hi), x["single"])
+                    if p0 < 0 or p1 + WIDTH > len(data):  # the text ends inside the zone
+                        out.append((*row, True, None, None))
+                    else:
+                        out.append((*row, False, _digest(data[p1:p0 + WIDTH]), _digest(data[p0:p1 + WIDTH])))
+        yield _batch(out, gram=pa.int64(), k=pa.int32(), uid=pa.int64(), lo=pa.int32(), hi=pa.int32(),
+                     single=pa.bool_(), open=pa.bool_(), core=pa.int64(), hull=pa.int64())
 
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     opened = zstandard.ZstdDecompressor().decompress
     for b in _slices(batches, 64):
-        dig, uids, ps, one = [], [], [], []
+        raw, uids, ps, one = [], [], [], []
         for uid, z, asked in zip(*(b.column(c).to_pylist() for c in ("uid", "z", "asked"))):
             data = opened(z)
             for x in asked:
                 for p in range(x["lo"], x["hi"] + 1):
-                    dig.append(hashlib.blake2b(data[p:p + WIDTH], digest_size=16).digest())
+                    raw.append(hashlib.blake2b(data[p:p + WIDTH], digest_size=16).digest())
                     ps.append(p)
                     uids.append(uid)
                     one.append(x["single"])
+        both = np.frombuffer(b"".join(raw), np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(dig, pa.binary()), pa.array(uids, pa.int64()), pa.array(ps, pa.int64()),
-             pa.array(one, pa.bool_())], ["string", "uid", "p", "single"])
+            [pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(uids, pa.int64()), pa.array(ps, pa.int32()),
+             pa.array(one, pa.bool_())], ["x", "y", "uid", "p", "single"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,8 +209,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
 
-#: Lists of rows or grams up to these many rows are broadcast, longer ones shuffled.
-FEW = 1_000_000
+#: Lists of keys or texts up to so many rows are broadcast, longer ones shuffled.
+FEW = 250_000
+
+
+def spans_of(strings: DataFrame) -> DataFrame:
+    """(uid, lo, hi): first and last string -> the bytes that they cover."""
+    return strings.select("uid", F.col("lo").cast("long").alias("start"), (F.col("hi") + WIDTH).cast("long").alias("end"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -192,42 +223,44 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     rows = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     texts = written(rows.mapInArrow(
-        _index, f"uid long, doc_id {kind}, n_bytes long, z binary, grams array<long>, at array<long>, first array<long>"))
+        _index, f"uid long, doc_id {kind}, n_bytes long, z binary, grams array<long>, at array<int>, first array<int>"), "zstd")
     # pass 1: grams at two or more anchors
     every = texts.select("uid", F.posexplode("grams").alias("i", "gram"))
     twice = written(every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
-    picked = small(written(every.join(small(twice, FEW), "gram", "left_semi").groupBy("uid")
-                           .agg(F.collect_list("i").alias("picked"))), FEW // 4)
+    picked = written(every.join(small(twice, FEW), "gram", "left_semi").groupBy("uid")
+                     .agg(F.collect_list("i").alias("picked")))
     # pass 2: segments
-    segs = written(texts.join(picked, "uid").mapInArrow(
-        _segments, "gram long, seg binary, uid long, lo long, hi long, a long, left long, right long"))
-    one = F.min(F.struct("uid", "lo", "hi", "a", "left", "right")).alias("one")
-    kinds = written(segs.groupBy("gram", "seg").agg(F.count("*").alias("c"), one))
-    whole = (segs.select("gram", "seg", "uid", "lo", "hi")
-             .join(small(written(kinds.where("c > 1").select("gram", "seg")), FEW // 4), ["gram", "seg"], "left_semi")
-             .select("uid", F.col("lo").alias("start"), (F.col("hi") + WIDTH).alias("end")))
-    # pass 3: sides of the anchor shared by different segments
-    side = kinds.select("gram", "seg", "c", F.explode(F.array(
-        F.struct(F.lit("l").alias("side"), F.col("one.left").alias("v")),
-        F.struct(F.lit("r").alias("side"), F.col("one.right").alias("v")))).alias("s"), "one")
-    side = side.where("s.v is not null")
-    shared = written(side.groupBy("gram", "s").agg(F.count("*").alias("d")).where("d > 1").select("gram", "s"))
-    asked = side.join(small(shared, FEW // 4), ["gram", "s"], "left_semi")
-    middle = F.col("one.a") - 68
-    asked = asked.select(
-        F.col("one.uid").alias("uid"), (F.col("c") == 1).alias("single"),
-        F.when(F.col("s.side") == "l", F.col("one.lo")).otherwise(F.greatest(F.col("one.lo"), middle + 1)).alias("lo"),
-        F.when(F.col("s.side") == "l", F.least(F.col("one.hi"), middle)).otherwise(F.col("one.hi")).alias("hi"))
-    asked = small(written(asked.groupBy("uid").agg(F.collect_list(F.struct("lo", "hi", "single")).alias("asked"))),
-                  FEW // 4)
-    # pass 4: whole strings
-    strings = written(texts.select("uid", "z").join(asked, "uid").mapInArrow(
-        _strings, "string binary, uid long, p long, single boolean"))
-    same = small(written(strings.groupBy("string").agg(F.count("*").alias("c")).where("c > 1").select("string")), FEW // 4)
-    edges = (strings.where("single").join(same, "string", "left_semi")
-             .select("uid", F.col("p").alias("start"), (F.col("p") + WIDTH).alias("end")))
-    # runs of touching intervals become one, so that a text's list stays short
-    found = written(whole.unionByName(edges))
-    found = small(written(found.groupBy("uid").agg(F.collect_set(F.struct("start", "end")).alias("found"))), FEW // 4)
-    return texts.select("uid", "doc_id", "n_bytes", "z").join(found, "uid", "left").mapInArrow(
+    segs = written(texts.join(small(picked, FEW), "uid").mapInArrow(
+        _segments, "gram long, seg long, uid long, i int, lo int, hi int"), "zstd")
+    kinds = written(segs.groupBy("gram", "seg").agg(F.count("*").alias("c"), F.min(F.struct("uid", "i")).alias("one")))
+    whole = spans_of(segs.join(written(kinds.where("c > 1").select("gram", "seg")), ["gram", "seg"], "left_semi"))
+    # pass 3: zones of segments that share a gram
+    mixed = written(kinds.groupBy("gram").agg(F.count("*").alias("d")).where("d > 1").select("gram"))
+    picked = written(kinds.join(small(mixed, FEW), "gram", "left_semi").groupBy("one.uid").agg(
+        F.collect_list(F.struct("one.i", (F.col("c") == 1).alias("single"))).alias("picked")))
+    zones = written(texts.join(small(picked, FEW), "uid").mapInArrow(
+        _zones, "gram long, k int, uid long, lo int, hi int, single boolean, open boolean, core long, hull long"), "zstd")
+    key = ["gram", "k", "core", "hull"]
+    ends = small(written(zones.where("open").select("gram", "k").distinct()), FEW)
+    alike = zones.where("not open").groupBy(*key).agg(
+        F.count("*").alias("c"), F.min(F.struct("uid", "lo", "hi", "single")).alias("one"))
+    alike = written(alike)
+    inner = spans_of(zones.where("single and not open").join(
+        small(written(alike.where("c > 1").select(*key)), FEW), key, "left_semi"))
+    # pass 4: whole strings where zones with a common core differ, or a text ends in one
+    differ = written(alike.groupBy("gram", "k", "core").agg(F.count("*").alias("d")).where("d > 1").select("gram", "k", "core"))
+    one = ["one.uid", "one.lo", "one.hi", (F.col("one.single") & (F.col("c") == 1)).alias("single")]
+    by_core = alike.join(small(differ, FEW), ["gram", "k", "core"], "left_semi").select(*one)
+    by_end = alike.join(ends, ["gram", "k"], "left_semi").select(*one)
+    at_end = zones.where("open").select("uid", "lo", "hi", "single")
+    asked = by_core.unionByName(by_end).unionByName(at_end).distinct()
+    asked = written(asked.groupBy("uid").agg(F.collect_list(F.struct("lo", "hi", "single")).alias("asked")))
+    strings = written(texts.select("uid", "z").join(small(asked, FEW), "uid").mapInArrow(
+        _strings, "x long, y long, uid long, p int, single boolean"), "zstd")
+    same = written(strings.groupBy("x", "y").agg(F.count("*").alias("c")).where("c > 1").select("x", "y"))
+    edges = strings.where("single").join(small(same, FEW), ["x", "y"], "left_semi").select(
+        "uid", F.col("p").alias("lo"), F.col("p").alias("hi"))
+    found = written(whole.unionByName(inner).unionByName(spans_of(edges)).groupBy("uid").agg(
+        F.collect_set(F.struct("start", "end")).alias("found")))
+    return texts.select("uid", "doc_id", "n_bytes", "z").join(small(found, FEW), "uid", "left").mapInArrow(
         _cut, f"doc_id {kind}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
