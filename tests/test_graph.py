@@ -114,8 +114,8 @@ def test_closeness_and_betweenness_brute_force(spark):
             if w != s:
                 bc[w] += delta[w]
     scale = 1.0 / ((N - 1) * (N - 2))
-    got_c = {r.id: r.closeness for r in GA.closeness(n, e).collect()}
-    got_b = {r.id: r.betweenness for r in GA.betweenness(n, e).collect()}
+    got_c = {r.id: r.closeness for r in GA.closeness(n, e, n).collect()}
+    got_b = {r.id: r.betweenness for r in GA.betweenness(n, e, n).collect()}
     for v in nodes:
         assert got_c[v] == pytest.approx(clo[v], abs=1e-12)
         assert got_b[v] == pytest.approx(bc[v] * scale, abs=1e-12)
@@ -229,7 +229,7 @@ def test_auc_ap_brute_force(spark):
 def test_closeness_hll_close_to_exact(spark):
     nodes, edges = random_graph(seed=13, n=60, m=150)
     n, e = graph(spark, nodes, edges)
-    exact = {r.id: r.closeness for r in GA.closeness(n, e).collect()}
+    exact = {r.id: r.closeness for r in GA.closeness(n, e, n).collect()}
     approx = {r.id: r.closeness for r in GA.closeness_hll(n, e).collect()}
     for v in nodes:
         assert approx[v] == pytest.approx(exact[v], rel=0.03)

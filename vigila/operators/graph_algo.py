@@ -252,47 +252,40 @@ def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
     return per.agg(F.sum("q").alias("modularity"))
 
 
-def bfs_distances(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None,
-                  max_depth: int | None = None, checkpoint_every: int = 3) -> DataFrame:
-    """Unweighted shortest-path distances from every source (all nodes by
-    default) as ``(source, node, dist, sigma)`` - sigma counts shortest
-    paths.  Level-synchronous: all sources advance one hop per round."""
+def bfs_distances(edges: DataFrame, sources: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Unweighted shortest-path distances from the given ``sources`` (column
+    ``id``) as ``(source, node, dist, sigma)`` - sigma counts shortest paths.
+    Level-synchronous: all sources advance one hop per round.  In an undirected
+    graph a neighbour of level d is in level d - 1, d or d + 1, so a round looks
+    at the last two levels only and writes only the new one."""
+    from functools import reduce
     adj = _persist(adjacency(edges, None, self_loops_twice=False).where(F.col("src") != F.col("dst"))
                    .select("src", "dst").distinct())
-    src = (sources if sources is not None else nodes).select(F.col("id").alias("source"))
-    frontier = src.select("source", F.col("source").alias("node"), F.lit(0).alias("dist"),
-                          F.lit(1.0).alias("sigma"))
-    visited = cut_lineage(frontier)
-    frontier = visited
-    d = 0
-    while True:
-        d += 1
-        if max_depth is not None and d > max_depth:
-            break
-        step = (frontier.join(adj, frontier["node"] == adj["src"])
+    levels = [cut_lineage(sources.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(0).alias("dist"),
+                                         F.lit(1.0).alias("sigma")).distinct())]
+    while max_depth is None or len(levels) <= max_depth:
+        step = (levels[-1].join(adj, F.col("node") == adj["src"])
                 .groupBy("source", F.col("dst").alias("node")).agg(F.sum("sigma").alias("sigma")))
-        new = step.join(visited.select("source", "node"), ["source", "node"], "left_anti") \
-            .select("source", "node", F.lit(d).alias("dist"), "sigma")
-        # the frontier and the visited set both feed the next round, so both
-        # are checkpointed every round to keep the plan from doubling
-        new = cut_lineage(new)
-        if new.limit(1).count() == 0:
+        near = reduce(lambda a, b: a.unionByName(b), [x.select("source", "node") for x in levels[-2:]])
+        new = cut_lineage(step.join(near, ["source", "node"], "left_anti")
+                          .select("source", "node", F.lit(len(levels)).alias("dist"), "sigma"))
+        if new.isEmpty():
             break
-        visited = cut_lineage(visited.unionByName(new))
-        frontier = new
+        levels.append(new)
     adj.unpersist()
-    return visited
+    return reduce(lambda a, b: a.unionByName(b), levels)
 
 
-def closeness(nodes: DataFrame, edges: DataFrame, dist: DataFrame | None = None) -> DataFrame:
-    """Closeness with the component correction:
-    (r - 1) / sum(d) * (r - 1) / (n - 1), r = nodes reachable incl. self."""
+def closeness(nodes: DataFrame, edges: DataFrame, sources: DataFrame, dist: DataFrame | None = None) -> DataFrame:
+    """Exact closeness of the ``sources``, with the component correction:
+    (r - 1) / sum(d) * (r - 1) / (n - 1), r = nodes reachable incl. self.  The
+    work is sources x nodes; for all nodes see :func:`closeness_hll`."""
     n = nodes.count()
-    dist = dist if dist is not None else bfs_distances(nodes, edges)
+    dist = dist if dist is not None else bfs_distances(edges, sources)
     agg = dist.groupBy("source").agg(F.count(F.lit(1)).alias("r"), F.sum("dist").alias("s"))
     val = F.when((F.col("s") > 0) & F.lit(n > 1),
                  (F.col("r") - 1) / F.col("s") * (F.col("r") - 1) / F.lit(max(n - 1, 1))).otherwise(0.0)
-    return (nodes.select("id").join(agg.withColumnRenamed("source", "id"), "id", "left")
+    return (sources.select("id").distinct().join(agg.withColumnRenamed("source", "id"), "id", "left")
             .select("id", F.coalesce(val, F.lit(0.0)).alias("closeness")))
 
 
@@ -331,13 +324,15 @@ def closeness_hll(nodes: DataFrame, edges: DataFrame, lg_k: int = 12, max_depth:
     return st.select("id", val.alias("closeness"))
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, dist: DataFrame | None = None,
+def betweenness(nodes: DataFrame, edges: DataFrame, sources: DataFrame, dist: DataFrame | None = None,
                 normalized: bool = True) -> DataFrame:
-    """L4: exact betweenness (Brandes) from the all-sources BFS table: the
-    dependency delta(s, v) = sum over successors w of sigma_v / sigma_w *
+    """L4: betweenness (Brandes) of all nodes over the paths from ``sources``,
+    scaled to all nodes as sources; exact if the sources are all nodes.  The work
+    is sources x nodes.  The dependency delta(s, v) = sum over successors w of sigma_v / sigma_w *
     (1 + delta(s, w)) is accumulated level by level from the deepest."""
     n = nodes.count()
-    dist = _persist(dist if dist is not None else bfs_distances(nodes, edges))
+    dist = _persist(dist if dist is not None else bfs_distances(edges, sources))
+    share = n / max(sources.select("id").distinct().count(), 1)
     adj = _persist(adjacency(edges, None, self_loops_twice=False).where(F.col("src") != F.col("dst"))
                    .select("src", "dst").distinct())
     maxd = dist.agg(F.max("dist")).first()[0] or 0
@@ -367,17 +362,20 @@ def betweenness(nodes: DataFrame, edges: DataFrame, dist: DataFrame | None = Non
     else:
         bc = nodes.sparkSession.createDataFrame([], "node string, b double")
     # undirected: each pair counted from both ends
-    scale = 1.0 / ((n - 1) * (n - 2)) if (normalized and n > 2) else 0.5
+    scale = share * (1.0 / ((n - 1) * (n - 2)) if (normalized and n > 2) else 0.5)
     res = (nodes.select("id").join(bc.withColumnRenamed("node", "id"), "id", "left")
            .select("id", (F.coalesce("b", F.lit(0.0)) * F.lit(scale)).alias("betweenness")))
+    res = cut_lineage(res)
+    dist.unpersist()
+    adj.unpersist()
     return res
 
 
-def centrality_table(nodes: DataFrame, edges: DataFrame, include=("degree", "pagerank", "eigenvector",
-                                                                  "betweenness", "closeness")) -> DataFrame:
-    """All centralities by node, 0 where a node has no value."""
+def centrality_table(nodes: DataFrame, edges: DataFrame, sources: DataFrame,
+                     include=("degree", "pagerank", "eigenvector", "betweenness", "closeness")) -> DataFrame:
+    """All centralities by node, 0 where a node has no value.  Closeness is
+    the sketched one of all nodes, betweenness that over ``sources``."""
     out = nodes.select("id")
-    dist = None
     for name in include:
         if name == "degree":
             t = degree(nodes, edges)
@@ -385,9 +383,10 @@ def centrality_table(nodes: DataFrame, edges: DataFrame, include=("degree", "pag
             t = pagerank(nodes, edges)
         elif name == "eigenvector":
             t = eigenvector(nodes, edges)
-        elif name in ("betweenness", "closeness"):
-            dist = dist if dist is not None else _persist(bfs_distances(nodes, edges))
-            t = betweenness(nodes, edges, dist) if name == "betweenness" else closeness(nodes, edges, dist)
+        elif name == "betweenness":
+            t = betweenness(nodes, edges, sources)
+        elif name == "closeness":
+            t = closeness_hll(nodes, edges)
         else:
             raise ValueError(name)
         out = out.join(t, "id", "left")

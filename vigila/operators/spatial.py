@@ -235,29 +235,38 @@ def near_pairs(left: DataFrame, right: DataFrame, radius_m: float = 100.0,
 # -------------------------------------------------------------------- P8
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, lon: str = "longitude",
-                       lat: str = "latitude", rings: str = "rings", bucket_deg: float = 0.05) -> DataFrame:
+                       lat: str = "latitude", rings: str = "rings", bucket_deg: float = 0.05,
+                       per_polygon: int = 64) -> DataFrame:
     """Left spatial join, predicate *within*: one row per (point,
     containing polygon), points in no polygon kept once with null polygon
-    columns.  Polygons are replicated to the grid buckets their bounding
-    box covers; points go to one bucket; the ray cast runs as the join's
-    residual predicate, so there is one shuffle join and no second pass."""
+    columns.  Polygon ids are copied to the grid buckets of their bounding box,
+    about ``per_polygon`` of them (a large box gets larger buckets), and points
+    meet them by level and bucket; the rings are fetched by id afterwards for
+    the ray cast.  Points without coordinates keep out of the join."""
+    from ..session import cut_lineage
     pcols = [c for c in polygons.columns if c != rings]
     flat = F.flatten(F.col(rings))
-    poly = polygons.select(
-        *pcols, F.col(rings).alias("_rings"),
-        F.floor(F.array_min(F.transform(flat, lambda p: p["x"])) / bucket_deg).alias("_bx0"),
-        F.floor(F.array_max(F.transform(flat, lambda p: p["x"])) / bucket_deg).alias("_bx1"),
-        F.floor(F.array_min(F.transform(flat, lambda p: p["y"])) / bucket_deg).alias("_by0"),
-        F.floor(F.array_max(F.transform(flat, lambda p: p["y"])) / bucket_deg).alias("_by1"))
-    poly = (poly.withColumn("_pbx", F.explode(F.sequence("_bx0", "_bx1")))
-                .withColumn("_pby", F.explode(F.sequence("_by0", "_by1")))
-                .drop("_bx0", "_bx1", "_by0", "_by1"))
-    pts = points.withColumns({"_qbx": F.floor(F.col(lon) / bucket_deg),
-                              "_qby": F.floor(F.col(lat) / bucket_deg)})
-    cond = ((pts["_qbx"] == poly["_pbx"]) & (pts["_qby"] == poly["_pby"])
-            & rings_contain(poly["_rings"], pts[lon], pts[lat]))
-    out = pts.join(poly, cond, "left")
-    return out.drop("_qbx", "_qby", "_pbx", "_pby", "_rings")
+    xs, ys = F.transform(flat, lambda p: p["x"]), F.transform(flat, lambda p: p["y"])
+    poly = cut_lineage(polygons.withColumn("_pid", F.monotonically_increasing_id()))
+    box = poly.select("_pid", F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"),
+                      F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"))
+    # level: buckets of bucket_deg * 2^level, so that a box covers few of them
+    cells = (F.col("x1") - F.col("x0") + bucket_deg) * (F.col("y1") - F.col("y0") + bucket_deg) / (bucket_deg ** 2)
+    box = box.withColumn("_level", F.greatest(F.ceil(F.log2(cells / per_polygon) / 2), F.lit(0)).cast("int"))
+    width = F.lit(bucket_deg) * F.pow(F.lit(2.0), F.col("_level"))
+    box = (box.withColumn("_bx", F.explode(F.sequence(F.floor(F.col("x0") / width), F.floor(F.col("x1") / width))))
+              .withColumn("_by", F.explode(F.sequence(F.floor(F.col("y0") / width), F.floor(F.col("y1") / width)))))
+    levels = [r[0] for r in box.select("_level").distinct().collect()]  # at most about a dozen
+    pts = cut_lineage(points.withColumn("_qid", F.monotonically_increasing_id()))
+    at = pts.where(F.col(lon).isNotNull() & F.col(lat).isNotNull()).select(
+        "_qid", F.col(lon).alias("_x"), F.col(lat).alias("_y"),
+        F.explode(F.array(*[F.lit(v) for v in levels]).cast("array<int>")).alias("_level"))
+    at = at.withColumns({"_bx": F.floor(F.col("_x") / width), "_by": F.floor(F.col("_y") / width)})
+    near = at.join(box.select("_pid", "_level", "_bx", "_by", "x0", "x1", "y0", "y1"), ["_level", "_bx", "_by"])
+    near = near.where(F.col("_x").between(F.col("x0"), F.col("x1")) & F.col("_y").between(F.col("y0"), F.col("y1")))
+    hit = near.join(poly.select("_pid", F.col(rings).alias("_rings"), F.struct(*pcols).alias("_p")), "_pid")
+    hit = hit.where(rings_contain(F.col("_rings"), F.col("_x"), F.col("_y"))).select("_qid", "_p")
+    return pts.join(hit, "_qid", "left").select(*points.columns, *[F.col("_p")[c].alias(c) for c in pcols])
 
 
 def polygon_at(polygons: DataFrame, lon: float, lat: float, order: str, rings: str = "rings") -> DataFrame:

@@ -109,12 +109,16 @@ def build_graph_job(spark: SparkSession, incidents_path=None, calls_path=None, d
 
 
 def analyze_graph(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, k: int = 20,
+                  sources: DataFrame | None = None,
                   sample_pos: int = 5000, sample_neg: int = 5000, seed: int = 42,
                   supervised: bool = True) -> dict:
     """Centralities, top influencers and bridges, communities,
     heuristic link scores, supervised link model and its top predictions.  The
-    candidate ``pairs`` (u, v) are a relation of the caller's and are all scored."""
-    cent = GA.centrality_table(nodes, edges)
+    candidate ``pairs`` (u, v) are a relation of the caller's and are all scored.
+    Betweenness is taken over ``sources``, by default the 100 nodes of highest degree."""
+    if sources is None:
+        sources = G.top_k(GA.degree(nodes, edges), "degree", 100, "id")
+    cent = GA.centrality_table(nodes, edges, sources)
     out = {"centrality": cent,
            "influencers": G.top_k(cent, "pagerank", k, "id"),
            "bridges": G.top_k(cent, "betweenness", k, "id"),
