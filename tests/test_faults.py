@@ -164,3 +164,32 @@ def test_rising_count_and_faults(spark, tmpdir_path):
     open(os.path.join(bad, "part-0.parquet"), "w").write("no parquet")
     with pytest.raises(Exception):
         A.alert_sink(bad)(batch(1), 0)
+
+
+def test_split_is_exact_in_every_class(spark):
+    df = spark.range(1000).selectExpr("cast(id as string) as u", "cast(id as string) as v", "int(id % 10 = 0) as label")
+    got = {(r.label, r.is_test): r["count"] for r in L.stratified_split(df, "label", 0.2, 7).groupBy("label", "is_test").count().collect()}
+    assert got == {(0, True): 180, (0, False): 720, (1, True): 20, (1, False): 80}
+    again = L.stratified_split(df.repartition(9), "label", 0.2, 7).where("is_test")
+    assert {r.u for r in again.collect()} == {r.u for r in L.stratified_split(df, "label", 0.2, 7).where("is_test").collect()}
+
+
+def test_large_polygon_and_points_without_place(spark):
+    from vigila.operators import spatial as S
+
+    def box(name, x0, y0, x1, y1):
+        ring = [{"x": x, "y": y} for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0))]
+        return (name, [ring])
+    polys = spark.createDataFrame([box("big", 0.0, 0.0, 40.0, 40.0), box("small", 10.0, 10.0, 10.01, 10.01)],
+                                  "region string, rings array<array<struct<x:double,y:double>>>")
+    pts = spark.createDataFrame([(1, 10.005, 10.005), (2, 39.9, 0.1), (3, 41.0, 1.0), (4, None, 1.0)],
+                                "id long, longitude double, latitude double")
+    got = sorted((r.id, r.region or "") for r in S.points_in_polygons(pts, polys).collect())
+    assert got == [(1, "big"), (1, "small"), (2, "big"), (3, ""), (4, "")]
+    assert S.points_in_polygons(pts, polys.limit(0)).count() == 4
+
+
+def test_edge_list(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "e.csv")
+    open(p, "w").write("u,v\na,b\nb,c\n")
+    assert {(r.src, r.dst) for r in R.read_edge_list(spark, p).collect()} == {("a", "b"), ("b", "c")}

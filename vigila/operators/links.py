@@ -160,14 +160,19 @@ def heuristic_link_scores(edges: DataFrame, pairs: DataFrame, rank_ensemble: boo
 
 def stratified_split(df: DataFrame, label: str = "label", test_size: float = 0.2, seed: int = 42,
                      keys=("u", "v")) -> DataFrame:
-    """M6: repeatable split; adds ``is_test``.  Each row goes to test when
-    its seeded key hash, scaled to [0, 1), falls below ``test_size`` - a
-    per-row decision, so every class keeps the test share in expectation
-    and no class is gathered into one task (a per-class rank window
-    would put a whole class in one partition)."""
+    """M6: repeatable split, exact in every class; adds ``is_test``.  In the order
+    of a seeded key hash the first ``round(n * test_size)`` rows of each class of n
+    are test rows.  Ranks are put together from counts by (class, 4096 hash
+    ranges), so no class is gathered into one task."""
     h = hash64(f"{seed}s", F.concat_ws("|", F.col(label).cast("string"), *keys))
-    u = (h % F.lit(1_000_000_007)) / F.lit(1_000_000_007.0)
-    return df.withColumn("is_test", u < F.lit(float(test_size)))
+    d = df.withColumn("_h", h).withColumn("_b", F.shiftright("_h", 48))
+    n = d.groupBy(label, "_b").agg(F.count("*").alias("_n"))
+    before = W.partitionBy(label).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    n = n.select(F.col(label).alias("_l"), F.col("_b").alias("_bb"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"),
+                 F.round(F.sum("_n").over(W.partitionBy(label)) * F.lit(float(test_size))).alias("_k"))
+    d = d.withColumn("_r", F.row_number().over(W.partitionBy(label, "_b").orderBy("_h", *keys)))
+    d = d.join(n, F.col(label).eqNullSafe(F.col("_l")) & (F.col("_b") == F.col("_bb")))
+    return d.withColumn("is_test", F.col("_o") + F.col("_r") <= F.col("_k")).drop("_h", "_b", "_l", "_bb", "_o", "_k", "_r")
 
 
 def fit_scaler(df: DataFrame, cols: list[str]) -> dict:

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.geo import ring_centroid
-from ..sources.fixtures import demographics_view, raw_incidents_view
+from ..sources.fixtures import demographics_view, load_table, raw_incidents_view
 from ..sources.sinks import assert_unique
 from ..operators import spatial as S
 from ..operators import timecell as T
@@ -15,7 +15,7 @@ from ..operators import graph_build as B
 from ..operators import graph_algo as GA
 from ..operators import aggregates as G
 from ..operators import normalize as N
-from .queries import (register, clean_incidents_df, r6, ts_text, _with, SQL_INCIDENT, SQL_CALL, SQL_PTS, SQL_RAW, SALT,
+from .queries import (register, clean_calls_df, clean_incidents_df, r6, ts_text, _with, SQL_INCIDENT, SQL_CALL, SQL_PTS, SQL_RAW, SALT,
                       CELL, _sql_ts)
 from .graph_queries import fixture_graph, SQL_GRAPH, SQL_DEG
 
@@ -103,6 +103,75 @@ select u, v from ce
 order by cast(('0x' || substr(md5('42e:' || u || '|' || v), 1, 15)) as bigint), u, v limit 500"""
 
 
+def devices_view(spark, sf):
+    """Device map from customers: one phone each, some unknown."""
+    c = F.col("c_custkey")
+    return load_table(spark, sf, "customer").select(
+        F.concat(F.lit("IM"), c.cast("string")).alias("imei"),
+        F.when(c % 9 != 0, (c % 150).cast("string")).alias("phone_number"))
+
+
+def locations_view(spark, sf):
+    """Locations from suppliers, over the incident area."""
+    k = F.col("s_suppkey")
+    return load_table(spark, sf, "supplier").select(
+        F.concat(F.lit("L"), k.cast("string")).alias("loc_id"), F.col("s_name").alias("name"),
+        (F.lit(28.5) + (k * 7919) % 997 / 9970.0).alias("latitude"),
+        (F.lit(77.0) + (k * 6101) % 991 / 9910.0).alias("longitude"))
+
+
+def q_device_edges(spark, sf):
+    """Devices and their phones."""
+    _, e = B.device_graph(devices_view(spark, sf), SALT)
+    return e.select("src", "dst", "relation")
+
+
+SQL_device_edges = f"""
+select 'Device::IM' || c_custkey as src,
+       'Phone::' || substr(sha256(cast(c_custkey % 150 as varchar) || '{SALT}'), 1, 20) as dst,
+       'ASSOCIATED_WITH' as relation
+from customer where c_custkey % 9 <> 0"""
+
+
+def q_call_devices(spark, sf):
+    """Devices named in calls, one edge per call, blank ones left out."""
+    c = clean_calls_df(spark, sf)
+    h = F.length("cdr_id")
+    c = c.withColumn("imei", F.when(h % 2 == 0, F.concat(F.lit("IM"), "caller_id")).otherwise(F.lit(" ")))
+    _, e = B.phone_graph(c, SALT)
+    return e.groupBy("relation", "src").agg(F.count("*").alias("n"))
+
+
+SQL_call_devices = _with(SQL_CALL) + f"""
+select 'CALLED' as relation, 'Phone::' || substr(sha256(caller_id || '{SALT}'), 1, 20) as src, count(*) as n
+from call_rec where start_time is not null group by 2
+union all
+select 'USED_BY_PHONE', 'Device::IM' || caller_id, count(*)
+from call_rec where start_time is not null and length(cdr_id) % 2 = 0 group by 2"""
+
+
+def q_near_locations(spark, sf):
+    """Cases within 200 m of a location."""
+    inc = clean_incidents_df(spark, sf)
+    e = B.near_location_edges(inc, locations_view(spark, sf), 200.0)
+    return e.select("src", "dst", r6("distance_m").alias("distance_m"))
+
+
+SQL_near_locations = _with(SQL_INCIDENT, """
+loc as (select 'Location::L' || s_suppkey as id, 28.5e0 + ((s_suppkey*7919) % 997)/9970.0e0 as lat,
+               77.0e0 + ((s_suppkey*6101) % 991)/9910.0e0 as lon from supplier),
+pr as (select 'Case::' || fir_id as src, t.id as dst,
+         pow(sin(radians(t.lat - i.latitude) / 2), 2)
+           + cos(radians(i.latitude)) * cos(radians(t.lat)) * pow(sin(radians(t.lon - i.longitude) / 2), 2) as a
+       from incident i, loc t
+       where i.date_time is not null and abs(t.lat - i.latitude) < 0.004 and abs(t.lon - i.longitude) < 0.006)""") + """
+select src, dst, round(2 * 6371000.0 * atan2(sqrt(a), sqrt(1 - a)), 6) as distance_m
+from pr where 2 * 6371000.0 * atan2(sqrt(a), sqrt(1 - a)) <= 200.0"""
+
+
+register("device_edges", q_device_edges, SQL_device_edges)
+register("call_devices", q_call_devices, SQL_call_devices)
+register("near_locations", q_near_locations, SQL_near_locations)
 register("dense_counts", q_dense_counts, SQL_dense_counts)
 register("graph_display", q_graph_display, SQL_graph_display)
 register("layer_center", q_layer_center, SQL_layer_center)
