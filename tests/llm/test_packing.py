@@ -52,19 +52,20 @@ def test_closest_fill_is_closest():
 
 
 def test_words_encode_like_whole_texts():
-    whole = Tokenizer.from_file(P.tokenizer_path())
+    whole = Tokenizer.from_file(P.vocabulary("byte_bpe_50k.json"))
     texts = ["", " ", "  a  b ", "a <|endoftext|> b<|endoftext|>c  <|endoftext|>\n", "\n\n x\ty\r\n z", "a　 b  c",
-             "it's 'll  don't 12 3 ..  !! \x1c x", " lead", "trail ", "a \n b", "é  b  😀 😀", "x" * 5000]
+             "it's 'll  don't 12 3 ..  !! \x1c x", " lead", "trail ", "a \n b", "é  b  😀 😀", "x" * 5000,
+             "", "!!", "a!! b", "don't. it's, we'll! 'tis", "x² ½ ªº µ·¸", "ÀÿĀɏ ɐ привет, 漢字。 ١٢٣ ①", "a\u00adb c\u00a0d \u200b"]
     rnd = random.Random(2)
     texts += ["".join(rnd.choice("ab1.,' \n\té") for _ in range(60)) for _ in range(300)]
-    got = P.WordTokenizer(P.tokenizer_path())(texts)
+    got = P.WordTokenizer(P.vocabulary("byte_bpe_50k.json"), P.vocabulary("byte_bpe_50k.tiktoken"))(texts)
     assert got == [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
 def test_pieces_of_odd_rows(spark):
     docs = documents(spark)
     got = packed(docs).collect()
-    whole = Tokenizer.from_file(P.tokenizer_path())
+    whole = Tokenizer.from_file(P.vocabulary("byte_bpe_50k.json"))
     want = defaultdict(int)
     ids = {}
     for r in docs.collect():
