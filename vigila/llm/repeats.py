@@ -209,10 +209,15 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
 
-#: Lists of keys or texts up to so many rows are broadcast, longer ones shuffled.
+#: Up to so many keys, or members of all lists, are broadcast, more are shuffled.
 FEW = 250_000
 
 
+def few_lists(lists: DataFrame, column: str) -> DataFrame:
+    members = lists.agg(F.sum(F.size(column))).first()[0] or 0
+    return F.broadcast(lists) if members <= FEW else lists
+
+
 def spans_of(strings: DataFrame) -> DataFrame:
     """(uid, lo, hi): first and last string -> the bytes that they cover."""
     return strings.select("uid", F.col("lo").cast("long").alias("start"), (F.col("hi") + WIDTH).cast("long").alias("end"))
@@ -230,7 +235,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     picked = written(every.join(small(twice, FEW), "gram", "left_semi").groupBy("uid")
                      .agg(F.collect_list("i").alias("picked")))
     # pass 2: segments
-    segs = written(texts.join(small(picked, FEW), "uid").mapInArrow(
+    segs = written(texts.join(few_lists(picked, "picked"), "uid").mapInArrow(
         _segments, "gram long, seg long, uid long, i int, lo int, hi int"), "zstd")
     kinds = written(segs.groupBy("gram", "seg").agg(F.count("*").alias("c"), F.min(F.struct("uid", "i")).alias("one")))
     whole = spans_of(segs.join(written(kinds.where("c > 1").select("gram", "seg")), ["gram", "seg"], "left_semi"))
@@ -238,7 +243,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     mixed = written(kinds.groupBy("gram").agg(F.count("*").alias("d")).where("d > 1").select("gram"))
     picked = written(kinds.join(small(mixed, FEW), "gram", "left_semi").groupBy("one.uid").agg(
         F.collect_list(F.struct("one.i", (F.col("c") == 1).alias("single"))).alias("picked")))
-    zones = written(texts.join(small(picked, FEW), "uid").mapInArrow(
+    zones = written(texts.join(few_lists(picked, "picked"), "uid").mapInArrow(
         _zones, "gram long, k int, uid long, lo int, hi int, single boolean, open boolean, core long, hull long"), "zstd")
     key = ["gram", "k", "core", "hull"]
     ends = small(written(zones.where("open").select("gram", "k").distinct()), FEW)
@@ -255,12 +260,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     at_end = zones.where("open").select("uid", "lo", "hi", "single")
     asked = by_core.unionByName(by_end).unionByName(at_end).distinct()
     asked = written(asked.groupBy("uid").agg(F.collect_list(F.struct("lo", "hi", "single")).alias("asked")))
-    strings = written(texts.select("uid", "z").join(small(asked, FEW), "uid").mapInArrow(
+    strings = written(texts.select("uid", "z").join(few_lists(asked, "asked"), "uid").mapInArrow(
         _strings, "x long, y long, uid long, p int, single boolean"), "zstd")
     same = written(strings.groupBy("x", "y").agg(F.count("*").alias("c")).where("c > 1").select("x", "y"))
     edges = strings.where("single").join(small(same, FEW), ["x", "y"], "left_semi").select(
         "uid", F.col("p").alias("lo"), F.col("p").alias("hi"))
     found = written(whole.unionByName(inner).unionByName(spans_of(edges)).groupBy("uid").agg(
         F.collect_set(F.struct("start", "end")).alias("found")))
-    return texts.select("uid", "doc_id", "n_bytes", "z").join(small(found, FEW), "uid", "left").mapInArrow(
+    return texts.select("uid", "doc_id", "n_bytes", "z").join(few_lists(found, "found"), "uid", "left").mapInArrow(
         _cut, f"doc_id {kind}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
