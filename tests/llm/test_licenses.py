@@ -65,3 +65,29 @@ def test_odd_rows(spark):
     got = L.scan_licenses(docs, F.concat_ws("/", "source", "lang", "doc_id"))
     assert got.count() == docs.count() and got.where("basis = 'own'").count() == 1
     assert L.scan_licenses(docs.limit(0), F.lit("a/b")).count() == 0
+
+
+def test_headers_texts_titles(spark):
+    """Standard headers, wrapped and in comments, whole texts, SPDX lines and titles."""
+    from pathlib import Path
+    texts = Path(L.__file__).parent / "license_texts"
+    rows = []
+    for f in sorted(texts.glob("*.txt")):
+        raw, name = f.read_text(), f.name.removesuffix(".txt")
+        rows.append((name.removesuffix(".header"), raw))
+        rows.append((name.removesuffix(".header"), "Copyright 2020 A. N. Other\n\n" + "\n".join("# " + x for x in raw.split("\n")) + "\n\nx = 1\n" * 300))
+    rows += [("MIT", "// SPDX-License-Identifier: MIT\ncode"), ("Apache-2.0", "/* SPDX-License-Identifier: Apache-2.0 */"),
+             ("GPL-2.0-only OR MIT", "# SPDX-License-Identifier: GPL-2.0-only OR MIT\nx"), ("MIT", "MIT License\n\nsome words"),
+             ("AGPL-3.0", " GNU AFFERO GENERAL PUBLIC LICENSE\n  Version 3, 19 November 2007\n\nmore"),
+             ("GPL-3.0", "under the terms of the GNU General Public License as published by the Free Software Foundation, version 3."),
+             ("MIT", "This is released\n# under the MIT\n# License."), ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+             ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+             ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+             (None, "We hold a license to drive. The mozilla public was there."), (None, "This work is licensed under the GNU General Public License, version 4.")]
+    # every document is a directory of its own, so none inherits
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)] + [(1000 + i, f"plain text {i}") for i in range(100)],
+                                 "doc_id long, text string")
+    got = L.scan_licenses(docs, F.concat(F.lit("d"), "doc_id", F.lit("/f"))).select("doc.doc_id", "license").collect()
+    got = {r.doc_id: r.license for r in got}
+    wrong = [(want, got[i], text[:60]) for i, (want, text) in enumerate(rows) if got[i] != want]
+    assert not wrong
