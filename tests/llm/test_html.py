@@ -49,3 +49,20 @@ def test_every_page_of_the_table(spark):
         parts = re.split(r"</?(?:p|h1|li|ul|div)[^>]*>", art)
         clean = [" ".join(html.unescape(re.sub(r"<[^>]+>", " " if "<br" in x else "", x)).split()) for x in parts]
         assert r.text.replace(" ", "") == "\n".join(x for x in clean if x).replace(" ", "")
+
+
+def test_unclosed_head():
+    body = "<article><h1>T</h1><p>Some text, of the page. And more.</p></article>"
+    text = "T\nSome text, of the page. And more."
+    assert main_text(f"<html><head><title>x</title><meta charset=a><body>{body}</body></html>") == text
+    assert main_text(f"<head><title>x</title><script>var a = 1;</script>{body}") == text
+
+
+def test_wrapper_class():
+    text = "T\nSome text, of the page. And more, as it is the longest."
+    inner = "<h1>T</h1><p>Some text, of the page. And more, as it is the longest.</p>"
+    for name in ("has-sidebar", "no-sidebar", "with-ads", "menu-open"):
+        for box in (f"<div class={name}><article>{inner}</article><div class=sidebar>Other, text.</div></div>",
+                    f"<div class='page {name}'><div class=x>{inner}</div><div class=sidebar>Other, text.</div></div>"):
+            assert main_text(f"<body>{box}</body>") == text, box
+    assert main_text(f"<div class=comments><article>Hi, there.</article></div><div><p>{inner}</div>") == text

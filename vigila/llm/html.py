@@ -5,10 +5,11 @@ their class and id).  Text length and punctuation are summed over the blocks
 of each path, and the share of it that stands in links is taken off.  The two
 ratios per block are smoothed over neighbouring blocks of the same container
 and fused.  Paths that reach a part of the page's best path are content, and
-so is whatever shares the best path's container.  Elements that name
-themselves as something other than the article (menus, headers, footers,
-sidebars, notices, adverts, forms, comments) never count, and if a page marks
-its article, only that part competes.
+so is whatever shares the best path's container.  Elements that name themselves as something other than the
+article (menus, headers, footers, sidebars, notices, adverts, forms, comments)
+never count, and if a page marks its article, only that part competes.  A
+class or id that has such a word doesn't count on an element that holds the
+article: an unnamed article or main, or else most of the page's text.
 
 Each page is read on its own, whole, in one pass; nothing is shuffled.
 
@@ -50,6 +51,8 @@ ENDS = {
     "li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"),
     "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select"),
 }
+#: What may stand in an unclosed head; any other start tag, or text, ends it.
+HEAD = frozenset("base basefont bgsound link meta title script style noscript template noframes".split())
 _PUNCT = re.compile(r"[.,;:!?。、，！？]")
 _TOKEN = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 #: A path counts from this part of the best path's score.
@@ -67,15 +70,18 @@ def _names(attributes: str) -> frozenset[str]:
 
 class _Page(HTMLParser):
     """Blocks of a page: [path, container, text pieces, characters in links, marked,
-    in a form]."""
+    in a form, the elements whose class or id bans the block]."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple] = []  # tag, label, banned, marked, in a link
+        self.open: list[tuple] = []  # tag, label, banned, marked, in a link, banned by class or id
+        self.worded = 0
         self.blocks: list[list] = []
         self.fresh = True
 
     def handle_starttag(self, tag, attrs):
+        if tag not in HEAD and tag != "head":
+            self._end_head()
         if tag in BLOCK:
             self._end("p", stop="article main section div td th body")
             self.fresh = True
@@ -88,7 +94,7 @@ class _Page(HTMLParser):
             return
         a = {k: v or "" for k, v in attrs}
         names = _names(f"{a.get('class', '')} {a.get('id', '')}")
-        _, _, banned, marked, linked = self.open[-1] if self.open else ("", "", "", False, False)
+        _, _, banned, marked, linked, by = self.open[-1] if self.open else ("", "", "", False, False, ())
         main = tag in ("article", "main") or a.get("role") in ("main", "article") or a.get("itemprop") == "articleBody"
         if not banned or banned == "form":
             if tag in NEVER or a.get("role") in ROLES:
@@ -96,17 +102,29 @@ class _Page(HTMLParser):
             elif tag in ("html", "body"):
                 pass
             elif main:
-                banned = "comment" if names & TALK else banned
-            elif names & OTHER or (not marked and (tag == "header" or "header" in names)):
+                if names & TALK:
+                    banned = "comment"
+                elif not any(talk for _, talk in by):
+                    by = ()  # an article is not what the words of its wrappers say
+            elif not marked and tag == "header":
                 banned = "other"
+            elif names & OTHER or (not marked and "header" in names):
+                self.worded += 1
+                by = (*by, (self.worded, bool(names & TALK)))
         label = ".".join((tag, *sorted(names))) if tag in BLOCK else None
-        self.open.append((tag, label, banned, marked or (main and not banned), linked or tag == "a"))
+        marked = marked or (main and not banned and not by)
+        self.open.append((tag, label, banned, marked, linked or tag == "a", by))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID and tag not in BLOCK:
             self.handle_endtag(tag)
 
+    def _end_head(self):
+        if self.open and self.open[-1][0] == "head":
+            del self.open[-1]
+            self.fresh = True
+
     def _end(self, tags, stop):
         tags, stop = tags.split(), stop.split()
         for i in range(len(self.open) - 1, -1, -1):
@@ -128,7 +146,9 @@ class _Page(HTMLParser):
                 return  # an inline element doesn't close its container
 
     def handle_data(self, data):
-        _, _, banned, marked, linked = self.open[-1] if self.open else ("", "", "", False, False)
+        if not data.isspace():
+            self._end_head()
+        _, _, banned, marked, linked, by = self.open[-1] if self.open else ("", "", "", False, False, ())
         if banned and banned != "form":
             if not data.isspace():
                 self.fresh = True
@@ -137,7 +157,7 @@ class _Page(HTMLParser):
             if data.isspace():
                 return
             labels = [x[1] for x in self.open if x[1]]
-            self.blocks.append(["/".join(labels), "/".join(labels[:-1]), [], 0, marked, banned == "form"])
+            self.blocks.append(["/".join(labels), "/".join(labels[:-1]), [], 0, marked, banned == "form", by])
             self.fresh = False
         b = self.blocks[-1]
         b[2].append(data)
@@ -156,9 +176,19 @@ def main_text(page: str | None) -> str:
     parser = _Page()
     parser.feed(page or "")
     parser.close()
-    blocks = [(path, box, " ".join("".join(t).split()), link, marked, form)
-              for path, box, t, link, marked, form in parser.blocks]
+    blocks = [(path, box, " ".join("".join(t).split()), link, marked, form, by)
+              for path, box, t, link, marked, form, by in parser.blocks]
     blocks = [b for b in blocks if b[2]]
+    # a class or id bans its element, unless that holds most of the page's text
+    if not any(b[4] for b in blocks):
+        held: dict[int, int] = {}
+        for b in blocks:
+            for one, talk in b[6]:
+                held[one] = held.get(one, 0) + (0 if talk else max(len(b[2]) - b[3], 0))
+        most = sum(max(len(b[2]) - b[3], 0) for b in blocks) / 2
+        blocks = [b for b in blocks if all(held[one] > most for one, _ in b[6])]
+    else:
+        blocks = [b for b in blocks if not b[6]]
     # a form is not main text, unless the page is one large form
     if 2 * sum(len(b[2]) for b in blocks if b[5]) <= sum(len(b[2]) for b in blocks):
         blocks = [b for b in blocks if not b[5]]
@@ -166,7 +196,7 @@ def main_text(page: str | None) -> str:
         blocks = [b for b in blocks if b[4]]
     # length and punctuation per block of each path, without what stands in links
     sums: dict[str, list[float]] = {}
-    for path, _, text, link, _, _ in blocks:
+    for path, _, text, link, *_ in blocks:
         s = sums.setdefault(path, [0, 0, 0, 0])
         s[0] += 1
         s[1] += max(len(text) - link, 0)
