@@ -66,3 +66,15 @@ def test_wrapper_class():
                     f"<div class='page {name}'><div class=x>{inner}</div><div class=sidebar>Other, text.</div></div>"):
             assert main_text(f"<body>{box}</body>") == text, box
     assert main_text(f"<div class=comments><article>Hi, there.</article></div><div><p>{inner}</div>") == text
+
+
+def test_nothing_else_dropped():
+    text = "Some text, of the page. And more, as it is the longest."
+    # a heading above the text's own container, and short blocks of sibling sections
+    assert main_text(f"<body><div class=content><h1>T</h1><div class=body><p>{text}</p></div></div></body>") == f"T\n{text}"
+    page = "".join(f"<section id={n}><h2>{n}</h2><p>{text}</p><p>Short {n}.</p></section>" for n in ("intro", "results"))
+    assert main_text(f"<body><div class=content>{page}</div></body>") == \
+        f"intro\n{text}\nShort intro.\nresults\n{text}\nShort results."
+    # a marked article is kept whole, links included
+    assert main_text(f"<article><p>{text}</p><p><a href=/x>A linked line.</a></p><ul><li><a href=/y>one</a></ul></article>") \
+        == f"{text}\nA linked line.\none"

@@ -5,9 +5,10 @@ their class and id).  Text length and punctuation are summed over the blocks
 of each path, and the share of it that stands in links is taken off.  The two
 ratios per block are smoothed over neighbouring blocks of the same container
 and fused.  Paths that reach a part of the page's best path are content, and
-so is whatever shares the best path's container.  Elements that name themselves as something other than the
+so is whatever stands in the lowest container that holds all of them, and
+headings in the containers above it, but for blocks of links.  Elements that name themselves as something other than the
 article (menus, headers, footers, sidebars, notices, adverts, forms, comments)
-never count, and if a page marks its article, only that part competes.  A
+never count, and if a page marks its article, that part is taken whole.  A
 class or id that has such a word doesn't count on an element that holds the
 article: an unnamed article or main, or else most of the page's text.
 
@@ -55,6 +56,7 @@ ENDS = {
 HEAD = frozenset("base basefont bgsound link meta title script style noscript template noframes".split())
 _PUNCT = re.compile(r"[.,;:!?。、，！？]")
 _TOKEN = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+_HEADING = re.compile(r"h[1-6](?:\.|$)")
 #: A path counts from this part of the best path's score.
 PART = 0.3
 
@@ -209,13 +211,22 @@ def main_text(page: str | None) -> str:
     for b, n, p in zip(blocks, length, points):
         score[b[0]] = max(score.get(b[0], 0.0), n * (1 + p))
     best = max(score.values(), default=0.0)
-    seeds = {b[1] for b in blocks if score[b[0]] == best}
+    strong = [b[1].split("/") for b in blocks if score[b[0]] >= PART * best]
+    # the lowest container that holds every path that counts, by the labels they share
+    seed = []
+    for labels in zip(*strong):
+        if len(set(labels)) > 1:
+            break
+        seed.append(labels[0])
+    seed = "/".join(seed)
 
     def content(b) -> bool:
-        if score[b[0]] >= PART * best:
+        if b[4] or score[b[0]] >= PART * best:
             return True
-        inside = b[4] or any(b[1] == s or b[1].startswith(s + "/") for s in seeds)
-        return inside and b[3] * 2 <= len(b[2])
+        inside = not seed or f"{b[1]}/".startswith(seed + "/")
+        # a heading of the text may stand in a container above
+        heads = _HEADING.match(b[0].rsplit("/", 1)[-1]) and f"{seed}/".startswith(b[1] + "/")
+        return bool(inside or heads) and b[3] * 2 <= len(b[2])
 
     return "\n".join(b[2] for b in blocks if content(b))
 
