@@ -324,11 +324,28 @@ def closeness_hll(nodes: DataFrame, edges: DataFrame, lg_k: int = 12, max_depth:
     return st.select("id", val.alias("closeness"))
 
 
+#: Share of the nodes that are pivots of estimated betweenness.
+PIVOT_SHARE = 0.05
+
+
+def pivots(nodes: DataFrame, share: float = PIVOT_SHARE) -> DataFrame:
+    """Hash-sampled sources: this share of the nodes by the md5 of their id,
+    whatever their degree (at least one node, if there are any)."""
+    h = F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 8), 16, 10).cast("long")
+    ids = _persist(nodes.select("id").distinct().withColumn("h", h))
+    limit = F.lit(int(share * 2 ** 32))
+    least = ids.agg(F.min("h")).first()[0]
+    out = cut_lineage(ids.where((F.col("h") < limit) | (F.col("h") == F.lit(least))).select("id"))
+    ids.unpersist()
+    return out
+
+
 def betweenness(nodes: DataFrame, edges: DataFrame, sources: DataFrame, dist: DataFrame | None = None,
                 normalized: bool = True) -> DataFrame:
     """L4: betweenness (Brandes) of all nodes over the paths from ``sources``,
-    scaled to all nodes as sources; exact if the sources are all nodes.  The work
-    is sources x nodes.  The dependency delta(s, v) = sum over successors w of sigma_v / sigma_w *
+    scaled to all nodes as sources; exact if the sources are all nodes, a
+    fair estimate if they are ``pivots``, and no estimate for nodes picked by
+    degree.  The work is sources x nodes.  The dependency delta(s, v) = sum over successors w of sigma_v / sigma_w *
     (1 + delta(s, w)) is accumulated level by level from the deepest."""
     n = nodes.count()
     dist = _persist(dist if dist is not None else bfs_distances(edges, sources))

@@ -115,9 +115,10 @@ def analyze_graph(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, k: int =
     """Centralities, top influencers and bridges, communities,
     heuristic link scores, supervised link model and its top predictions.  The
     candidate ``pairs`` (u, v) are a relation of the caller's and are all scored.
-    Betweenness is taken over ``sources``, by default the 100 nodes of highest degree."""
+    Betweenness is taken over ``sources``, by default hash-sampled pivots (``GA.PIVOT_SHARE``
+    of the nodes); other sources should be all nodes or a fair sample of them."""
     if sources is None:
-        sources = G.top_k(GA.degree(nodes, edges), "degree", 100, "id")
+        sources = GA.pivots(nodes)
     cent = GA.centrality_table(nodes, edges, sources)
     out = {"centrality": cent,
            "influencers": G.top_k(cent, "pagerank", k, "id"),
