@@ -6,8 +6,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, chat, html, licenses, mixing, packing, quality, repeats, secrets, simhash
-from .common import hex64, table, written
+from . import ann, chat, html, licenses, mixing, packing, quality, repeats, runs, secrets, simhash
+from .common import WORD, hex64, let, table, text_of, written
 
 LLM_QUERIES: dict = {}
 
@@ -238,3 +238,34 @@ def op8_repeated_bytes(spark, sf_dir):
 @register("op1_nearest")
 def op1_nearest(spark, sf_dir):
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+# ------------------------------------------------------------------ 12
+
+def repeated_tails(docs):
+    """The contract's rows: where crc32(doc_id) ends in 0, the words from a on are
+    replaced by copies of the p words there, a and p drawn from the checksum.  A
+    null doc_id has no checksum and keeps its text."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10).cast("long")
+
+    def tail(ws):
+        n = F.size(ws).cast("long")
+        a = g % n
+        p = F.lit(1).cast("long") + F.floor((n - a) / (F.lit(3) + g % 8)).cast("long")
+        rest = F.transform(F.sequence(a, n - 1), lambda i: F.get(ws, (a + (i - a) % p).cast("int")))
+        return F.when(n > 0, F.array_join(F.concat(F.slice(ws, 1, a.cast("int")), rest), " ")).otherwise("")
+
+    words = F.regexp_extract_all(text_of(F.col("text")), F.lit(WORD), F.lit(0))
+    return docs.select("doc_id", F.when(h % 10 == 0, let(words, tail)).otherwise(F.col("text")).alias("text"))
+
+
+@register("op12_period_runs")
+def op12_period_runs(spark, sf_dir):
+    found = runs.periodic_runs(repeated_tails(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = found.withColumn("best", runs.strongest(F.col("runs")))
+    return best.select(
+        "doc.doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
