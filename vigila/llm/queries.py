@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, chat, html, licenses, mixing, packing, quality, repeats, runs, secrets, simhash
+from . import ann, chat, html, licenses, mixing, packing, quality, repeats, runs, secrets, simhash, toxicity
 from .common import WORD, hex64, let, table, text_of, written
 
 LLM_QUERIES: dict = {}
@@ -269,3 +269,14 @@ def op12_period_runs(spark, sf_dir):
         "doc.doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
         F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+# ------------------------------------------------------------------ 13
+
+@register("op13_toxicity")
+def op13_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), learn=~held_out)
+    return scored.select("doc.doc_id", (~F.col("learn")).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
