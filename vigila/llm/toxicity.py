@@ -51,6 +51,8 @@ FITTED = 20_000
 TERMS = 1024
 LEAST_DOCS = 4
 LEAST_G = 15.0
+#: Of the documents with a term, the least share of label 1.
+LEAST_SHARE = 1 / 3
 STEMS = (5, 6, 7)
 WORD_LEXICONS, STEM_LEXICONS = 5, 3
 
@@ -103,7 +105,7 @@ def mine_terms(labelled: DataFrame) -> list[str]:
         return (F.when(x > 0, x * F.log(x / (n * share))).otherwise(0.0)
                 + F.when(x < n, (n - x) * F.log((n - x) / (n * (1 - share)))).otherwise(0.0))
     g = 2 * (part(a, both, float(n1)) + part(b, both, float(n0)))
-    rows = (by.where((a >= LEAST_DOCS) & (a * n0 > b * n1) & (both < 1))
+    rows = (by.where((a >= LEAST_DOCS) & (a >= LEAST_SHARE * (a + b)) & (a * n0 > b * n1) & (both < 1))
             .select("term", g.alias("g")).where(F.col("g") >= LEAST_G)
             .orderBy(F.desc("g"), "term").limit(TERMS).collect())
     return [r["term"] for r in rows]
@@ -268,7 +270,7 @@ def _read(voters: Voters):
             got = [voters.read(t) for t in batch.column("text").to_pylist()]
             columns = [batch.column(c) for c in ("doc", "key", "learn")]
             columns += [pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.list_(pa.int32())),
-                        pa.array([g[2] for g in got], pa.list_(pa.float64()))]
+                        pa.array([g[2] for g in got], pa.list_(pa.float32()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc", "key", "learn", "votes", "at", "value"])
     return read
 
@@ -326,7 +328,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     kind = given.schema["doc"].dataType.simpleString()
     read = written(given.mapInArrow(
         _read(voters), f"doc {kind}, key {given.schema['key'].dataType.simpleString()}, learn boolean, votes long, "
-                       "at array<int>, value array<double>"))
+                       "at array<int>, value array<float>"))
     model = fit_label_model(read, known)
     weight, intercept = fit_classifier(read, known, model, voters.size)
 
