@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, chat, html, licenses, mixing, packing, quality, repeats, runs, secrets, simhash, toxicity
+from . import ann, chat, collocations, html, licenses, mixing, packing, quality, repeats, runs, secrets, simhash, toxicity
 from .common import WORD, hex64, let, table, text_of, written
 
 LLM_QUERIES: dict = {}
@@ -280,3 +280,33 @@ def op13_toxicity(spark, sf_dir):
     scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), learn=~held_out)
     return scored.select("doc.doc_id", (~F.col("learn")).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+# ------------------------------------------------------------------ 11
+
+SQL_COLLOCATIONS = r"""
+with d as (select row_number() over () as rid, coalesce(lang, 'und') as lang,
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+p as (select lang, regexp_extract_all(unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') as w from d),
+g as (select lang, k, array_to_string(w[i:i+k-1], ' ') as phrase
+      from (select lang, w, unnest(range(1, 4)) as k from p), unnest(range(1, greatest(len(w) - k + 2, 1))) u(i)),
+c as (select lang, k, phrase, count(*) as n from g group by all),
+f as (select * from c where n >= 10),
+cand as (select lang, phrase, string_split(phrase, ' ') as w, k, n as a from f where k > 1),
+cut as (select cand.*, c1 as cut, array_to_string(w[1:c1], ' ') as p1, array_to_string(w[c1+1:], ' ') as p2
+        from (select *, unnest(range(1, k)) as c1 from cand) cand),
+sc as (select cut.lang, cut.phrase, a, cut, x.n as l, y.n as r, (1000000::hugeint * a * a) // (x.n::hugeint * y.n) as score
+       from cut join f x on x.lang = cut.lang and x.phrase = cut.p1 join f y on y.lang = cut.lang and y.phrase = cut.p2),
+low as (select * from sc qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+inn as (select lang, array_to_string(w[j:j+1], ' ') as phrase, max(a) as longer
+        from cand, unnest(range(1, 3)) u(j) where k = 3 group by all),
+keep as (select low.* from low left join inn using (lang, phrase) where longer is null or 100 * longer < 50 * low.a),
+size as (select lang, sum(n)::bigint as n from c where k = 1 group by 1)
+select lang, cast(row_number() over (partition by lang order by score desc, a desc, phrase) as bigint) as rank, phrase,
+  a, l, r, size.n, score::bigint as score from keep join size using (lang)
+qualify rank <= 2000""".replace("\\\\", "\\")
+
+
+@register("op11_collocations", SQL_COLLOCATIONS)
+def op11_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"), top=2000)
