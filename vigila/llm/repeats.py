@@ -21,6 +21,8 @@ segment.  The passes are
    are repeated;
 4. the whole string, where zones with common bytes differ.
 
+The texts are opened once for their anchors and the digests of their segments, and
+written in buckets by row, so that the later passes deal out lists of places only.
 From pass 2 on one member stands for all equal ones.  Digits are 64-bit digests
 under a digit before them, and 128 bits in the last pass.  Hot grams, segments
 and strings are counted with partial sums; nothing gathers a group's members.
@@ -33,6 +35,7 @@ are bytes; an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +46,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, written
+from ..session import checkpoint_dir
+from .common import written
 
 WIDTH, GRAM, ZONE = 200, 64, 16
 #: Positions handled at once, and bits of a position in a sort key.
@@ -114,12 +118,16 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [anchors(d) for d in data]
         uid = np.arange(row, row + len(data)) + (part << 36)
         row += len(data)
+        last = [np.append(f[2][1:] - 1, len(d) - WIDTH)[:len(f[2])] for d, f in zip(data, found)]
+        segs = [np.fromiter((_digest(d[x:y + WIDTH]) for x, y in zip(f[2].tolist(), y.tolist())), np.int64, len(y))
+                for d, f, y in zip(data, found, last)]
         yield pa.RecordBatch.from_arrays(
             [pa.array(uid), b.column("doc_id"), pa.array([len(d) for d in data], pa.int64()),
              pa.array([press(d) for d in data], pa.binary()),
-             _lists([f[0].view(np.int64) for f in found], pa.int64()),
-             _lists([f[1] for f in found], pa.int32()), _lists([f[2] for f in found], pa.int32())],
-            ["uid", "doc_id", "n_bytes", "z", "grams", "at", "first"])
+             _lists([f[0].view(np.int64) for f in found], pa.int64()), _lists(segs, pa.int64()),
+             _lists([f[1] for f in found], pa.int32()), _lists([f[2] for f in found], pa.int32()),
+             _lists(last, pa.int32())],
+            ["uid", "doc_id", "n_bytes", "z", "grams", "segs", "at", "first", "last"])
 
 
 def _digest(data: bytes) -> int:
@@ -135,16 +143,8 @@ def _picked(batches, rows: int):
     """(uid, data, grams, at, first, last, picked) of each text."""
     opened = zstandard.ZstdDecompressor().decompress
     for b in _slices(batches, rows):
-        yield ((uid, opened(z), grams, at, first, [x - 1 for x in first[1:]] + [n - WIDTH], picked)
-               for uid, n, z, grams, at, first, picked in zip(*(b.column(c).to_pylist() for c in (
-                   "uid", "n_bytes", "z", "grams", "at", "first", "picked"))))
-
-
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for texts in _picked(batches, 128):
-        yield _batch([(grams[i], _digest(data[first[i]:last[i] + WIDTH]), uid, i, first[i], last[i])
-                      for uid, data, grams, at, first, last, picked in texts for i in picked],
-                     gram=pa.int64(), seg=pa.int64(), uid=pa.int64(), i=pa.int32(), lo=pa.int32(), hi=pa.int32())
+        yield ((uid, opened(z), *rest) for uid, z, *rest in zip(*(b.column(c).to_pylist() for c in (
+            "uid", "z", "grams", "at", "first", "last", "picked"))))
 
 
 def _zones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,13 +209,16 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
 
-#: Up to so many keys, or members of all lists, are broadcast, more are shuffled.
-FEW = 250_000
-
-
-def few_lists(lists: DataFrame, column: str) -> DataFrame:
-    members = lists.agg(F.sum(F.size(column))).first()[0] or 0
-    return F.broadcast(lists) if members <= FEW else lists
+def by_place(texts: DataFrame) -> DataFrame:
+    """The texts written once in buckets by ``uid``: a join by ``uid`` deals out the
+    other side only."""
+    spark = texts.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"texts_{uuid.uuid4().hex}"
+    (texts.repartition(n, "uid").write.bucketBy(n, "uid").option("compression", "zstd")
+     .option("path", f"{checkpoint_dir(spark)}/{name}").saveAsTable(name, format="parquet"))
+    spark.sparkContext._jvm.System.gc()
+    return spark.table(name)
 
 
 def spans_of(strings: DataFrame) -> DataFrame:
@@ -227,45 +230,43 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (maximal removed runs), kept (bytes)."""
     rows = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    texts = written(rows.mapInArrow(
-        _index, f"uid long, doc_id {kind}, n_bytes long, z binary, grams array<long>, at array<int>, first array<int>"), "zstd")
-    # pass 1: grams at two or more anchors
-    every = texts.select("uid", F.posexplode("grams").alias("i", "gram"))
-    twice = written(every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
-    picked = written(every.join(small(twice, FEW), "gram", "left_semi").groupBy("uid")
-                     .agg(F.collect_list("i").alias("picked")))
-    # pass 2: segments
-    segs = written(texts.join(few_lists(picked, "picked"), "uid").mapInArrow(
-        _segments, "gram long, seg long, uid long, i int, lo int, hi int"), "zstd")
-    kinds = written(segs.groupBy("gram", "seg").agg(F.count("*").alias("c"), F.min(F.struct("uid", "i")).alias("one")))
-    whole = spans_of(segs.join(written(kinds.where("c > 1").select("gram", "seg")), ["gram", "seg"], "left_semi"))
+    texts = by_place(rows.mapInArrow(
+        _index, f"uid long, doc_id {kind}, n_bytes long, z binary, grams array<long>, segs array<long>, at array<int>, "
+                "first array<int>, last array<int>"))
+    # passes 1 and 2: grams, and the segments within them
+    every = texts.select("uid", F.posexplode(F.arrays_zip("grams", "segs", "first", "last")).alias("i", "x")).select(
+        "uid", "i", F.col("x.grams").alias("gram"), F.col("x.segs").alias("seg"),
+        F.col("x.first").alias("lo"), F.col("x.last").alias("hi"))
+    kinds = written(every.groupBy("gram", "seg").agg(F.count("*").alias("c"), F.min(F.struct("uid", "i")).alias("one")), "zstd")
+    again = written(kinds.where("c > 1").select("gram", "seg"))
+    whole = written(spans_of(every.join(again, ["gram", "seg"], "left_semi")), "zstd")
     # pass 3: zones of segments that share a gram
     mixed = written(kinds.groupBy("gram").agg(F.count("*").alias("d")).where("d > 1").select("gram"))
-    picked = written(kinds.join(small(mixed, FEW), "gram", "left_semi").groupBy("one.uid").agg(
+    picked = written(kinds.join(mixed, "gram", "left_semi").groupBy("one.uid").agg(
         F.collect_list(F.struct("one.i", (F.col("c") == 1).alias("single"))).alias("picked")))
-    zones = written(texts.join(few_lists(picked, "picked"), "uid").mapInArrow(
+    zones = written(texts.join(picked, "uid").mapInArrow(
         _zones, "gram long, k int, uid long, lo int, hi int, single boolean, open boolean, core long, hull long"), "zstd")
     key = ["gram", "k", "core", "hull"]
-    ends = small(written(zones.where("open").select("gram", "k").distinct()), FEW)
+    ends = written(zones.where("open").select("gram", "k").distinct())
     alike = zones.where("not open").groupBy(*key).agg(
         F.count("*").alias("c"), F.min(F.struct("uid", "lo", "hi", "single")).alias("one"))
     alike = written(alike)
     inner = spans_of(zones.where("single and not open").join(
-        small(written(alike.where("c > 1").select(*key)), FEW), key, "left_semi"))
+        written(alike.where("c > 1").select(*key)), key, "left_semi"))
     # pass 4: whole strings where zones with a common core differ, or a text ends in one
     differ = written(alike.groupBy("gram", "k", "core").agg(F.count("*").alias("d")).where("d > 1").select("gram", "k", "core"))
     one = ["one.uid", "one.lo", "one.hi", (F.col("one.single") & (F.col("c") == 1)).alias("single")]
-    by_core = alike.join(small(differ, FEW), ["gram", "k", "core"], "left_semi").select(*one)
+    by_core = alike.join(differ, ["gram", "k", "core"], "left_semi").select(*one)
     by_end = alike.join(ends, ["gram", "k"], "left_semi").select(*one)
     at_end = zones.where("open").select("uid", "lo", "hi", "single")
     asked = by_core.unionByName(by_end).unionByName(at_end).distinct()
     asked = written(asked.groupBy("uid").agg(F.collect_list(F.struct("lo", "hi", "single")).alias("asked")))
-    strings = written(texts.select("uid", "z").join(few_lists(asked, "asked"), "uid").mapInArrow(
+    strings = written(texts.select("uid", "z").join(asked, "uid").mapInArrow(
         _strings, "x long, y long, uid long, p int, single boolean"), "zstd")
     same = written(strings.groupBy("x", "y").agg(F.count("*").alias("c")).where("c > 1").select("x", "y"))
-    edges = strings.where("single").join(small(same, FEW), ["x", "y"], "left_semi").select(
+    edges = strings.where("single").join(same, ["x", "y"], "left_semi").select(
         "uid", F.col("p").alias("lo"), F.col("p").alias("hi"))
     found = written(whole.unionByName(inner).unionByName(spans_of(edges)).groupBy("uid").agg(
         F.collect_set(F.struct("start", "end")).alias("found")))
-    return texts.select("uid", "doc_id", "n_bytes", "z").join(few_lists(found, "found"), "uid", "left").mapInArrow(
+    return texts.select("uid", "doc_id", "n_bytes", "z").join(found, "uid", "left").mapInArrow(
         _cut, f"doc_id {kind}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
