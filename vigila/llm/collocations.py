@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from .common import text_of, written
 
 SHARDS = 3
-SLOTS = 1 << 24
+SLOTS = 1 << 22
 #: Bytes of text whose counts are added up at once in a task.
 GROUP_BYTES = 6_000_000
 #: The scan of a slot that has not reached the threshold.
@@ -135,21 +135,12 @@ def _scan(scan: int, sent: list, longest: int, shards: int):
 
 
 def _reached(counts: DataFrame, length: int, least: int, slots: int) -> np.ndarray:
-    """The slots of all phrases that have reached the threshold, sent as bits in
-    blocks of 65,536."""
-    def bits(pdf: pd.DataFrame) -> pd.DataFrame:
-        b = np.zeros(65_536, bool)
-        b[pdf["slot"].to_numpy() % 65_536] = True
-        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "bits": [np.packbits(b).tobytes()]})
-
-    slot = F.pmod("hash", F.lit(slots).cast("long")).alias("slot")
-    by = (counts.where(F.col("length") == length).groupBy("hash").agg(F.sum("n").alias("n"))
-          .where(F.col("n") >= least).select(slot).distinct()
-          .select("slot", F.floor(F.col("slot") / 65_536).cast("int").alias("block")))
+    """The slots of all phrases that have reached the threshold; the driver gets
+    at most one number a slot."""
+    by = counts.where(F.col("length") == length).groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    slot = F.pmod("hash", F.lit(slots).cast("long")).cast("int").alias("slot")
     found = np.zeros(slots, bool)
-    for block, packed in by.groupBy("block").applyInPandas(bits, "block int, bits binary").collect():
-        part = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)[:slots - block * 65_536]
-        found[block * 65_536:block * 65_536 + len(part)] = part
+    found[by.select(slot).distinct().toArrow()["slot"].to_numpy()] = True
     return found
 
 
@@ -184,11 +175,11 @@ def count_phrases(docs: DataFrame, least: int = 10, longest: int = 3, shards: in
     for scan in range(longest * shards):
         if scan >= shards and not any(((t < scan) & (t >= scan - shards)).any() for t in tables[:-1]):
             break
-        sent = [spark.sparkContext.broadcast(t.tobytes()) for t in tables]
+        sent = [spark.sparkContext.broadcast(t.tobytes()) for t in tables[:-1]]
         counts.append(written(parted.where(F.col("shard") == scan % shards).select("lang", "text")
                               .mapInArrow(_scan(scan, sent, longest, shards), _COUNTS), "zstd"))
-        for x in sent:
-            x.unpersist()
+        for x in sent:  # the rows are written, so nothing asks for it again
+            x.destroy()
         if scans is not None:
             scans.append((scan, dict(counts[-1].groupBy("length").count().collect())))
         sofar = reduce(DataFrame.unionByName, counts)
@@ -202,6 +193,8 @@ def count_phrases(docs: DataFrame, least: int = 10, longest: int = 3, shards: in
     sent = [spark.sparkContext.broadcast(t.tobytes()) for t in tables]
     few = sofar.mapInArrow(_only_reached(sent), "lang string, length int, phrase string, n long")
     total = written(few.groupBy("lang", "length", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
+    for x in sent:
+        x.destroy()
     sizes = written(sofar.where("length = 1").groupBy("lang").agg(F.sum("n").alias("size")))
     return total, sizes
 
