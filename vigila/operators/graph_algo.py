@@ -145,6 +145,8 @@ def eigenvector(nodes: DataFrame, edges: DataFrame, max_iter: int = 200, tol: fl
     checkpoint two aggregates give every round's norm and change."""
     ids = cut_lineage(nodes.select("id").distinct())
     n = ids.count()
+    if n == 0:
+        return nodes.select("id", F.lit(0.0).alias("eigenvector"))
     adj = adjacency(edges, weight, self_loops_twice=False).select("src", "dst", F.col("w").alias("p"))
     n_parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     table = (cut_lineage(_with_self_rows(adj, ids, 1.0)).repartition(n_parts, "src")
@@ -388,10 +390,13 @@ def betweenness(nodes: DataFrame, edges: DataFrame, sources: DataFrame, dist: Da
     return res
 
 
-def centrality_table(nodes: DataFrame, edges: DataFrame, sources: DataFrame,
-                     include=("degree", "pagerank", "eigenvector", "betweenness", "closeness")) -> DataFrame:
+def centrality_table(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None,
+                     include=("degree", "pagerank", "eigenvector", "betweenness", "closeness"),
+                     epsilon: float = 0.05) -> DataFrame:
     """All centralities by node, 0 where a node has no value.  Closeness is
-    the sketched one of all nodes, betweenness that over ``sources``."""
+    the sketched one of all nodes; betweenness is sampled to within ``epsilon``, or
+    with ``sources`` taken over the paths from those."""
+    from .path_sampling import sampled_betweenness
     out = nodes.select("id")
     for name in include:
         if name == "degree":
@@ -401,7 +406,8 @@ def centrality_table(nodes: DataFrame, edges: DataFrame, sources: DataFrame,
         elif name == "eigenvector":
             t = eigenvector(nodes, edges)
         elif name == "betweenness":
-            t = betweenness(nodes, edges, sources)
+            t = (betweenness(nodes, edges, sources) if sources is not None
+                 else sampled_betweenness(nodes, edges, epsilon=epsilon).select("id", "betweenness"))
         elif name == "closeness":
             t = closeness_hll(nodes, edges)
         else:

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from ..operators import graph_build as B
 from ..operators import graph_algo as GA
+from ..operators import communities as CM
 from ..operators import links as L
+from ..operators import path_sampling as PS
+from ..operators import similar_pairs as SP
 from ..operators import filters as FL
 from ..operators import aggregates as G
 from .queries import (register, clean_incidents_df, clean_calls_df, r6, _with, SQL_INCIDENT,
@@ -21,6 +24,9 @@ MIN_DEGREE = 30
 #: Sources of the exact path centralities.
 SOURCES = 50
 SEED = 42
+#: Error of sampled betweenness, and least Jaccard similarity of candidate pairs.
+EPSILON = 0.05
+SIMILAR = 0.3
 
 
 def fixture_graph(spark, sf, materialize: bool = False):
@@ -216,14 +222,44 @@ select u, v, round(jaccard, 6) as jaccard, round(adamic_adar, 6) as adamic_adar,
 from feat"""
 
 
+def q_link_similar(spark, sf):
+    _, e, _ = fixture_graph(spark, sf, materialize=True)
+    return SP.similar_pairs(e, SIMILAR, 2).select("u", "v", "cn", r6("jaccard").alias("jaccard"))
+
+
+SQL_link_similar = _with(SQL_INCIDENT, SQL_CALL, SQL_GRAPH, SQL_NBR) + f"""
+select p.u, p.v, cn, round(cn * 1.0 / (du.deg + dv.deg - cn), 6) as jaccard
+from (select a.src as u, b.src as v, count(*) as cn from nb a join nb b on a.dst = b.dst and a.src < b.src
+      group by 1, 2 having count(*) >= 2) p
+join nd du on du.id = p.u join nd dv on dv.id = p.v
+where cn * 1.0 / (du.deg + dv.deg - cn) >= {SIMILAR} - 1e-12
+  and not exists (select 1 from ce where ce.u = p.u and ce.v = p.v)"""
+
+
 def q_communities(spark, sf):
     n, e, _ = fixture_graph(spark, sf, materialize=True)
-    return GA.label_propagation(n, e)
+    return CM.louvain(n, e)
 
 
 def q_modularity(spark, sf):
     n, e, _ = fixture_graph(spark, sf, materialize=True)
-    return GA.modularity(e, GA.label_propagation(n, e)).select(r6("modularity").alias("modularity"))
+    return GA.modularity(e, CM.louvain(n, e)).select(r6("modularity").alias("modularity"))
+
+
+def q_modularity_given(spark, sf):
+    """Of a given assignment: nodes by the first digit of their id's checksum."""
+    n, e, _ = fixture_graph(spark, sf, materialize=True)
+    given = n.select("id", F.substring(F.md5("id"), 1, 1).alias("community"))
+    return GA.modularity(e, given).select(r6("modularity").alias("modularity"))
+
+
+SQL_modularity_given = _with(SQL_INCIDENT, SQL_CALL, SQL_GRAPH) + """,
+x as (select substr(md5(src), 1, 1) as a, substr(md5(dst), 1, 1) as b from g_edges),
+m as (select count(*) * 1.0 as m from x),
+d as (select c, count(*) as d from (select a as c from x union all select b from x) group by 1),
+l as (select a as c, count(*) as l from x where a = b group by 1)
+select round(sum(coalesce(l, 0) / m - (d / (2.0 * m)) * (d / (2.0 * m))), 6) as modularity
+from d left join l using (c), m"""
 
 
 def q_eigenvector(spark, sf):
@@ -255,13 +291,26 @@ def q_closeness_hll(spark, sf):
 
 def q_betweenness(spark, sf):
     n, e, _ = fixture_graph(spark, sf, materialize=True)
-    return GA.betweenness(n, e, GA.pivots(n)).select("id", F.round("betweenness", 9).alias("betweenness"))
+    return PS.sampled_betweenness(n, e, epsilon=EPSILON).select(
+        "id", F.round("betweenness", 9).alias("betweenness"), F.round("error", 9).alias("error"), "samples")
+
+
+def q_betweenness_weighted(spark, sf):
+    """Paths over the calls' graph, an edge as long as its longest call in minutes."""
+    n, _, m = fixture_graph(spark, sf, materialize=True)
+    timed = m.where("relation = 'CALLED' and duration > 0 and src <> dst")
+    e = timed.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(
+        F.max("duration").cast("double").alias("minutes"))
+    from ..session import cut_lineage
+    return PS.sampled_betweenness(n, cut_lineage(e), "minutes", epsilon=2 * EPSILON).select(
+        "id", F.round("betweenness", 9).alias("betweenness"), F.round("error", 9).alias("error"), "samples")
 
 
 def q_link_supervised(spark, sf):
+    from .jobs import candidate_pairs
     n, e, _ = fixture_graph(spark, sf, materialize=True)
     info = L.supervised_link_model(n, e, 2000, 2000, 0.2, SEED)
-    pairs = L.shared_contact_pairs(clean_calls_df(spark, sf), e, SALT)
+    pairs = candidate_pairs(clean_calls_df(spark, sf), e, SALT, SIMILAR)
     return L.predict_top_links(e, pairs, info, top_k=100) \
         .select("u", "v", r6("score").alias("score"))
 
@@ -281,4 +330,7 @@ register("eigenvector", q_eigenvector, None)
 register("closeness", q_closeness, SQL_closeness)
 register("closeness_hll", q_closeness_hll, None)
 register("betweenness", q_betweenness, None)
+register("betweenness_weighted", q_betweenness_weighted, None)
+register("link_similar", q_link_similar, SQL_link_similar)
+register("modularity_given", q_modularity_given, SQL_modularity_given)
 register("link_supervised", q_link_supervised, None)

@@ -14,7 +14,9 @@ from ..operators import features as FE
 from ..operators import models as M
 from ..operators import graph_build as B
 from ..operators import graph_algo as GA
+from ..operators import communities as CM
 from ..operators import links as L
+from ..operators import similar_pairs as SP
 from ..operators import aggregates as G
 from ..sources import readers as R
 from ..sources import sinks as W
@@ -111,19 +113,17 @@ def build_graph_job(spark: SparkSession, incidents_path=None, calls_path=None, d
 def analyze_graph(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, k: int = 20,
                   sources: DataFrame | None = None,
                   sample_pos: int = 5000, sample_neg: int = 5000, seed: int = 42,
-                  supervised: bool = True) -> dict:
-    """Centralities, top influencers and bridges, communities,
+                  supervised: bool = True, epsilon: float = 0.05) -> dict:
+    """Centralities, top influencers and bridges, communities by modularity,
     heuristic link scores, supervised link model and its top predictions.  The
     candidate ``pairs`` (u, v) are a relation of the caller's and are all scored.
-    Betweenness is taken over ``sources``, by default hash-sampled pivots (``GA.PIVOT_SHARE``
-    of the nodes); other sources should be all nodes or a fair sample of them."""
-    if sources is None:
-        sources = GA.pivots(nodes)
-    cent = GA.centrality_table(nodes, edges, sources)
+    Betweenness is sampled to within ``epsilon``, or taken over ``sources`` (all nodes or
+    a fair sample of them)."""
+    cent = GA.centrality_table(nodes, edges, sources, epsilon=epsilon)
     out = {"centrality": cent,
            "influencers": G.top_k(cent, "pagerank", k, "id"),
            "bridges": G.top_k(cent, "betweenness", k, "id"),
-           "communities": GA.label_propagation(nodes, edges),
+           "communities": CM.louvain(nodes, edges),
            "heuristics": L.heuristic_link_scores(edges, pairs)
            .orderBy(F.col("score_ensemble").desc(), "u", "v")}
     out["modularity"] = GA.modularity(edges, out["communities"])
@@ -169,15 +169,27 @@ def cross_source(spark: SparkSession, folder: str, *, salt: str, categories=None
             "center": S.layer_center(points) if points is not None else None}
 
 
-def run_all(spark: SparkSession, incidents: DataFrame, calls: DataFrame, *, salt: str) -> dict:
+def candidate_pairs(calls: DataFrame, edges: DataFrame, salt: str, threshold: float = 0.3,
+                    min_common: int = 2) -> DataFrame:
+    """Pairs (u, v) that are not linked: phones with a contact in common within
+    an hour, and nodes of any kind whose neighbours overlap by ``threshold`` or more."""
+    near = L.shared_contact_pairs(calls, edges, salt)
+    alike = SP.similar_pairs(edges, threshold, min_common).select("u", "v")
+    return near.unionByName(alike).distinct()
+
+
+def run_all(spark: SparkSession, incidents: DataFrame, calls: DataFrame, *, salt: str,
+            pairs: DataFrame | None = None, epsilon: float = 0.05) -> dict:
     """Hotspots, cleaned incidents and calls, the graph, its
-    centralities and predicted links, as one dictionary of DataFrames."""
+    centralities and predicted links, as one dictionary of DataFrames.  Links are
+    predicted among ``pairs`` (u, v), by default :func:`candidate_pairs`."""
     inc = N.clean_incidents(N.normalize_incidents(incidents))
     cal = N.clean_calls(N.normalize_calls(calls))
     nodes, edges = B.build_graph(inc, cal, salt=salt)
     simple = B.simple_graph(edges)
     hot = M.hotspot_forecast(inc)
-    pairs = L.shared_contact_pairs(cal, simple, salt)
-    ana = analyze_graph(nodes, simple, pairs, supervised=True)
+    if pairs is None:
+        pairs = candidate_pairs(cal, simple, salt)
+    ana = analyze_graph(nodes, simple, pairs, supervised=True, epsilon=epsilon)
     return {"hotspots": hot["grid"], "fir": inc, "cdr": cal, "graph_nodes": nodes, "graph_edges": simple,
             "centrality": ana["centrality"], "predictions": ana["predicted_links"]}

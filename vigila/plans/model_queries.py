@@ -156,8 +156,12 @@ def q_hotspot_top(spark, sf):
 
 def q_permutation_importance(spark, sf):
     cells, counts = _cells_and_counts(spark, sf)
-    data = T.history_features(counts).join(T.lead_labels(counts), ["cell_id", "time_bin"])
+    history = T.history_features(counts)
+    data = history.join(T.lead_labels(counts), ["cell_id", "time_bin"])
     info = M.train_forest(data, M.BASE_FEATURES, "label", 200, 42)
+    if info["model"] is None:  # no cell has incidents on two days in a row, or all have: the 7-day label
+        data = history.join(T.horizon_labels(counts).withColumnRenamed("label_7d", "label"), ["cell_id", "time_bin"])
+        info = M.train_forest(data, M.BASE_FEATURES, "label", 200, 42)
     if info["model"] is None:
         return spark.createDataFrame([], "feature string, importance double, std double")
     return M.permutation_importance(info, data, "label", repeats=10, seed=0)
