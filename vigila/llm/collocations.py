@@ -1,21 +1,23 @@
 """Phrase collocation mining by dynamic itemset counting.
 
-Documents are written once in ``SHARDS`` shards by a hash.  Scan t reads shard
-t mod SHARDS and counts phrases of all lengths that are active: words from the
-first scan on; a longer phrase from the scan after both of its subphrases
-(without the last and without the first word) have reached the threshold.  Each
-phrase is counted for one full cycle of the shards and no further, so that its
-count is exact; three cycles are enough for three words, and scanning ends as
-soon as no phrase is within its cycle.
-
-Which subphrases have reached the threshold is kept in one table of fixed size a
-length: a byte for each of ``SLOTS`` hash slots with the scan at which one of its
-phrases reached it.  So a phrase is never activated too late; one that shares a
-slot with another may be early, and since activity is a function of the slots alone it
-still is counted in each shard once.  The tables are all that tasks get, whatever
-the size of the input; more phrases than slots cost rows to count, no result.  Tasks add up a group of documents before they write;
-counts meet in aggregates by phrase, so no word, language or line gathers in a
-task.
+Documents fall into ``SHARDS`` shards by a hash.  Scan t reads shard t mod SHARDS
+and counts phrases of all lengths that are active: words from the first scan on; a
+longer phrase from the scan after both of its subphrases (without the last and
+without the first word) have reached the threshold.  Each phrase is counted for
+one full cycle of the shards and no further; three cycles are enough for three
+words, and scanning ends as soon as no phrase is within its cycle.
+
+While scanning, a phrase is a 64-bit hash with its count.  Which phrases have
+reached the threshold is kept in one table of fixed size a length: a byte for each of
+``SLOTS`` hash slots with the scan at which one of its phrases reached it.  So a
+phrase is never activated too late; one that shares a slot with another may be
+early, and since activity is a function of the slots alone it still is counted
+in each shard once.  The tables are all that tasks get, whatever the size of the
+input; more phrases than slots cost rows to count, no result.  A closing cycle counts
+the phrases that reached the threshold by their text, which is exact.
+
+Tasks add up a group of documents before they write; counts meet in aggregates
+by phrase, so no word, language or line gathers in a task.
 
 A candidate has n words, a = f(phrase) >= least.  Cut after k words it has
 l = f(first part), r = f(rest), score floor(10^6 a^2 / (l r)); its lowest cut
@@ -29,6 +31,7 @@ words; an empty table gives an empty table; other columns are not looked at.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -40,7 +43,7 @@ from pyspark.sql import functions as F
 
 from .common import text_of, written
 
-SHARDS = 3
+SHARDS = 2
 SLOTS = 1 << 22
 #: Bytes of text whose counts are added up at once in a task.
 GROUP_BYTES = 6_000_000
@@ -49,7 +52,6 @@ NEVER = 127
 
 _SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes(10 if c in _SEPARATORS else c + 32 if 65 <= c <= 90 else 32 if c == 9 else c for c in range(256))
-_COUNTS = "lang string, length int, phrase string, hash long, n long"
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -65,72 +67,97 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(27))
 
 
-def _counted(lang: str, text: bytes, scan: int, reached: list[np.ndarray], longest: int, shards: int):
-    """(length, phrases, hashes, counts) of what is active in one group of texts.
-    ``reached`` has the scan of each slot for every length."""
+def _phrases(lang: str, text: bytes, reached: list[np.ndarray], longest: int, before: int):
+    """(words of the vocabulary, number of all words), then for each length the
+    phrases whose subphrases reached the threshold before scan ``before``: (length,
+    words of each, hash, count, latest scan of its subphrases)."""
     tokens = words_of(text)
-    if not tokens:
-        return
     flat = np.empty(len(tokens), object)
     flat[:] = tokens
     code, vocab = pd.factorize(flat)
     seed = xxhash.xxh32_intdigest(lang.encode())
     hashes = np.array([xxhash.xxh64_intdigest(w, seed) for w in vocab], np.uint64)
-    wall = vocab == b"\n"
-    if scan < shards:
-        n = np.bincount(code, minlength=len(vocab))
-        yield 1, vocab[~wall], hashes[~wall], n[~wall]
-    # the phrase of the length so far that starts at each place of ``at``
+    wall = vocab == b"\n" if len(vocab) else np.zeros(0, bool)
     at = np.flatnonzero(~wall[code])
-    phrase = code.astype(np.int64)
+    yield vocab, len(at)
     words = np.arange(len(vocab))[:, None]
+    n = np.bincount(code, minlength=len(vocab))
+    yield 1, words[~wall], hashes[~wall], n[~wall], np.full(int((~wall).sum()), -1)
+    phrase = code.astype(np.int64)  # the phrase of the length so far that starts at each place of ``at``
     for length in range(2, longest + 1):
-        when = reached[length - 2][(hashes % np.uint64(len(reached[0]))).astype(np.int64)].astype(np.int64)
+        when = reached[length - 2][_slot(hashes, len(reached[0]))].astype(np.int64)
         at = at[:-1][at[1:] == at[:-1] + 1]
         left, right = phrase[at], phrase[at + 1]
-        live = np.maximum(when[left], when[right]) < scan
+        live = np.maximum(when[left], when[right]) < before
         at = at[live]
         if not len(at):
             return
         number, distinct = pd.factorize(left[live] * len(hashes) + right[live])
         left, right = distinct // len(hashes), distinct % len(hashes)
-        due = np.maximum(when[left], when[right]) >= scan - shards  # within its cycle
+        latest = np.maximum(when[left], when[right])
         hashes = _mixed(hashes[left], hashes[right])
         words = np.hstack([words[left], words[right][:, -1:]])
-        if due.any():
-            text_of_it = vocab[words[due, 0]]
-            for i in range(1, length):
-                text_of_it = text_of_it + b" " + vocab[words[due, i]]
-            yield length, text_of_it, hashes[due], np.bincount(number, minlength=len(distinct))[due]
+        yield length, words, hashes, np.bincount(number, minlength=len(distinct)), latest
         phrase[at] = number
 
 
+def _slot(hashes: np.ndarray, slots: int) -> np.ndarray:
+    return (hashes % np.uint64(slots)).astype(np.int64)
+
+
+def _groups(batches):
+    """(language, text) of groups of whole documents, joined by line feeds."""
+    held: dict[str, list[bytes]] = {}
+    sizes: dict[str, int] = {}
+    for batch in batches:
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+            text = text.encode()
+            held.setdefault(lang, []).append(text)
+            sizes[lang] = sizes.get(lang, 0) + len(text)
+            full = lang if sizes[lang] >= GROUP_BYTES else max(sizes, key=sizes.get) if sum(sizes.values()) >= 3 * GROUP_BYTES else None
+            if full is not None:
+                sizes.pop(full)
+                yield full, b"\n".join(held.pop(full))
+    for lang, texts in held.items():
+        yield lang, b"\n".join(texts)
+
+
 def _scan(scan: int, sent: list, longest: int, shards: int):
+    """Counts by hash of the phrases that are within their cycle at this scan."""
     def count(batches):
-        held: dict[str, list[bytes]] = {}
-        sizes: dict[str, int] = {}
         reached = [np.frombuffer(x.value, np.int8) for x in sent]
+        for lang, text in _groups(batches):
+            found = _phrases(lang, text, reached, longest, scan)
+            next(found)
+            for length, _, hashes, n, latest in found:
+                due = latest >= scan - shards
+                if due.any():
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(int(due.sum()), length, np.int8)), pa.array(hashes[due].view(np.int64)),
+                         pa.array(n[due].astype(np.int32))], names=["length", "hash", "n"])
+    return count
+
 
-        def out(lang):
-            text = b"\n".join(held.pop(lang))
-            sizes.pop(lang)
-            for length, phrases, hashes, n in _counted(lang, text, scan, reached, longest, shards):
+def _close(sent: list, longest: int):
+    """Counts by text of the phrases whose slots reached the threshold; the number
+    of all words as a phrase of length 0."""
+    def count(batches):
+        reached = [np.frombuffer(x.value, np.int8) for x in sent]
+        for lang, text in _groups(batches):
+            found = _phrases(lang, text, reached, longest, NEVER)
+            vocab, size = next(found)
+            parts = [(0, [b""], [size])]
+            for length, words, hashes, n, _ in found:
+                pick = reached[length - 1][_slot(hashes, len(reached[0]))] < NEVER
+                texts = vocab[words[pick, 0]]
+                for i in range(1, length):
+                    texts = texts + b" " + vocab[words[pick, i]]
+                parts.append((length, texts, n[pick]))
+            for length, texts, n in parts:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang] * len(n), pa.string()), pa.array(np.full(len(n), length, np.int32)),
-                     pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(hashes.view(np.int64)),
-                     pa.array(n.astype(np.int64))], names=["lang", "length", "phrase", "hash", "n"])
-
-        for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                text = text.encode()
-                held.setdefault(lang, []).append(text)
-                sizes[lang] = sizes.get(lang, 0) + len(text)
-                if sizes[lang] >= GROUP_BYTES:
-                    yield from out(lang)
-                elif sum(sizes.values()) >= 3 * GROUP_BYTES:
-                    yield from out(max(sizes, key=sizes.get))
-        for lang in list(held):
-            yield from out(lang)
+                     pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())],
+                    names=["lang", "length", "phrase", "n"])
     return count
 
 
@@ -144,19 +171,6 @@ def _reached(counts: DataFrame, length: int, least: int, slots: int) -> np.ndarr
     return found
 
 
-def _only_reached(sent: list):
-    def pick(batches):
-        reached = [np.frombuffer(x.value, np.int8) for x in sent]
-        for batch in batches:
-            slot = batch.column("hash").to_numpy().view(np.uint64) % np.uint64(len(reached[0]))
-            length = batch.column("length").to_numpy()
-            keep = np.zeros(len(slot), bool)
-            for i, r in enumerate(reached):
-                keep |= (length == i + 1) & (r[slot.astype(np.int64)] < NEVER)
-            yield batch.select(["lang", "length", "phrase", "n"]).filter(pa.array(keep))
-    return pick
-
-
 def count_phrases(docs: DataFrame, least: int = 10, longest: int = 3, shards: int = SHARDS,
                   slots: int = SLOTS, scans: list | None = None) -> tuple[DataFrame, DataFrame]:
     """Exact counts of the words and phrases of up to ``longest`` words with at
@@ -168,46 +182,39 @@ def count_phrases(docs: DataFrame, least: int = 10, longest: int = 3, shards: in
         raise ValueError("slots must be a power of two")
     text = text_of(F.col("text"))
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
-    parted = _by_shard(docs.select(lang.alias("lang"), text.alias("text"),
-                                   F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(shards)).alias("shard")))
+    given = docs.select(lang.alias("lang"), text.alias("text"))
+    shard = F.pmod(F.xxhash64("lang", "text"), F.lit(shards))
     tables = [np.full(slots, NEVER, np.int8) for _ in range(longest)]
     counts: list[DataFrame] = []
     for scan in range(longest * shards):
         if scan >= shards and not any(((t < scan) & (t >= scan - shards)).any() for t in tables[:-1]):
             break
-        sent = [spark.sparkContext.broadcast(t.tobytes()) for t in tables[:-1]]
-        counts.append(written(parted.where(F.col("shard") == scan % shards).select("lang", "text")
-                              .mapInArrow(_scan(scan, sent, longest, shards), _COUNTS), "zstd"))
-        for x in sent:  # the rows are written, so nothing asks for it again
-            x.destroy()
+        with _sent(spark, tables[:-1]) as sent:
+            counts.append(written(given.where(shard == scan % shards).mapInArrow(
+                _scan(scan, sent, longest, shards), "length byte, hash long, n int"), "zstd"))
         if scans is not None:
             scans.append((scan, dict(counts[-1].groupBy("length").count().collect())))
         sofar = reduce(DataFrame.unionByName, counts)
-        for length in range(1, longest + 1):
-            # the last length activates nothing: it is looked at after the end
-            if length - 1 <= scan < length * shards and length < longest:
+        for length in range(1, longest):  # the last length activates nothing: it is looked at after the end
+            if length - 1 <= scan < length * shards:
                 t = tables[length - 1]
                 t[_reached(sofar, length, least, slots) & (t == NEVER)] = scan
     sofar = reduce(DataFrame.unionByName, counts)
     tables[-1][_reached(sofar, longest, least, slots)] = 0
+    with _sent(spark, tables) as sent:
+        total = written(given.mapInArrow(_close(sent, longest), "lang string, length int, phrase string, n long")
+                        .groupBy("lang", "length", "phrase").agg(F.sum("n").alias("n"))
+                        .where((F.col("n") >= least) | (F.col("length") == 0)))
+    return total.where("length > 0"), total.where("length = 0").select("lang", F.col("n").alias("size"))
+
+
+@contextmanager
+def _sent(spark, tables: list[np.ndarray]):
+    """The tables as broadcasts of a fixed size, destroyed when the rows are written."""
     sent = [spark.sparkContext.broadcast(t.tobytes()) for t in tables]
-    few = sofar.mapInArrow(_only_reached(sent), "lang string, length int, phrase string, n long")
-    total = written(few.groupBy("lang", "length", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
+    yield sent
     for x in sent:
         x.destroy()
-    sizes = written(sofar.where("length = 1").groupBy("lang").agg(F.sum("n").alias("size")))
-    return total, sizes
-
-
-def _by_shard(parted: DataFrame) -> DataFrame:
-    """The rows written once, in a folder a shard, so that a scan reads its own only."""
-    import uuid
-
-    from ..session import checkpoint_dir
-    spark = parted.sparkSession
-    path = f"{checkpoint_dir(spark)}/shards-{uuid.uuid4().hex}"
-    parted.write.partitionBy("shard").parquet(path)
-    return spark.read.schema(parted.schema).parquet(path)
 
 
 def score_of(a: str, l: str, r: str) -> Column:
