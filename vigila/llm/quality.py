@@ -26,19 +26,26 @@ from .common import BLANKS, WORD, key_of, let, small, text_of, written
 
 SYMBOLS = "#*$%&|<>"
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
-#: The language's sketch counts as so many documents of the source.
+#: The language's sketch counts as so many documents of the source, and every source
+#: as much as any other within it.
 PRIOR = 200
-#: A fence lies this many quartile ranges beyond the quartile.
-REACH = 3
-#: rate, its measure over another measure, the factor that makes it an integer, the
-#: least distance of a fence from its quartile (in the rate's unit), and whether a
-#: low value is also refused.
+UNIT = 1_000_000
+#: A fence lies this many times the spread beyond the quantile, and at most this many
+#: times the language's own distance from its quantile.
+REACH, BOUND = 3, 2
+#: What chance adds to a count: so many events, and so many standard deviations.
+CHANCE = 3
+#: rate, its measure over another measure, the factor that makes it an integer, and
+#: how much of the measure one event makes; None for a rate judged on both sides.
 RATES = {
-    "symbol_rate": ("n_symbols", "n_words", 10_000, 1_000, False),
-    "dup_line_rate": ("n_dup_lines", "n_lines", 10_000, 4_000, False),
-    "repeat_rate": ("n_repeat_words", "n_words", 10_000, 3_000, False),
-    "word_length": ("word_chars", "n_words", 100, 150, True),
+    "symbol_rate": ("n_symbols", "n_words", 10_000, 1),
+    "dup_line_rate": ("n_dup_lines", "n_lines", 10_000, 1),
+    "repeat_rate": ("n_repeat_words", "n_words", 10_000, 6),
+    "word_length": ("word_chars", "n_words", 100, None),
 }
+#: Quantiles in percent: the spread of a tail is from the first to the second, that of
+#: both sides between the outer ones.
+TAIL, SIDES = (50, 90), (25, 75)
 #: Base rules (fixed values).
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 
@@ -95,7 +102,7 @@ def base_failed() -> Column:
 
 
 def rate(name: str) -> Column:
-    top, under, factor, _, _ = RATES[name]
+    top, under, factor, _ = RATES[name]
     return F.when(F.col(under) == 0, F.lit(0).cast("long")).otherwise(
         (F.expr(f"{top} * {factor} div {under}")).cast("long"))
 
@@ -121,38 +128,53 @@ def sketches(measured: DataFrame) -> DataFrame:
                       bucket_of(F.col("r.v")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
+def quantiles(rows: DataFrame, by: list[str], weight: Column, total: Column, prefix: str) -> DataFrame:
+    """Least values of the buckets where the running weight reaches each percentage."""
+    run = Window.partitionBy(*by).orderBy("bucket")
+    grid = rows.withColumn("upto", F.sum(weight).over(run)).withColumn("total", total)
+    levels = sorted({*TAIL, *SIDES})
+    q = grid.groupBy(*by).agg(*[F.min(F.when(
+        F.col("upto") * F.lit(100).cast("decimal(3,0)") >= F.col("total") * F.lit(p).cast("decimal(3,0)"), F.col("bucket"))).alias(f"b{p}")
+        for p in levels])
+    return q.select(*by, *[bucket_low(F.col(f"b{p}")).alias(f"{prefix}{p}") for p in levels])
+
+
 def cutoffs(sketch: DataFrame, groups: DataFrame, prior: int = PRIOR) -> DataFrame:
-    """One row per (lang_key, source_key) with ``<rate>_low`` and ``<rate>_high``."""
+    """One row per (lang_key, source_key) with ``<rate>_low`` and ``<rate>_high``.
+
+    A source's quantiles are those of its own sketch and of its language's, which
+    counts as ``prior`` documents; in the language's every source has the same weight, so
+    that a bad hot source can't set it while fewer than a tenth of the sources are bad.  A tail's fence is REACH spreads beyond its
+    upper quantile; no source's fence is farther out than BOUND times its language's."""
     whole = "decimal(19,0)"
-    lang = sketch.groupBy("lang_key", "rate", "bucket").agg(F.sum("n").alias("lang_n"))
-    lang_all = lang.groupBy("lang_key", "rate").agg(F.sum("lang_n").alias("lang_all"))
     own_all = sketch.groupBy("lang_key", "source_key", "rate").agg(F.sum("n").alias("own_all"))
-    grid = (groups.select("lang_key", "source_key").distinct()
-            .join(lang, "lang_key").join(lang_all, ["lang_key", "rate"])
+    lang = (sketch.join(own_all, ["lang_key", "source_key", "rate"]).groupBy("lang_key", "rate", "bucket")
+            .agg(F.sum(F.expr(f"n * {UNIT} div own_all")).alias("lang_n")))
+    lang_all = lang.groupBy("lang_key", "rate").agg(F.sum("lang_n").alias("lang_all"))
+    lang = lang.join(lang_all, ["lang_key", "rate"])
+    grid = (groups.select("lang_key", "source_key").distinct().join(lang, "lang_key")
             .join(sketch, ["lang_key", "source_key", "rate", "bucket"], "left")
             .join(own_all, ["lang_key", "source_key", "rate"], "left"))
     # own counts and language counts on one scale, in whole numbers
     weight = (F.coalesce(F.col("n"), F.lit(0)).cast(whole) * F.col("lang_all").cast(whole)
               + F.col("lang_n").cast(whole) * F.lit(prior).cast(whole))
     total = ((F.coalesce(F.col("own_all"), F.lit(0)) + prior).cast(whole) * F.col("lang_all").cast(whole))
-    by = ["lang_key", "source_key", "rate"]
-    run = Window.partitionBy(*by).orderBy("bucket")
-    grid = grid.withColumn("upto", F.sum(weight).over(run)).withColumn("total", total)
-    four = F.lit(4).cast("decimal(2,0)")
-    q = grid.groupBy(*by).agg(
-        F.min(F.when(F.col("upto") * four >= F.col("total"), F.col("bucket"))).alias("b1"),
-        F.min(F.when(F.col("upto") * four >= F.col("total") * F.lit(3).cast("decimal(2,0)"),
-                     F.col("bucket"))).alias("b3"))
-    q = q.select(*by, bucket_low(F.col("b1")).alias("q1"), bucket_low(F.col("b3")).alias("q3"))
-    slack = F.lit(0)
-    for name, (_, _, _, least, _) in RATES.items():
-        slack = F.when(F.col("rate") == name, F.lit(least)).otherwise(slack)
-    reach = F.greatest(F.lit(REACH) * (F.col("q3") - F.col("q1")), slack)
-    low = F.lit(False)
-    for name, spec in RATES.items():
-        low = F.when(F.col("rate") == name, F.lit(spec[4])).otherwise(low)
-    q = q.withColumn("high", F.col("q3") + reach).withColumn(
-        "low", F.when(low, F.col("q1") - reach).otherwise(F.lit(-1).cast("long")))
+    own = quantiles(grid, ["lang_key", "source_key", "rate"], weight, total, "q")
+    of_lang = quantiles(lang, ["lang_key", "rate"], F.col("lang_n").cast(whole), F.col("lang_all").cast(whole), "l")
+    q = own.join(of_lang, ["lang_key", "rate"])
+    mid, top = TAIL
+    first, last = SIDES
+    sided = F.col("rate").isin([r for r, s in RATES.items() if s[3] is None])
+
+    def fence(x: str):
+        spread = F.col(f"{x}{last}") - F.col(f"{x}{first}")
+        tail = F.col(f"{x}{top}") + REACH * (F.col(f"{x}{top}") - F.col(f"{x}{mid}"))
+        return tail, F.col(f"{x}{first}") - REACH * spread, F.col(f"{x}{last}") + REACH * spread
+    (tail, low, high), (l_tail, l_low, l_high) = fence("q"), fence("l")
+    l_first, l_last = F.col(f"l{first}"), F.col(f"l{last}")
+    q = q.withColumn("high", F.when(sided, F.least(high, l_last + BOUND * (l_high - l_last)))
+                     .otherwise(F.least(tail, BOUND * l_tail))) \
+        .withColumn("low", F.when(sided, F.greatest(low, l_first - BOUND * (l_first - l_low))).otherwise(F.lit(-1).cast("long")))
     cols = []
     for name in RATES:
         for side in ("low", "high"):
@@ -160,13 +182,30 @@ def cutoffs(sketch: DataFrame, groups: DataFrame, prior: int = PRIOR) -> DataFra
     return q.groupBy("lang_key", "source_key").agg(*cols)
 
 
+def within(name: str) -> Column:
+    """Whether a document's rate is inside the fence.  A count may pass its expected
+    value at the fence, e, by CHANCE events and CHANCE standard deviations, so that
+    a few marks in a short text don't decide.  A mean of u words may pass by CHANCE
+    times half the fence over the root of u, the spread of word lengths."""
+    top, under, factor, event = RATES[name]
+    low, high = F.col(f"{name}_low"), F.col(f"{name}_high")
+    if event is None:
+        def near(fence):
+            off = F.abs(F.col(top) * factor - fence * F.col(under))
+            return (off * 2).cast("double") <= (fence * CHANCE).cast("double") * F.sqrt(F.col(under).cast("double"))
+        return high.isNotNull() & (rate(name).between(low, high) | near(low) | near(high))
+    e = F.expr(f"{name}_high * {under} div {factor * event}")
+    over = F.expr(f"{top} div {event}") - F.lit(CHANCE) - e
+    return high.isNotNull() & ((over <= 0) | (over * over <= F.lit(CHANCE * CHANCE) * e))
+
+
 def judge(measured: DataFrame, cuts: DataFrame) -> DataFrame:
     """Join the group's cutoffs and add base_failed and kept.  A group without
     cutoffs has no document that passes the base rules."""
     out = measured.join(cuts, ["lang_key", "source_key"], "left")
     inside = F.lit(True)
     for name in RATES:
-        inside = inside & rate(name).between(F.col(f"{name}_low"), F.col(f"{name}_high"))
+        inside = inside & within(name)
     out = out.withColumn("base_failed", base_failed())
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
 
@@ -178,7 +217,8 @@ def learn(measured: DataFrame) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
-    """``doc``, the measures, base_failed, kept.  Texts are measured twice (for
-    the sketches and for the verdict) rather than stored with their measures."""
-    measured = measure(docs)
+    """``doc``, the measures, base_failed, kept.  The measured rows are written
+    once, texts included, and read for the sketches (without the texts) and for the
+    verdict, since measuring costs far more than reading."""
+    measured = written(measure(docs), "zstd")
     return judge(measured, learn(measured))

@@ -25,13 +25,22 @@ _BLANK = r"'[\x20\x09-\x0D]'"
 # ------------------------------------------------------------------ 3
 
 _RATES_SQL = " union all ".join(
-    f"select doc_id, lang_key, source_key, '{n}' as rate, "
-    f"case when {u} = 0 then 0 else ({t} * {f}) // {u} end as v from m"
-    for n, (t, u, f, _, _) in quality.RATES.items())
-_CASE_SLACK = "case rate " + " ".join(
-    f"when '{n}' then {s[3]}" for n, s in quality.RATES.items()) + " end"
-_CASE_LOW = "case rate " + " ".join(
-    f"when '{n}' then {str(s[4]).lower()}" for n, s in quality.RATES.items()) + " end"
+    f"select rid, base_failed, lang_key, source_key, '{n}' as rate, {t} as c, {u} as u, {f} as f, "
+    f"{e or 0} as event, case when {u} = 0 then 0 else ({t} * {f}) // {u} end as v from f"
+    for n, (t, u, f, e) in quality.RATES.items())
+_MID, _TOP = quality.TAIL
+_FIRST, _LAST = quality.SIDES
+_LEVELS = sorted({*quality.TAIL, *quality.SIDES})
+
+
+def _least(x: str) -> str:
+    return f"(({x} - 32 * greatest({x} // 32 - 1, 0)) << greatest({x} // 32 - 1, 0))"
+
+
+def _quantiles(x: str, by: str, source: str) -> str:
+    marks = ", ".join(f"min(case when upto * 100 >= total * {p} then bucket end) as b{p}" for p in _LEVELS)
+    return f"select {by}, " + ", ".join(f"{_least(f'b{p}')} as {x}{p}" for p in _LEVELS) + f" from (select {by}, {marks} from {source} group by {by})"
+
 
 SQL_QUALITY = rf"""
 with w as (select row_number() over () as rid, doc_id, coalesce('=' || lang, '-') as lang_key,
@@ -48,13 +57,17 @@ m as (select rid, doc_id, lang_key, source_key, cast(len(ws) as bigint) as n_wor
         cast(len(ls) - len(list_distinct(ls)) as bigint) as n_dup_lines, cast(len(ls) as bigint) as n_lines,
         coalesce(cov.n, 0) as n_repeat_words from ww left join cov using (rid)),
 f as (select *, (n_words < 50 or 100 * n_repeat_words > 50 * n_words) as base_failed from m),
-rates as ({_RATES_SQL.replace("select doc_id", "select rid, base_failed").replace("from m", "from f")}),
+rates as ({_RATES_SQL}),
 b as (select *, greatest(length(bin(v)) - 6, 0) as o from rates where not base_failed),
 sk as (select lang_key, source_key, rate, cast(o * 32 + (v >> o) as bigint) as bucket, count(*) as n
        from b group by all),
-lang as (select lang_key, rate, bucket, sum(n) as lang_n from sk group by all),
-lang_all as (select lang_key, rate, sum(lang_n) as lang_all from lang group by all),
 own_all as (select lang_key, source_key, rate, sum(n) as own_all from sk group by all),
+lang as (select lang_key, rate, bucket, sum(n * {quality.UNIT} // own_all)::hugeint as lang_n
+         from sk join own_all using (lang_key, source_key, rate) group by all),
+lang_all as (select lang_key, rate, sum(lang_n)::hugeint as lang_all from lang group by all),
+lgrid as (select lang_key, rate, bucket, lang_all as total,
+            sum(lang_n) over (partition by lang_key, rate order by bucket) as upto
+          from lang join lang_all using (lang_key, rate)),
 grid as (select g.lang_key, g.source_key, l.rate, l.bucket,
            (coalesce(own_all, 0) + {quality.PRIOR})::hugeint * lang_all as total,
            sum(coalesce(sk.n, 0)::hugeint * lang_all + lang_n::hugeint * {quality.PRIOR})
@@ -64,17 +77,23 @@ grid as (select g.lang_key, g.source_key, l.rate, l.bucket,
          left join sk on sk.lang_key = g.lang_key and sk.source_key = g.source_key
               and sk.rate = l.rate and sk.bucket = l.bucket
          left join own_all w on w.lang_key = g.lang_key and w.source_key = g.source_key and w.rate = l.rate),
-q as (select lang_key, source_key, rate,
-        min(case when upto * 4 >= total then bucket end) as b1,
-        min(case when upto * 4 >= total * 3 then bucket end) as b3 from grid group by all),
-qq as (select *, (b1 - 32 * greatest(b1 // 32 - 1, 0)) << greatest(b1 // 32 - 1, 0) as q1,
-         (b3 - 32 * greatest(b3 // 32 - 1, 0)) << greatest(b3 // 32 - 1, 0) as q3 from q),
+q as ({_quantiles("q", "lang_key, source_key, rate", "grid")}),
+lq as ({_quantiles("l", "lang_key, rate", "lgrid")}),
 fence as (select lang_key, source_key, rate,
-        q3 + greatest({quality.REACH} * (q3 - q1), {_CASE_SLACK}) as high,
-        case when {_CASE_LOW} then q1 - greatest({quality.REACH} * (q3 - q1), {_CASE_SLACK}) else -1 end as low
-      from qq),
-bad as (select distinct r.rid from rates r left join fence using (lang_key, source_key, rate)
-        where low is null or r.v not between low and high)
+    case when rate = 'word_length' then least(q{_LAST} + {quality.REACH} * (q{_LAST} - q{_FIRST}),
+           l{_LAST} + {quality.BOUND * quality.REACH} * (l{_LAST} - l{_FIRST}))
+         else least(q{_TOP} + {quality.REACH} * (q{_TOP} - q{_MID}),
+           {quality.BOUND} * (l{_TOP} + {quality.REACH} * (l{_TOP} - l{_MID}))) end as high,
+    case when rate = 'word_length' then greatest(q{_FIRST} - {quality.REACH} * (q{_LAST} - q{_FIRST}),
+           l{_FIRST} - {quality.BOUND * quality.REACH} * (l{_LAST} - l{_FIRST})) else -1 end as low
+  from q join lq using (lang_key, rate)),
+j as (select r.*, low, high, high * u // (f * greatest(event, 1)) as e,
+        c // greatest(event, 1) - {quality.CHANCE} - high * u // (f * greatest(event, 1)) as over
+      from rates r left join fence using (lang_key, source_key, rate)),
+bad as (select distinct rid from j where low is null or case when event = 0 then v not between low and high
+            and not (cast(abs(c * f - low * u) * 2 as double) <= cast(low * {quality.CHANCE} as double) * sqrt(cast(u as double)))
+            and not (cast(abs(c * f - high * u) * 2 as double) <= cast(high * {quality.CHANCE} as double) * sqrt(cast(u as double)))
+          else over > 0 and over * over > {quality.CHANCE ** 2} * e end)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, cast(n_repeat_words as bigint) as n_repeat_words,
        base_failed, (not base_failed and bad.rid is null) as kept
 from f left join bad using (rid)"""
