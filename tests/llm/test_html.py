@@ -78,3 +78,23 @@ def test_nothing_else_dropped():
     # a marked article is kept whole, links included
     assert main_text(f"<article><p>{text}</p><p><a href=/x>A linked line.</a></p><ul><li><a href=/y>one</a></ul></article>") \
         == f"{text}\nA linked line.\none"
+
+
+def test_deep_pages_take_little_memory():
+    import tracemalloc
+    page = "<div>" * 100_000 + "<p>A paragraph, at last. It has two sentences.</p>"
+    steps = "<div>Some words here, and more.\n" * 20_000
+    tracemalloc.start()
+    assert main_text(page) == "A paragraph, at last. It has two sentences."
+    assert main_text(steps).count("\n") == 19_999
+    assert tracemalloc.get_traced_memory()[1] < 500e6
+    tracemalloc.stop()
+
+
+def test_a_marked_article_keeps_what_one_word_names():
+    page = """<article><h1>Title</h1><p>Some long text of the article, as it is. Yes.</p>
+    <section id="related-work"><p>Prior work, as such.</p></section><h2 id="search">Search</h2>
+    <p class="share-price">The price fell.</p><div class="share-buttons">Share</div><div class="ad-box">Buy</div>
+    <aside>Aside</aside></article>"""
+    assert main_text(page).split("\n") == [
+        "Title", "Some long text of the article, as it is. Yes.", "Prior work, as such.", "Search", "The price fell."]

@@ -70,14 +70,61 @@ def _names(attributes: str) -> frozenset[str]:
     return frozenset(names)
 
 
+#: Words that say nothing of what an element holds (fixed values).
+NEUTRAL = frozenset("area block body box btn button buttons column container content group holder inner item items "
+                    "left link links list main module outer panel right row section widget wrap wrapper".split())
+
+
+def _wholly(attributes: str) -> frozenset[str]:
+    """Words of those classes and ids that consist of banning and neutral words only:
+    inside a marked article share-price and related-work are content."""
+    names = set()
+    for one in attributes.split():
+        words = [w.lower() for w in _TOKEN.findall(one)]
+        pairs = list(map("".join, zip(words, words[1:])))
+        if pairs and any(x in OTHER for x in pairs) or all(w in OTHER or w in NEUTRAL for w in words):
+            names.update(words, pairs)
+    return frozenset(names)
+
+
+class _Tree:
+    """Numbered nodes, each with its parent's number, which is smaller: a path is one
+    number, whatever its depth."""
+
+    def __init__(self):
+        self.up, self.name, self.known = [-1], [""], {}
+
+    def child(self, parent: int, name: str, same: bool = True) -> int:
+        """The child of this name; a new one each time if not ``same``."""
+        found = self.known.get((parent, name)) if same else None
+        if found is None:
+            found = len(self.up)
+            self.up.append(parent)
+            self.name.append(name)
+            if same:
+                self.known[parent, name] = found
+        return found
+
+    def sums(self, values: dict[int, float]) -> list[float]:
+        """For each node the sum of the values in and below it."""
+        out = [0.0] * len(self.up)
+        for i, v in values.items():
+            out[i] += v
+        for i in range(len(out) - 1, 0, -1):
+            out[self.up[i]] += out[i]
+        return out
+
+
 class _Page(HTMLParser):
     """Blocks of a page: [path, container, text pieces, characters in links, marked,
-    in a form, the elements whose class or id bans the block]."""
+    in a form, the innermost element whose class or id bans the block].  Paths and
+    banning elements are numbers of trees, so deep pages take linear space."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple] = []  # tag, label, banned, marked, in a link, banned by class or id
-        self.worded = 0
+        # tag, path up to it, banned, marked, in a link, banned by class or id
+        self.open: list[tuple] = []
+        self.paths, self.bans = _Tree(), _Tree()
         self.blocks: list[list] = []
         self.fresh = True
 
@@ -95,8 +142,9 @@ class _Page(HTMLParser):
                 self.handle_data(" ")
             return
         a = {k: v or "" for k, v in attrs}
-        names = _names(f"{a.get('class', '')} {a.get('id', '')}")
-        _, _, banned, marked, linked, by = self.open[-1] if self.open else ("", "", "", False, False, ())
+        said = f"{a.get('class', '')} {a.get('id', '')}"
+        names = _names(said)
+        _, path, banned, marked, linked, by = self.open[-1] if self.open else ("", 0, "", False, False, 0)
         main = tag in ("article", "main") or a.get("role") in ("main", "article") or a.get("itemprop") == "articleBody"
         if not banned or banned == "form":
             if tag in NEVER or a.get("role") in ROLES:
@@ -106,16 +154,17 @@ class _Page(HTMLParser):
             elif main:
                 if names & TALK:
                     banned = "comment"
-                elif not any(talk for _, talk in by):
-                    by = ()  # an article is not what the words of its wrappers say
+                elif self.bans.name[by] != "talk":
+                    by = 0  # an article is not what the words of its wrappers say
             elif not marked and tag == "header":
                 banned = "other"
-            elif names & OTHER or (not marked and "header" in names):
-                self.worded += 1
-                by = (*by, (self.worded, bool(names & TALK)))
-        label = ".".join((tag, *sorted(names))) if tag in BLOCK else None
+            elif (not _HEADING.match(tag) and _wholly(said) & OTHER) if marked else names & (OTHER | {"header"}):
+                talk = names & TALK or self.bans.name[by] == "talk"  # of the element or of one around it
+                by = self.bans.child(by, "talk" if talk else "other", same=False)
+        if tag in BLOCK:
+            path = self.paths.child(path, ".".join((tag, *sorted(names))))
         marked = marked or (main and not banned and not by)
-        self.open.append((tag, label, banned, marked, linked or tag == "a", by))
+        self.open.append((tag, path, banned, marked, linked or tag == "a", by))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -150,7 +199,7 @@ class _Page(HTMLParser):
     def handle_data(self, data):
         if not data.isspace():
             self._end_head()
-        _, _, banned, marked, linked, by = self.open[-1] if self.open else ("", "", "", False, False, ())
+        _, path, banned, marked, linked, by = self.open[-1] if self.open else ("", 0, "", False, False, 0)
         if banned and banned != "form":
             if not data.isspace():
                 self.fresh = True
@@ -158,15 +207,14 @@ class _Page(HTMLParser):
         if self.fresh:
             if data.isspace():
                 return
-            labels = [x[1] for x in self.open if x[1]]
-            self.blocks.append(["/".join(labels), "/".join(labels[:-1]), [], 0, marked, banned == "form", by])
+            self.blocks.append([path, max(self.paths.up[path], 0), [], 0, marked, banned == "form", by])
             self.fresh = False
         b = self.blocks[-1]
         b[2].append(data)
         b[3] += len(data) if linked else 0
 
 
-def _smooth(values: list[float], groups: list[str]) -> list[float]:
+def _smooth(values: list[float], groups: list[int]) -> list[float]:
     out = []
     for i, v in enumerate(values):
         near = [values[j] for j in (i - 1, i + 1) if 0 <= j < len(values) and groups[j] == groups[i]]
@@ -183,12 +231,14 @@ def main_text(page: str | None) -> str:
     blocks = [b for b in blocks if b[2]]
     # a class or id bans its element, unless that holds most of the page's text
     if not any(b[4] for b in blocks):
-        held: dict[int, int] = {}
+        bans, plain = parser.bans, {}
         for b in blocks:
-            for one, talk in b[6]:
-                held[one] = held.get(one, 0) + (0 if talk else max(len(b[2]) - b[3], 0))
-        most = sum(max(len(b[2]) - b[3], 0) for b in blocks) / 2
-        blocks = [b for b in blocks if all(held[one] > most for one, _ in b[6])]
+            plain[b[6]] = plain.get(b[6], 0) + max(len(b[2]) - b[3], 0)
+        held, most = bans.sums(plain), sum(plain.values()) / 2
+        fine = [True] * len(held)
+        for i in range(1, len(held)):
+            fine[i] = fine[bans.up[i]] and held[i] > most and bans.name[i] != "talk"
+        blocks = [b for b in blocks if fine[b[6]]]
     else:
         blocks = [b for b in blocks if not b[6]]
     # a form is not main text, unless the page is one large form
@@ -197,7 +247,7 @@ def main_text(page: str | None) -> str:
     if any(b[4] for b in blocks):
         blocks = [b for b in blocks if b[4]]
     # length and punctuation per block of each path, without what stands in links
-    sums: dict[str, list[float]] = {}
+    sums: dict[int, list[float]] = {}
     for path, _, text, link, *_ in blocks:
         s = sums.setdefault(path, [0, 0, 0, 0])
         s[0] += 1
@@ -207,26 +257,31 @@ def main_text(page: str | None) -> str:
     boxes = [b[1] for b in blocks]
     length = _smooth([sums[b[0]][1] / sums[b[0]][0] for b in blocks], boxes)
     points = _smooth([sums[b[0]][2] / sums[b[0]][0] * sums[b[0]][1] / sums[b[0]][3] for b in blocks], boxes)
-    score: dict[str, float] = {}
+    score: dict[int, float] = {}
     for b, n, p in zip(blocks, length, points):
         score[b[0]] = max(score.get(b[0], 0.0), n * (1 + p))
     best = max(score.values(), default=0.0)
-    strong = [b[1].split("/") for b in blocks if score[b[0]] >= PART * best]
-    # the lowest container that holds every path that counts, by the labels they share
-    seed = []
-    for labels in zip(*strong):
-        if len(set(labels)) > 1:
-            break
-        seed.append(labels[0])
-    seed = "/".join(seed)
+    strong = {}
+    for b in blocks:
+        if score[b[0]] >= PART * best:
+            strong[b[1]] = strong.get(b[1], 0) + 1
+    # the lowest container that holds every path that counts: children have larger numbers
+    paths = parser.paths
+    below = paths.sums(strong)
+    seed = max((i for i, n in enumerate(below) if n == below[0]), default=0)
+    inside, above = [seed == 0] * len(below), {seed}
+    for i in range(1, len(below)):
+        inside[i] = i == seed or inside[paths.up[i]]
+    while seed > 0:
+        seed = paths.up[seed]
+        above.add(seed)
 
     def content(b) -> bool:
         if b[4] or score[b[0]] >= PART * best:
             return True
-        inside = not seed or f"{b[1]}/".startswith(seed + "/")
         # a heading of the text may stand in a container above
-        heads = _HEADING.match(b[0].rsplit("/", 1)[-1]) and f"{seed}/".startswith(b[1] + "/")
-        return bool(inside or heads) and b[3] * 2 <= len(b[2])
+        heads = _HEADING.match(paths.name[b[0]]) and b[1] in above
+        return bool(inside[b[1]] or heads) and b[3] * 2 <= len(b[2])
 
     return "\n".join(b[2] for b in blocks if content(b))
 
