@@ -53,3 +53,19 @@ def test_repeated_and_odd_rows(spark):
     assert rows_of(found.select("doc.*")) == rows_of(docs)
     assert S.find_secrets(docs.limit(0)).count() == 0
     assert "op5_secret_scan" in LLM_QUERIES
+
+
+def test_private_keys_go_with_their_bodies(spark):
+    body = "\n".join("MIIEpAIBAAKCAQEA" + "abcD/+09" * 6 for _ in range(5)) + "\nab12=="
+    key = f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----"
+    headed = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0F\n\n{body}\n-----END RSA PRIVATE KEY-----"
+    cut = f"-----BEGIN PRIVATE KEY-----\n{body}"
+    long = "-----BEGIN PRIVATE KEY-----\n" + "QUJD" * 16 * 4000
+    texts = [f"before {key} after.", f"x {headed} y", f"{cut}\n\nSome text goes on here.", long, "-----BEGIN PRIVATE KEY----- only."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = S.find_secrets(docs)
+    out = {r["id"]: r["t"] for r in found.select(
+        F.col("doc.doc_id").alias("id"), S.redacted(F.col("doc.text"), F.col("spans")).alias("t")).collect()}
+    assert out[0] == "before [pem] after." and out[1] == "x [pem] y"
+    assert out[2].endswith(" text goes on here.") and "MIIE" not in out[2] and "ab12" not in out[2]
+    assert out[3] == "[pem]" and out[4] == "[pem] only."

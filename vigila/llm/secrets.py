@@ -49,7 +49,9 @@ MORE_RULES = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[0-9A-Za-z_-]{35}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
+    # through the END line; without one to the end of the unbroken base64 lines
+    Rule("pem", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:[A-Za-z0-9+/=:,\x09-\x0D\x20-]*?-----END [A-Z ]{0,30}PRIVATE KEY-----"
+                r"|[A-Za-z0-9+/=\x0A\x0D]*)"),
 )
 RULES = BASE_RULES + MORE_RULES
 #: Character sets up to this size, and so many alternatives, are spelled out.

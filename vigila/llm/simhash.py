@@ -216,6 +216,6 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     stay = written(groups.where(same).select(key_of(F.col("doc_id")).alias("k"), "tie").distinct())
     rows = docs.select(key_of(docs["doc_id"]).alias("k"), F.xxhash64(text_of(docs["text"])).alias("tie"),
                        F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
-    # rows equal in id and text are one document
-    rows = rows.groupBy("k", "tie").agg(F.first("doc").alias("doc"))
-    return rows.join(stay, ["k", "tie"], "left_semi").select("doc.*")
+    # rows equal in id and text are one document: the one of least hash stays
+    rows = rows.join(stay, ["k", "tie"], "left_semi")
+    return rows.groupBy("k", "tie").agg(F.min_by("doc", F.xxhash64("doc")).alias("doc")).select("doc.*")
