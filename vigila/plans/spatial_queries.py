@@ -125,7 +125,30 @@ def q_routes(spark, sf):
         .select("anchor_id", F.col("stop").cast("long").alias("stop"), "cell_id")
 
 
+def q_knn_occupied(spark, sf):
+    """Nearest occupied cells, with one cell far out, as a record at (0, 0) makes it."""
+    from ..operators import sparse_grid as SG
+    pts = S.project(clean_incidents_df(spark, sf)).where(F.col("x").isNotNull())
+    cells = SG.occupied_cells(pts, S.grid_spec(pts, CELL)).select("cell_id", "ix", "iy", "n")
+    far = spark.createDataFrame([("cell_far", -17000, -6000, 1)], cells.schema)
+    k = SG.nearest_occupied(cells.unionByName(far), KNN, "n", CELL)
+    return k.select("anchor_id", F.col("rank").cast("long").alias("rank"), "cell_id", F.round("dist_m", 3).alias("dist_m"))
+
+
+SQL_knn_occupied = _with(SQL_INCIDENT, SQL_PTS, """
+b as (select min(x) as minx, min(y) as miny from pts),
+g as (select 'cell_' || ix || '_' || iy as cell_id, ix * 500.0 as cx, iy * 500.0 as cy, count(*) as n
+      from (select cast(floor((x - minx) / 500.0) as bigint) as ix, cast(floor((y - miny) / 500.0) as bigint) as iy
+            from pts, b) c group by ix, iy
+      union all select 'cell_far', -8500000.0, -3000000.0, 1),
+ranked as (select a.cell_id as anchor_id, c.cell_id, sqrt(pow(a.cx - c.cx, 2) + pow(a.cy - c.cy, 2)) as dist_m,
+             row_number() over (partition by a.cell_id order by sqrt(pow(a.cx - c.cx, 2) + pow(a.cy - c.cy, 2)),
+                                c.n desc, c.cell_id) as rank from g a, g c)""") + """
+select anchor_id, cast(rank as bigint) as rank, cell_id, round(dist_m, 3) as dist_m from ranked where rank <= 8"""
+
+
 register("pip_join", q_pip_join, SQL_pip_join)
+register("knn_occupied", q_knn_occupied, SQL_knn_occupied)
 register("near_tower", q_near_tower, SQL_near_tower)
 register("kde_cells", q_kde_cells, SQL_kde_cells)
 register("knn_cells", q_knn_cells, SQL_knn_cells)
