@@ -82,14 +82,14 @@ def test_rare_words_are_never_extended(spark):
     rows = [("en", " ".join(f"r{rnd.randrange(10 ** 9)}" for _ in range(50)) + " same old") for _ in range(30)]
     scans = []
     docs = spark.createDataFrame(rows, "lang string, text string")
-    collocations.count_phrases(docs, slots=1 << 16, scans=scans)
+    collocations.count_phrases(docs, slots=1 << 16, shards=1, scans=scans)
     assert sum(x.get(2, 0) for _, x in scans) < 50  # 1,530 distinct pairs are there
 
 
 def test_top_and_ranks(spark):
     rows = list(corpus(4))
     docs = spark.createDataFrame(rows, "lang string, text string")
-    out = collocations.collocations(docs, top=5, slots=1 << 12).collect()
+    out = collocations.collocations(docs, top=5, slots=1 << 12, shards=1).collect()
     want = {}
     for lang, phrase, a, _, _, _, score in brute(rows):
         want.setdefault(lang, []).append((-score, -a, phrase.encode(), phrase))
@@ -102,9 +102,9 @@ def test_odd_documents(spark):
     docs = odd.documents(spark)
     docs = docs.unionByName(docs.where("doc_id < 12")).withColumn("phrase", F.lit("clash"))
     rows = [(r["lang"], r["text"]) for r in docs.collect()]
-    out = collocations.collocations(docs, slots=1 << 12)
+    out = collocations.collocations(docs, slots=1 << 12, shards=1)
     assert sorted(tuple(r) for r in out.select("lang", "phrase", "a", "l", "r", "n", "score").collect()) == brute(rows)
-    assert collocations.collocations(docs.limit(0), slots=1 << 12).count() == 0
+    assert collocations.collocations(docs.limit(0), slots=1 << 12, shards=1).count() == 0
 
 
 def test_scores_pass_64_bits(spark):
