@@ -133,3 +133,15 @@ def test_theta_joins_plan_no_nested_loop(spark):
                S.knn_cells(cells.withColumn("p", F.lit(0.0)), 8, "p")]:
         p = _plan(df)
         assert "NestedLoop" not in p and "Cartesian" not in p, p[:2000]
+
+
+def test_medians_of_several_columns_at_once(spark):
+    rng = np.random.default_rng(4)
+    rows = [(float(a), float(b) if i % 3 else None, 7.0 if i % 2 else float("nan"), None)
+            for i, (a, b) in enumerate(zip(rng.normal(size=2001), rng.integers(0, 5, 2001)))]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    got = FE.exact_medians(df, ["a", "b", "c", "d"])
+    assert got["a"] == pytest.approx(np.median([r[0] for r in rows]))
+    assert got["b"] == pytest.approx(np.median([r[1] for r in rows if r[1] is not None]))
+    assert got["c"] == 7.0 and got["d"] is None
+    assert FE.exact_medians(df.limit(0), ["a"]) == {"a": None} and FE.exact_medians(df, []) == {}

@@ -13,35 +13,65 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .aggregates import prefix_sums
 
 # Numeric and category columns of the feature table.
 NUMERIC_FEATURES = ["duration_seconds_mean", "time_diff_minutes_mean", "distance_m_mean", "hour", "dayofweek"]
 CATEGORY_FEATURES = ["crime_type", "victim_gender", "suspect_gender"]
 
-def exact_median(df: DataFrame, col: str) -> float | None:
-    """M1: exact median (mean of the two middle values for an even count).
-
-    Equal values are counted first (partial sums), and :func:`prefix_sums` over
-    the distinct values finds those that hold the middle ranks: no gathering and
-    no one-task sort, however often a value repeats."""
-    vals = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    counts = cut_lineage(vals.groupBy("v").agg(F.count("*").alias("c")))
-    n = counts.agg(F.sum("c")).first()[0]
-    if not n:
-        return None
-    ranks = [(n - 1) // 2, n // 2]  # 0-based middle ranks
-    cum = prefix_sums(counts, "v", ["c"])
-    upto = F.col("cum_c")
-
-    def holds(r):
-        return (upto > r) & (upto - F.col("c") <= r)
-    got = cum.agg(*[F.max(F.when(holds(r), F.col("v"))).alias(f"r{i}") for i, r in enumerate(ranks)]).first()
-    return (got["r0"] + got["r1"]) / 2.0
+#: Ranges that a column's values are cut into.
+MEDIAN_RANGES = 256
 
 
 def exact_medians(df: DataFrame, cols: list[str]) -> dict:
-    return {c: exact_median(df, c) for c in cols}
+    """M1: exact medians (mean of the two middle values for an even count) of all
+    ``cols`` at once, None for a column without values.
+
+    Equal values are counted first, as one long table of (column, value); approximate
+    quantiles cut each column into ranges, the ranges' totals tell which of them hold the
+    middle ranks, and running sums are taken in those only: no gathering and no
+    one-task sort, however often a value repeats, and one pass for all columns."""
+    if not cols:
+        return {}
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v"))
+                                         for c in cols])).alias("x")).select("x.*")
+    counts = cut_lineage(long.where(F.col("v").isNotNull() & ~F.isnan("v")).groupBy("name", "v").agg(F.count("*").alias("c")))
+    parts = [i / MEDIAN_RANGES for i in range(1, MEDIAN_RANGES)]
+    cuts = {r["name"]: (sorted(set(r["q"])), r["n"]) for r in counts.groupBy("name").agg(
+        F.percentile_approx("v", parts, 10_000).alias("q"), F.sum("c").alias("n")).collect()}  # a row a column
+    if not cuts:
+        return dict.fromkeys(cols)
+    bucket = F.lit(0)
+    for name, (q, _) in cuts.items():
+        place = F.size(F.filter(F.array(*map(F.lit, q)), lambda x: x <= F.col("v")))
+        bucket = F.when(F.col("name") == name, place).otherwise(bucket)
+    ranged = counts.withColumn("b", bucket)
+    totals: dict[str, list] = {}
+    for r in ranged.groupBy("name", "b").agg(F.sum("c").alias("n")).orderBy("name", "b").collect():  # ranges x columns
+        totals.setdefault(r["name"], []).append((r["b"], r["n"]))
+    wanted = F.lit(False)
+    before, ranks = F.lit(0), {}
+    for name, (_, n) in cuts.items():
+        ranks[name] = ((n - 1) // 2, n // 2)  # 0-based middle ranks
+        upto = 0
+        for b, size in totals[name]:
+            if any(upto <= r < upto + size for r in ranks[name]):
+                here = (F.col("name") == name) & (F.col("b") == b)
+                wanted, before = wanted | here, F.when(here, F.lit(upto)).otherwise(before)
+            upto += size
+    run = W.partitionBy("name", "b").orderBy("v")
+    cum = ranged.where(wanted).withColumn("upto", before + F.sum("c").over(run))
+    holds = F.lit(False)
+    for name, two in ranks.items():
+        for r in set(two):
+            holds = holds | ((F.col("name") == name) & (F.col("upto") > r) & (F.col("upto") - F.col("c") <= r))
+    got = {r["name"]: (r["lo"], r["hi"]) for r in cum.where(holds).groupBy("name").agg(
+        F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
+    return {c: (got[c][0] + got[c][1]) / 2.0 if c in got else None for c in cols}
+
+
+def exact_median(df: DataFrame, col: str) -> float | None:
+    """M1: exact median of one column."""
+    return exact_medians(df, [col])[col]
 
 
 def impute_median(df: DataFrame, cols: list[str]) -> DataFrame:
