@@ -71,3 +71,26 @@ def test_chi_square_bound():
     rng = np.random.default_rng(3)
     x = (rng.standard_normal((200_000, 8)) ** 2).sum(axis=1)
     assert abs((x <= A.chi_square_bound(8, 0.9)).mean() - 0.9) < 0.005
+
+
+def test_the_stopping_test_leaves_vectors_out():
+    """The share of vectors that a query verifies falls with their number, at a recall of 0.9."""
+    shares = []
+    for n in (2000, 8000):
+        rng = np.random.default_rng(4)
+        x = rng.standard_normal((n, 64))
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        proj = A.Projection(64, 1.0, A.DIMS, A.SEED)
+        at, seen = np.arange(0, n, n // 40), []
+        got = {}
+        for q, i, _ in A.search_block(x, [[i] for i in range(n)], proj, x[at], at.tolist(), [np.inf] * len(at), 20,
+                                      A.chi_square_bound(A.DIMS, A.SURE), seen):
+            got.setdefault(q, set()).add(i)
+        hits = 0
+        for q in at.tolist():
+            s = x @ x[q]
+            s[q] = -np.inf
+            hits += len(got[q] & set(np.argsort(-s)[:20].tolist()))
+        assert hits >= 0.9 * 20 * len(at)
+        shares.append(sum(seen) / len(at) / n)
+    assert shares[1] < shares[0] < 0.8
