@@ -1,11 +1,13 @@
 """Phrase collocation mining by dynamic itemset counting.
 
 Documents fall into ``SHARDS`` shards by a hash.  Scan t reads shard t mod SHARDS
-and counts phrases of all lengths that are active: words from the first scan on; a
+and counts phrases of several lengths at once: words from the first scan on, a
 longer phrase from the scan after both of its subphrases (without the last and
 without the first word) have reached the threshold.  Each phrase is counted for
-one full cycle of the shards and no further; three cycles are enough for three
-words, and scanning ends as soon as no phrase is within its cycle.
+one full cycle of the shards and no further.  After the first word cycle and one
+scan more, a closing cycle over all shards counts by text, which is exact, what may
+still reach the threshold: phrases that have, phrases whose cycle is not over, and the
+longest ones whose subphrases are among those.
 
 While scanning, a phrase is a 64-bit hash with its count.  Which phrases have
 reached the threshold is kept in one table of fixed size a length: a byte for each of
@@ -13,8 +15,7 @@ reached the threshold is kept in one table of fixed size a length: a byte for ea
 phrase is never activated too late; one that shares a slot with another may be
 early, and since activity is a function of the slots alone it still is counted
 in each shard once.  The tables are all that tasks get, whatever the size of the
-input; more phrases than slots cost rows to count, no result.  A closing cycle counts
-the phrases that reached the threshold by their text, which is exact.
+input; more phrases than slots cost rows to count, no result.
 
 Tasks add up a group of documents before they write; counts meet in aggregates
 by phrase, so no word, language or line gathers in a task.
@@ -67,10 +68,11 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(27))
 
 
-def _phrases(lang: str, text: bytes, reached: list[np.ndarray], longest: int, before: int):
+def _phrases(lang: str, text: bytes, reached: list[np.ndarray], longest: int, before: int, open_from: int | None = None):
     """(words of the vocabulary, number of all words), then for each length the
     phrases whose subphrases reached the threshold before scan ``before``: (length,
-    words of each, hash, count, latest scan of its subphrases)."""
+    words of each, hash, count, latest scan of its subphrases).  With ``open_from`` a
+    phrase activated at that scan or later counts as one that may still reach it."""
     tokens = words_of(text)
     flat = np.empty(len(tokens), object)
     flat[:] = tokens
@@ -84,8 +86,11 @@ def _phrases(lang: str, text: bytes, reached: list[np.ndarray], longest: int, be
     n = np.bincount(code, minlength=len(vocab))
     yield 1, words[~wall], hashes[~wall], n[~wall], np.full(int((~wall).sum()), -1)
     phrase = code.astype(np.int64)  # the phrase of the length so far that starts at each place of ``at``
+    latest = np.full(len(vocab), -1)
     for length in range(2, longest + 1):
         when = reached[length - 2][_slot(hashes, len(reached[0]))].astype(np.int64)
+        if open_from is not None:
+            when = np.where((when == NEVER) & (latest >= open_from), open_from, when)
         at = at[:-1][at[1:] == at[:-1] + 1]
         left, right = phrase[at], phrase[at + 1]
         live = np.maximum(when[left], when[right]) < before
@@ -138,17 +143,19 @@ def _scan(scan: int, sent: list, longest: int, shards: int):
     return count
 
 
-def _close(sent: list, longest: int):
-    """Counts by text of the phrases whose slots reached the threshold; the number
-    of all words as a phrase of length 0."""
+def _close(sent: list, longest: int, open_from: int):
+    """Counts by text of the phrases that may reach the threshold; the number of all
+    words as a phrase of length 0."""
     def count(batches):
         reached = [np.frombuffer(x.value, np.int8) for x in sent]
         for lang, text in _groups(batches):
-            found = _phrases(lang, text, reached, longest, NEVER)
+            found = _phrases(lang, text, reached, longest, NEVER, open_from)
             vocab, size = next(found)
             parts = [(0, [b""], [size])]
-            for length, words, hashes, n, _ in found:
-                pick = reached[length - 1][_slot(hashes, len(reached[0]))] < NEVER
+            for length, words, hashes, n, latest in found:
+                pick = np.full(len(n), True)
+                if length < longest:
+                    pick = (reached[length - 1][_slot(hashes, len(reached[0]))] < NEVER) | (latest >= open_from)
                 texts = vocab[words[pick, 0]]
                 for i in range(1, length):
                     texts = texts + b" " + vocab[words[pick, i]]
@@ -184,30 +191,38 @@ def count_phrases(docs: DataFrame, least: int = 10, longest: int = 3, shards: in
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
     given = docs.select(lang.alias("lang"), text.alias("text"))
     shard = F.pmod(F.xxhash64("lang", "text"), F.lit(shards))
-    tables = [np.full(slots, NEVER, np.int8) for _ in range(longest)]
+    tables = [np.full(slots, NEVER, np.int8) for _ in range(longest - 1)]
     counts: list[DataFrame] = []
-    for scan in range(longest * shards):
-        if scan >= shards and not any(((t < scan) & (t >= scan - shards)).any() for t in tables[:-1]):
-            break
-        with _sent(spark, tables[:-1]) as sent:
+    last = shards  # scans 0 to shards: a cycle of words, and of phrases that scan 0 activates
+    for scan in range(last + 1):
+        with _sent(spark, tables) as sent:
             counts.append(written(given.where(shard == scan % shards).mapInArrow(
-                _scan(scan, sent, longest, shards), "length byte, hash long, n int"), "zstd"))
+                _scan(scan, sent, longest - 1, shards), "length byte, hash long, n int"), "zstd"))
         if scans is not None:
             scans.append((scan, dict(counts[-1].groupBy("length").count().collect())))
         sofar = reduce(DataFrame.unionByName, counts)
-        for length in range(1, longest):  # the last length activates nothing: it is looked at after the end
-            if length - 1 <= scan < length * shards:
+        for length in range(1, longest):
+            # looked at as long as counts come in and something longer depends on it
+            if length - 1 <= scan and (scan == last or length < longest - 1) and (length > 1 or scan < shards):
                 t = tables[length - 1]
                 t[_reached(sofar, length, least, slots) & (t == NEVER)] = scan
-    sofar = reduce(DataFrame.unionByName, counts)
-    tables[-1][_reached(sofar, longest, least, slots)] = 0
+    dropped(counts)
+    # what scan 0 activated has been counted for a whole cycle, the rest has not
     with _sent(spark, tables) as sent:
-        total = written(given.mapInArrow(_close(sent, longest), "lang string, length int, phrase string, n long")
+        total = written(given.mapInArrow(_close(sent, longest, last + 1 - shards), "lang string, length int, phrase string, n long")
                         .groupBy("lang", "length", "phrase").agg(F.sum("n").alias("n"))
                         .where((F.col("n") >= least) | (F.col("length") == 0)))
     return total.where("length > 0"), total.where("length = 0").select("lang", F.col("n").alias("size"))
 
 
+def dropped(tables: list[DataFrame]) -> None:
+    """Delete tables that ``written`` made and nothing depends on any more."""
+    for t in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextmanager
 def _sent(spark, tables: list[np.ndarray]):
     """The tables as broadcasts of a fixed size, destroyed when the rows are written."""
