@@ -77,7 +77,11 @@ def test_headers_texts_titles(spark):
         rows.append((name.removesuffix(".header"), raw))
         rows.append((name.removesuffix(".header"), "Copyright 2020 A. N. Other\n\n" + "\n".join("# " + x for x in raw.split("\n")) + "\n\nx = 1\n" * 300))
     rows += [("MIT", "// SPDX-License-Identifier: MIT\ncode"), ("Apache-2.0", "/* SPDX-License-Identifier: Apache-2.0 */"),
-             ("GPL-2.0-only OR MIT", "# SPDX-License-Identifier: GPL-2.0-only OR MIT\nx"), ("MIT", "MIT License\n\nsome words"),
+             ("GPL-2.0-only OR MIT", "# SPDX-License-Identifier: GPL-2.0-only OR MIT\nx"),
+             ("Apache-2.0 AND MIT", "// SPDX-License-Identifier: MIT\nx\n// SPDX-License-Identifier: Apache-2.0\n// SPDX-License-Identifier: MIT\ny"),
+             ("(MIT OR (Apache-2.0 AND BSD-3-Clause))", "# SPDX-License-Identifier: (MIT OR (Apache-2.0 AND BSD-3-Clause))\nx"),
+             ("(GPL-2.0-only OR MIT) AND ISC", "# SPDX-License-Identifier: ISC\n# SPDX-License-Identifier: GPL-2.0-only OR MIT"),
+             ("MIT", "(SPDX-License-Identifier: MIT)"), ("MIT", "MIT License\n\nsome words"),
              ("AGPL-3.0", " GNU AFFERO GENERAL PUBLIC LICENSE\n  Version 3, 19 November 2007\n\nmore"),
              ("GPL-3.0", "under the terms of the GNU General Public License as published by the Free Software Foundation, version 3."),
              ("MIT", "This is released\n# under the MIT\n# License."), ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),

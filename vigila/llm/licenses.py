@@ -132,7 +132,7 @@ LEAST = 0.8
 _CUT = r"\n|(?<=[.!?;])\s+"
 _GAP = r"[^\p{L}\p{N}]+"
 _ID = r"[A-Za-z0-9](?:[A-Za-z0-9.+-]*[A-Za-z0-9+])?"
-_SPDX = rf"SPDX-License-Identifier:[ \t]*(\(?{_ID}\)?(?:[ \t]+(?:AND|OR|WITH)[ \t]+\(?{_ID}\)?)*)"
+_SPDX = rf"SPDX-License-Identifier:[ \t]*((?:\([ \t]*)*{_ID}(?:[ \t]*\))*(?:[ \t]+(?:AND|OR|WITH)[ \t]+(?:\([ \t]*)*{_ID}(?:[ \t]*\))*)*)"
 #: A line break within a paragraph, and the comment mark after it.
 _WRAP = r"(?<=\S)[ \t\r]*\n[ \t]*(?:[#*;]+|//+|--+)?[ \t]*(?=\S)"
 #: What every SPDX line, title and anchor has.
@@ -258,6 +258,19 @@ def scores(sentences: DataFrame, rows: list[tuple], weights: dict[str, float], u
             .select("sentence", F.round("b.score", 6).alias("score"), "b.license"))
 
 
+def spdx_of(found: Column) -> Column:
+    """All SPDX expressions of a text as one: equal ones once, several joined by AND,
+    alternatives in parentheses.  Parentheses that don't pair are left out."""
+    def paired(x):
+        opened, closed = (F.length(x) - F.length(F.replace(x, F.lit(c))) for c in "()")
+        return F.when(opened == closed, x).otherwise(F.translate(x, "()", ""))
+
+    def part(x):
+        return F.when(F.contains(x, F.lit(" OR ")) & ~F.startswith(x, F.lit("(")), F.concat(F.lit("("), x, F.lit(")"))).otherwise(x)
+    each = F.array_sort(F.array_distinct(F.transform(found, paired)))
+    return let(each, lambda e: F.when(F.size(e) == 1, e[0]).when(F.size(e) > 1, F.array_join(F.transform(e, part), " AND ")))
+
+
 def scan_licenses(docs: DataFrame, path: Column, least: float = LEAST) -> DataFrame:
     """``doc``, path, license, score, basis ('own', 'inherited' or null) and
     directory (whence it is inherited)."""
@@ -293,7 +306,7 @@ def scan_licenses(docs: DataFrame, path: Column, least: float = LEAST) -> DataFr
 
     whole = sentences(F.regexp_replace("t", _WRAP, " "))
     cut = F.when(maybe, let(sentences(F.col("t")), lambda s: let(whole, lambda j: cuts(s, j))))
-    spdx = F.array_min(F.regexp_extract_all("t", F.lit(_SPDX), F.lit(1)))
+    spdx = spdx_of(F.regexp_extract_all("t", F.lit(_SPDX), F.lit(1)))
     more = F.when(maybe & F.rlike(F.lower("t"), F.lit(_MAYBE)), F.struct(spdx.alias("spdx"), let(lines, other).alias("o")))
     base = base.select(key_of(F.col("path")).alias("k"), F.xxhash64("t").alias("h"), "path", cut.alias("cut"),
                        more.alias("more"), "doc")
