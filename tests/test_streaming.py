@@ -68,3 +68,30 @@ def test_late_rows_are_dropped(spark, tmpdir_path):
     start_alerts(spark, inbox, cells, params, table, ckpt, columns=COLS).awaitTermination(120)
     a = spark.read.parquet(table)
     assert a.where(F.col("window_start") < F.lit("2024-01-01 12:00:00").cast("timestamp")).count() == 0
+
+
+def test_polls_are_logged_over_a_restart(spark, tmpdir_path):
+    import time
+    from vigila.streaming import last_poll, polls
+    base = tmpdir_path
+    inbox = os.path.join(base, "inbox"); os.makedirs(inbox)
+    pts = spark.createDataFrame([(28.50, 77.00), (28.52, 77.03)], "latitude double, longitude double")
+    spec = S.grid_spec(S.project(pts), 500.0)
+    cells = S.grid_cells(spec).withColumn("combined_prob_24h", F.lit(0.9))
+    params = spec.select("minx", "miny", "size").first().asDict()
+    table, ckpt, log = (os.path.join(base, x) for x in ("alerts", "ckpt", "polls"))
+    for i, rows in enumerate((2, 1)):
+        _write(inbox, f"{i}.csv", [(f"f{i}{j}", "2024-01-01 15:00:00", "28.5105", "77.0105") for j in range(rows)])
+        q = start_alerts(spark, inbox, cells, params, table, ckpt, columns=COLS, poll_path=log, name="watch")
+        q.awaitTermination(120)
+        want = 3 if i else 2
+        for _ in range(60):  # events come after the batch
+            if os.path.exists(log) and (polls(spark, log).agg(F.sum("rows")).first()[0] or 0) >= want:
+                break
+            time.sleep(1)
+        spark.streams.removeListener(q.poll_log)
+    got = last_poll(spark, log).collect()
+    assert [(r["query"], r["batches"], r["rows"]) for r in got] == [("watch", 2, 3)]
+    times = polls(spark, log)
+    assert got[0]["last_poll"] == times.agg(F.max("polled_at")).first()[0] >= got[0]["last_rows_at"]
+    assert times.select("run_id").distinct().count() == 2

@@ -105,7 +105,7 @@ def sequence_forecast(counts: DataFrame, cells: DataFrame, seq_len: int = 7) ->
     asm = VectorAssembler(inputCols=lags, outputCol="features")
     has_pos = train.where(F.col("label") > 0).limit(1).count() > 0
     # forecast rows: lags relative to the bin after the last one
-    c = counts.join(F.broadcast(bins), "time_bin")
+    c = counts.join(bins, "time_bin")
     sends = c.withColumn("_k", (F.lit(nb + 1) - F.col("bin_no")).cast("int")).where(
         (F.col("_k") >= 1) & (F.col("_k") <= seq_len))
     last = sends.groupBy("cell_id").pivot("_k", list(range(1, seq_len + 1))).agg(F.sum("crime_count"))
@@ -166,6 +166,8 @@ def hotspot_forecast(incidents: DataFrame, cell_size: float = 500.0, seq_len: in
             .na.fill(0.0, ["lstm_pred_next24_count", "lstm_prob_24h", "kde_score"]))
     from ..session import cut_lineage
     grid = cut_lineage(grid)  # scored once; the min-max statistics read it again
+    cells.unpersist()
+    counts.unpersist()
     grid = grid.withColumns({
         "_c24": F.lit(W_FOREST) * F.col("rf_prob_24h") + F.lit(W_SEQUENCE) * F.col("lstm_prob_24h")
         + F.lit(W_DENSITY) * F.col("kde_score"),

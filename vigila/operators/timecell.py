@@ -83,7 +83,7 @@ def lag_sequences(counts: DataFrame, seq_len: int = 7) -> DataFrame:
     dense form are implied; :func:`zero_sequence_count` gives how many."""
     bins = bin_index(counts)
     nb = bins.agg(F.max("bin_no")).scalar()
-    c = counts.join(F.broadcast(bins), "time_bin").select("cell_id", "bin_no", "crime_count")
+    c = counts.join(bins, "time_bin").select("cell_id", "bin_no", "crime_count")
     sends = c.withColumn("_lag", F.explode(F.sequence(F.lit(0), F.lit(seq_len)))).select(
         "cell_id", (F.col("bin_no") + F.col("_lag")).alias("pos"), "_lag", "crime_count")
     sends = sends.where((F.col("pos") >= seq_len) & (F.col("pos") <= nb))
@@ -91,7 +91,7 @@ def lag_sequences(counts: DataFrame, seq_len: int = 7) -> DataFrame:
         F.sum(F.when(F.col("_lag") == 0, F.col("crime_count")).otherwise(0)).alias("target"),
         *[F.sum(F.when(F.col("_lag") == k, F.col("crime_count")).otherwise(0)).alias(f"lag_{k}")
           for k in range(1, seq_len + 1)])
-    return agg.join(F.broadcast(bins.withColumnRenamed("bin_no", "pos")), "pos") \
+    return agg.join(bins.withColumnRenamed("bin_no", "pos"), "pos") \
         .select("cell_id", "time_bin", *[f"lag_{k}" for k in range(1, seq_len + 1)],
                 F.col("target").cast("long").alias("target"))
 

@@ -18,6 +18,7 @@ from ..sources.readers import path_exists
 from ..functions.geo import merc_x, merc_y
 from ..operators.normalize import parse_time, parse_number
 from ..operators.spatial import cell_id
+from .progress import PollLog
 
 # Default column layout of arriving files (CSV columns bind by position
 # under a given schema, so the folder's layout is part of the stream spec).
@@ -111,15 +112,22 @@ def alert_sink(table_path: str):
 
 def start_alerts(spark: SparkSession, folder: str, grid: DataFrame, params: dict, table_path: str,
                  checkpoint: str, threshold: float = 0.7, trigger: dict | None = None,
-                 max_files: int = 5, columns=DEFAULT_COLUMNS):
+                 max_files: int = 5, columns=DEFAULT_COLUMNS, poll_path: str | None = None, name: str = "alerts"):
     """X1-X7 wired together; ``trigger`` defaults to ``availableNow``
-    (use ``{"processingTime": "60 seconds"}`` for a polling cadence, X2)."""
+    (use ``{"processingTime": "60 seconds"}`` for a polling cadence, X2).  With
+    ``poll_path`` every poll of the query ``name`` is appended to a table there (X7); the
+    listener is the query's ``poll_log``."""
+    log = PollLog(spark, name, poll_path) if poll_path else None
+    if log:
+        spark.streams.addListener(log)
     s = prepare_incidents(incident_file_stream(spark, folder, max_files, columns=columns))
     counts = alert_counts(s, grid, params, threshold)
     w = (counts.writeStream.outputMode("update").foreachBatch(alert_sink(table_path))
          .option("checkpointLocation", checkpoint))
-    w = w.trigger(**(trigger or {"availableNow": True}))
-    return w.start()
+    w = w.queryName(name).trigger(**(trigger or {"availableNow": True}))
+    query = w.start()
+    query.poll_log = log
+    return query
 
 
 def alert_history(spark: SparkSession, table_path: str, n: int = 20) -> DataFrame:
