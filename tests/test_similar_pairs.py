@@ -75,3 +75,15 @@ def test_empty_and_refused(spark):
     assert S.similar_pairs(none, 0.5).count() == 0
     with pytest.raises(ValueError):
         S.similar_pairs(none, 0.0)
+
+
+def test_rank_ensemble_is_the_mean_percent_rank(spark):
+    from vigila.operators import links as L
+    e = graph(spark, random_pairs(7, 40, 120))
+    pairs = S.similar_pairs(e, 0.2).select("u", "v")
+    rows = L.heuristic_link_scores(e, pairs, rank_ensemble=True).collect()
+    names = ["jaccard", "adamic_adar", "pref_attach", "resource_alloc"]
+    assert len(rows) == pairs.count() > 10
+    for r in rows:
+        want = sum(sum(x[c] < r[c] for x in rows) / (len(rows) - 1) for c in names) / 4
+        assert abs(r["score_rank"] - want) < 1e-9

@@ -145,13 +145,20 @@ def heuristic_link_scores(edges: DataFrame, pairs: DataFrame, rank_ensemble: boo
     """Jaccard, Adamic-Adar, preferential attachment and resource
     allocation for all of the given ``pairs`` (u, v), their plain
     mean as ``score_ensemble``; highest first.  ``rank_ensemble`` adds the
-    mean of per-score percentile ranks, since attachment dominates the mean."""
+    mean of per-score percentile ranks, since attachment dominates the mean; the
+    ranks come from running counts over distinct scores, cut into ranges."""
+    from .aggregates import prefix_sums
     f = pair_features(edges, pairs)
     f = f.withColumn("score_ensemble", (F.col("jaccard") + F.col("adamic_adar") + F.col("pref_attach")
                                         + F.col("resource_alloc")) / F.lit(4.0))
     if rank_ensemble:
-        f = f.withColumn("score_rank", sum(F.percent_rank().over(W.orderBy(c))
-                                           for c in ["jaccard", "adamic_adar", "pref_attach", "resource_alloc"]) / 4)
+        f = cut_lineage(f)
+        last = F.greatest(f.agg(F.count(F.lit(1)) - 1).scalar(), F.lit(1))
+        names = ["jaccard", "adamic_adar", "pref_attach", "resource_alloc"]
+        for c in names:
+            below = prefix_sums(cut_lineage(f.groupBy(c).agg(F.count(F.lit(1)).alias("n"))), c, ["n"], inclusive=False)
+            f = f.join(below.select(c, (F.col("cum_n") / last).alias(f"_r_{c}")), c)
+        f = f.withColumn("score_rank", sum(F.col(f"_r_{c}") for c in names) / 4)
     return f.select("u", "v", "jaccard", "adamic_adar", "pref_attach", "resource_alloc", "score_ensemble",
                     *(["score_rank"] if rank_ensemble else []))
 
