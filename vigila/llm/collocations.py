@@ -47,7 +47,7 @@ from .common import text_of, written
 SHARDS = 2
 SLOTS = 1 << 22
 #: Bytes of text whose counts are added up at once in a task.
-GROUP_BYTES = 6_000_000
+GROUP_BYTES = 3_000_000
 #: The scan of a slot that has not reached the threshold.
 NEVER = 127
 
@@ -76,7 +76,9 @@ def _phrases(lang: str, text: bytes, reached: list[np.ndarray], longest: int, be
     tokens = words_of(text)
     flat = np.empty(len(tokens), object)
     flat[:] = tokens
+    del tokens
     code, vocab = pd.factorize(flat)
+    del flat
     seed = xxhash.xxh32_intdigest(lang.encode())
     hashes = np.array([xxhash.xxh64_intdigest(w, seed) for w in vocab], np.uint64)
     wall = vocab == b"\n" if len(vocab) else np.zeros(0, bool)
@@ -114,8 +116,9 @@ def _groups(batches):
     """(language, text) of groups of whole documents, joined by line feeds."""
     held: dict[str, list[bytes]] = {}
     sizes: dict[str, int] = {}
-    for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+    parts = (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500))
+    for part in parts:
+        for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()):
             text = text.encode()
             held.setdefault(lang, []).append(text)
             sizes[lang] = sizes.get(lang, 0) + len(text)
