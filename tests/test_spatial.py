@@ -1,5 +1,6 @@
 """Spatial operators against brute force."""
 
+import datetime as dt
 import math
 
 import numpy as np
@@ -145,3 +146,35 @@ def test_medians_of_several_columns_at_once(spark):
     assert got["b"] == pytest.approx(np.median([r[1] for r in rows if r[1] is not None]))
     assert got["c"] == 7.0 and got["d"] is None
     assert FE.exact_medians(df.limit(0), ["a"]) == {"a": None} and FE.exact_medians(df, []) == {}
+
+
+def test_a_reach_touches_two_buckets_an_axis(spark):
+    at = spark.range(2000).select((F.rand(1) * 1e5).alias("x"))
+    n = at.select(F.size(S._buckets_near(F.col("x"), F.lit(500.0))).alias("n")).agg(F.avg("n"), F.max("n")).first()
+    assert n[0] < 2.1 and n[1] <= 3
+
+
+def test_matches_at_the_limits(spark):
+    """Pairs that lie exactly at the window's and the radius' ends, and a radius of 0."""
+    t0 = dt.datetime(2024, 1, 1, 12)
+    cal = spark.createDataFrame([(f"C{m}", t0 + dt.timedelta(minutes=m), 28.5, 77.0) for m in (-61, -60, 0, 59, 60, 61)],
+                                "cdr_id string, start_time timestamp_ntz, tower_lat double, tower_lon double")
+    cal = cal.withColumns({"caller_id": F.lit("a"), "receiver_id": F.lit("b"), "duration_seconds": F.lit(1.0)})
+    inc = spark.createDataFrame([("I0", t0, 28.5, 77.0)], "fir_id string, date_time timestamp_ntz, latitude double, longitude double")
+    for radius in (0.0, 500.0):
+        for metric in ("mercator", "haversine"):
+            got = S.call_incident_matches(cal, inc, 60, radius, metric).select("cdr_id").collect()
+            assert sorted(r[0] for r in got) == ["C-60", "C0", "C59", "C60"]
+
+
+def test_near_pairs_with_radius_zero(spark):
+    pts = spark.createDataFrame([("a", 28.5, 77.0), ("b", 28.6, 77.0)], "id string, lat double, lon double")
+    for metric in ("haversine", "degree", "mercator"):
+        got = S.near_pairs(pts, pts, 0.0, metric).select("left_id", "right_id").collect()
+        assert sorted(map(tuple, got)) == [("a", "a"), ("b", "b")]
+
+
+def test_near_tower_shuffles_no_pairs(spark):
+    from vigila.plans.spatial_queries import q_near_tower
+    plan = q_near_tower(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan.split("Join")[0]

@@ -46,8 +46,9 @@ def q_near_tower(spark, sf):
     towers = _towers(clean_calls_df(spark, sf)).select(
         F.round("lat", 6).alias("tlat"), F.round("lon", 6).alias("tlon"), "id", "lat", "lon")
     p = S.near_pairs(inc, towers.select("id", "lat", "lon"), TOWER_RADIUS, "haversine")
+    # incidents and towers are distinct, so pairs are too
     return p.select(F.col("left_id").alias("fir_id"), F.col("right_id").alias("tower"),
-                    r6("distance_m").alias("distance_m")).distinct()
+                    r6("distance_m").alias("distance_m"))
 
 
 SQL_near_tower = _with(SQL_INCIDENT, SQL_CALL, """
