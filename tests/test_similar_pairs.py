@@ -87,3 +87,25 @@ def test_rank_ensemble_is_the_mean_percent_rank(spark):
     for r in rows:
         want = sum(sum(x[c] < r[c] for x in rows) / (len(rows) - 1) for c in names) / 4
         assert abs(r["score_rank"] - want) < 1e-9
+
+
+@pytest.mark.parametrize("whole,block,groups", [(1 << 18, 20, 1), (1 << 18, 20, 50), (6, 20, 4096), (1, 1000, 4096)])
+def test_blocks_groups_and_large_sets(spark, monkeypatch, whole, block, groups):
+    """Many blocks, groups of prefix items, and sets too large for a task."""
+    monkeypatch.setattr(S, "WHOLE", whole)
+    monkeypatch.setattr(S, "BLOCK", block)
+    monkeypatch.setattr(S, "GROUPS", groups)
+    pairs = random_pairs(11, 40, 200)
+    for t, least in ((0.3, 2), (0.6, 1)):
+        got = sorted((r["u"], r["v"], r["cn"], round(r["jaccard"], 9)) for r in S.similar_pairs(graph(spark, pairs), t, least).collect())
+        assert got == brute(pairs, t, least) and got
+
+
+def test_candidates_are_not_shuffled(spark):
+    """Callers of the same few numbers: nearly every pair shares one, few are alike."""
+    rnd = random.Random(4)
+    pairs = [(f"c{i}", f"r{x}") for i in range(120) for x in rnd.sample(range(40), 8)]
+    got = S.similar_pairs(graph(spark, pairs), 0.5, 2)
+    assert got.count() == len(brute(pairs, 0.5, 2)) > 0
+    work = S._held_pairs(S.neighbour_sets(graph(spark, pairs)).withColumn("size", F.lit(8)), 0.5, 2)
+    assert "Aggregate" not in work._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroupsInArrow")[0]
