@@ -252,3 +252,48 @@ def test_empty_graph_has_empty_centralities(spark):
     none = n.limit(0)
     assert GA.eigenvector(none, e).count() == 0
     assert GA.centrality_table(none, e).count() == 0
+
+
+@pytest.mark.parametrize("whole", [1 << 18, 4])
+def test_pair_features_in_blocks_and_by_joins(spark, monkeypatch, whole):
+    """Nodes that no task holds, a node without edges, both orders, a pair twice."""
+    monkeypatch.setattr(L, "WHOLE", whole)
+    nodes, edges = random_graph(seed=8, n=20, m=60)
+    n, e = graph(spark, nodes, edges)
+    adj = _bfs_all(nodes, edges)
+    pairs = [(u, v) for u in nodes for v in nodes if u != v] + [(nodes[0], "none"), (nodes[0], nodes[1])]
+    adj["none"] = set()
+    nbrs = L.neighbour_table(e)
+    got = {(r.u, r.v): r for r in L.pair_features(e, spark.createDataFrame(pairs, "u string, v string"), nbrs).collect()}
+    assert len(got) == len(set(pairs))
+    for u, v in set(pairs):
+        r, cn = got[(u, v)], adj[u] & adj[v]
+        assert (r.cn, r.deg_u, r.deg_v, r.pref_attach) == (len(cn), len(adj[u]), len(adj[v]), len(adj[u]) * len(adj[v]))
+        assert r.adamic_adar == pytest.approx(sum(1 / math.log(len(adj[w])) for w in cn))
+        assert r.resource_alloc == pytest.approx(sum(1 / len(adj[w]) for w in cn))
+        assert r.jaccard == pytest.approx(len(cn) / len(adj[u] | adj[v]))
+
+
+def test_pairs_meet_no_neighbours_in_joins(spark):
+    nodes, edges = random_graph(seed=9, n=20, m=60)
+    _, e = graph(spark, nodes, edges)
+    pairs = spark.createDataFrame([(nodes[0], nodes[1])], "u string, v string")
+    assert "Join" not in L.pair_features(e, pairs)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_are_scored_in_portions(monkeypatch):
+    import pyarrow as pa
+    rows = {f"n{i}": sorted({(i * j) % 11 for j in range(1, 5)}) for i in range(12)}
+    none = [None] * len(rows)
+    nodes = pa.RecordBatch.from_arrays(
+        [pa.array([0] * len(rows)), pa.array(rows), pa.array(none, pa.string()), pa.array([len(x) for x in rows.values()], pa.int32()),
+         pa.array(list(rows.values()), pa.list_(pa.int64())), pa.array([[5] * len(x) for x in rows.values()], pa.list_(pa.int32()))],
+        names=["at", "u", "v", "deg", "code", "degs"])
+    u, v = zip(*[(a, b) for a in rows for b in rows])
+    empty = [None] * len(u)
+    asked = pa.RecordBatch.from_arrays([pa.array([1] * len(u)), pa.array(u), pa.array(v), pa.array(empty, pa.int32()),
+                                        pa.array(empty, pa.list_(pa.int64())), pa.array(empty, pa.list_(pa.int32()))], schema=nodes.schema)
+    monkeypatch.setattr(L, "LOOKUPS", 3)
+    monkeypatch.setattr(L, "PAIRS", 10)
+    got = [r for b in L._scored(iter([nodes, asked.slice(0, 37), asked.slice(37)])) for r in b.to_pylist()]
+    assert {(r["u"], r["v"]): r["cn"] for r in got} == {(a, b): len(set(rows[a]) & set(rows[b])) for a in rows for b in rows}
