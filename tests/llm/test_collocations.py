@@ -121,3 +121,20 @@ def test_scores_pass_64_bits(spark):
     df = spark.createDataFrame(rows, "lang string, a long, k int, l long")
     got = df.select(collocations.score_of("a", "l", "l").alias("s")).first()["s"]
     assert got == 10 ** 6 * 9 * 10 ** 24 // (25 * 10 ** 24)
+
+
+def test_texts_are_written_in_slices(monkeypatch):
+    """The closing cycle hands on few phrases at a time, and all of them."""
+    import numpy as np
+    import pyarrow as pa
+    from vigila.llm import collocations as C
+
+    class Sent:
+        value = np.zeros(64, np.int8).tobytes()
+    monkeypatch.setattr(C, "SLICE", 7)
+    text = " ".join(f"w{i % 13}" for i in range(200))
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array([text])], names=["lang", "text"])
+    out = list(C._close([Sent, Sent], 3, 0)(iter([batch])))
+    assert max(b.num_rows for b in out) == 7
+    rows = {(r["length"], r["phrase"]): r["n"] for b in out for r in b.to_pylist()}
+    assert rows[0, ""] == 200 and rows[1, "w0"] == 16 and rows[3, "w12 w0 w1"] == 15 and len(rows) == 1 + 3 * 13

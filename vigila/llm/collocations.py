@@ -38,6 +38,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,6 +49,8 @@ SHARDS = 2
 SLOTS = 1 << 22
 #: Bytes of text whose counts are added up at once in a task.
 GROUP_BYTES = 3_000_000
+#: Phrases whose texts are written out at once.
+SLICE = 20_000
 #: The scan of a slot that has not reached the threshold.
 NEVER = 127
 
@@ -146,6 +149,12 @@ def _scan(scan: int, sent: list, longest: int, shards: int):
     return count
 
 
+def _counted(lang: str, length: int, texts: pa.Array, n) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([lang] * len(n), pa.string()), pa.array(np.full(len(n), length, np.int32)), texts.cast(pa.string()),
+         pa.array(n, pa.int64())], names=["lang", "length", "phrase", "n"])
+
+
 def _close(sent: list, longest: int, open_from: int):
     """Counts by text of the phrases that may reach the threshold; the number of all
     words as a phrase of length 0."""
@@ -154,20 +163,16 @@ def _close(sent: list, longest: int, open_from: int):
         for lang, text in _groups(batches):
             found = _phrases(lang, text, reached, longest, NEVER, open_from)
             vocab, size = next(found)
-            parts = [(0, [b""], [size])]
+            vocab = pa.array(vocab, pa.binary())
+            yield _counted(lang, 0, pa.array([b""], pa.binary()), [size])
             for length, words, hashes, n, latest in found:
                 pick = np.full(len(n), True)
                 if length < longest:
                     pick = (reached[length - 1][_slot(hashes, len(reached[0]))] < NEVER) | (latest >= open_from)
-                texts = vocab[words[pick, 0]]
-                for i in range(1, length):
-                    texts = texts + b" " + vocab[words[pick, i]]
-                parts.append((length, texts, n[pick]))
-            for length, texts, n in parts:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(n), pa.string()), pa.array(np.full(len(n), length, np.int32)),
-                     pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())],
-                    names=["lang", "length", "phrase", "n"])
+                words, n = words[pick], n[pick]
+                for at in range(0, len(n), SLICE):
+                    texts = [vocab.take(pa.array(w)) for w in words[at:at + SLICE].T]
+                    yield _counted(lang, length, pc.binary_join_element_wise(*texts, b" "), n[at:at + SLICE])
     return count
 
 
