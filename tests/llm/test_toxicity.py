@@ -112,3 +112,11 @@ def test_empty_table(spark):
     docs, labels = tables(spark, 4)
     assert toxicity.score_toxicity(docs.limit(0), labels).count() == 0
     assert toxicity.score_toxicity(docs.limit(0), labels.limit(0)).count() == 0
+
+
+def test_the_fit_repeats_to_the_last_digit(spark):
+    """Rows that come in another order and in other partitions give the same scores."""
+    docs, labels = tables(spark)
+    one, two = (toxicity.score_toxicity(d, x).select("doc.doc_id", "score").collect() for d, x in (
+        (docs, labels), (docs.repartition(7, "doc_id"), labels.repartition(5))))
+    assert sorted(map(tuple, one)) == sorted(map(tuple, two))

@@ -280,7 +280,8 @@ def fit_label_model(read: DataFrame, known: DataFrame) -> LabelModel:
     label: at most 3 * 2^(number of voters) rows."""
     by_key = read.where("learn").groupBy("key", "votes").agg(F.count(F.lit(1)).alias("n"))
     n = (by_key.join(known, F.col("key") == F.col("label_key"), "left")
-         .groupBy("votes", "toxic").agg(F.sum("n").alias("n")).toPandas())
+         .groupBy("votes", "toxic").agg(F.sum("n").alias("n")).toPandas()
+         .sort_values(["votes", "toxic"], ignore_index=True))  # sums of floats depend on the order
     label, counts = n["toxic"].fillna(-1).to_numpy(int), n["n"].to_numpy(float)
     some = counts[label >= 0].sum()
     prior = counts[label == 1].sum() / some if some else 0.1
@@ -303,8 +304,10 @@ def fit_classifier(read: DataFrame, known: DataFrame, model: LabelModel, size: i
     p = rows.select("at", "value", "n", F.coalesce(F.col("toxic").cast("double"), posterior("votes")).alias("p"))
     both = F.array(F.struct(F.lit(1.0).alias("label"), (F.col("n") * F.col("p")).alias("weight")),
                    F.struct(F.lit(0.0).alias("label"), (F.col("n") * (1 - F.col("p"))).alias("weight")))
-    data = written(p.select(vector("at", "value").alias("features"), F.explode(both).alias("x"))
-                   .select("features", "x.label", "x.weight").where("weight > 0"))
+    data = written(p.select("at", "value", vector("at", "value").alias("features"), F.explode(both).alias("x"))
+                   .select("at", "value", "features", "x.label", "x.weight").where("weight > 0"))
+    # about FITTED rows at most: one partition in a fixed order, so that sums of floats repeat
+    data = data.coalesce(1).sortWithinPartitions("at", "value", "label", "weight").select("features", "label", "weight")
     if data.select("label").distinct().count() < 2:
         return np.zeros(size), math.log(model.share[1] / model.share[0])
     fitted = LogisticRegression(weightCol="weight", regParam=1e-4, maxIter=60, standardization=False).fit(data)
