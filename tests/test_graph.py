@@ -297,3 +297,15 @@ def test_pairs_are_scored_in_portions(monkeypatch):
     monkeypatch.setattr(L, "PAIRS", 10)
     got = [r for b in L._scored(iter([nodes, asked.slice(0, 37), asked.slice(37)])) for r in b.to_pylist()]
     assert {(r["u"], r["v"]): r["cn"] for r in got} == {(a, b): len(set(rows[a]) & set(rows[b])) for a in rows for b in rows}
+
+
+def test_rounds_compare_no_strings(spark):
+    """Closeness searches and eigenvector rounds run on numbers; the names come back at the end."""
+    nodes, edges = random_graph(seed=12, n=20, m=60)
+    n, e = graph(spark, nodes, edges)
+    names, coded, _ = GA.coded(n, e)
+    assert [f.dataType.simpleString() for f in coded.schema] == ["bigint", "bigint"]
+    assert names.select("code").distinct().count() == names.count() == len(nodes)
+    near = GA.bfs_distances(coded, names.limit(1).select(F.col("code").alias("id")))
+    assert dict(near.dtypes)["node"] == "bigint"
+    assert {r.id for r in GA.eigenvector(n, e).collect()} == set(nodes)
