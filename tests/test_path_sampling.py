@@ -128,3 +128,22 @@ def test_refusals_and_odd_graphs(spark):
 
 def test_samples_do_not_grow_with_the_nodes():
     assert P.samples_needed(20, 0.05, 0.1) == P.samples_needed(21, 0.05, 0.1) < 2000
+
+
+@pytest.mark.parametrize("weight", [None, "w"])
+def test_only_pairs_with_a_path_are_searched(spark, monkeypatch, weight):
+    pairs = [(f"{c}{i}", f"{c}{i + 1}", 1 + i % 3) for c in "abc" for i in range(6)]
+    n, e = graph(spark, pairs, ["alone1", "alone2"])
+    name = "sample_weighted_paths" if weight else "sample_paths"
+    search, searched = getattr(P, name), []
+
+    def watched(adj, pairs, seed, *more):
+        places = {r["id"]: r["component"] for r in P.connected_components(
+            adj.selectExpr("src as id").distinct(), adj.select("src", "dst")).collect()}
+        searched.extend((places[r["s"]], places[r["t"]]) for r in pairs.collect())
+        return search(adj, pairs, seed, *more)
+    monkeypatch.setattr(P, name, watched)
+    rows = P.sampled_betweenness(n, e, weight, epsilon=0.1).collect()
+    assert searched and all(a == b for a, b in searched)
+    want = exact([r["id"] for r in rows], pairs, bool(weight))
+    assert all(abs(r["betweenness"] - want[r["id"]]) <= r["error"] for r in rows)
