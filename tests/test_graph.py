@@ -309,3 +309,18 @@ def test_rounds_compare_no_strings(spark):
     near = GA.bfs_distances(coded, names.limit(1).select(F.col("code").alias("id")))
     assert dict(near.dtypes)["node"] == "bigint"
     assert {r.id for r in GA.eigenvector(n, e).collect()} == set(nodes)
+
+
+@pytest.mark.parametrize("hubs", [0, 2, 2048])
+def test_closeness_hll_with_hubs_of_many_neighbours(spark, hubs):
+    nodes = [f"h{i}" for i in range(3)] + [f"n{i:03d}" for i in range(210)] + ["alone"]
+    edges = [(f"h{i % 3}", f"n{i:03d}") for i in range(210)] + [(f"h{(i + 1) % 3}", f"n{i:03d}") for i in range(0, 210, 7)]
+    edges += [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(0, 200, 11)] + [("h0", "h0"), ("h0", "n000")]
+    n, e = graph(spark, nodes, edges)
+    threshold = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    conf = spark.conf.get(threshold)
+    exact = {r.id: r.closeness for r in GA.closeness(n, e, n).collect()}
+    approx = {r.id: r.closeness for r in GA.closeness_hll(n, e, hubs=hubs, checkpoint_every=2).collect()}
+    assert set(approx) == set(exact) and approx["alone"] == 0
+    assert all(approx[v] == pytest.approx(exact[v], rel=0.03) for v in nodes)
+    assert spark.conf.get(threshold) == conf
