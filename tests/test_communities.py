@@ -99,3 +99,16 @@ def test_odd_graphs(spark):
     bad = spark.createDataFrame([("a", "b", 0.0)], "src string, dst string, w double")
     with pytest.raises(ValueError):
         C.louvain(ids, bad, weight="w")
+
+
+def test_edges_of_a_level_are_cached_where_rounds_look(spark, monkeypatch):
+    rounds, seen = C._rounds, []
+
+    def watched(table, state, *more):
+        plan = table.join(state.select(F.col("id").alias("dst"), "comm"), "dst")._jdf.queryExecution().executedPlan().toString()
+        seen.append((table.storageLevel.useMemory, plan.split("InMemoryTableScan")[0], table.where("src = dst").count(), state.count()))
+        return rounds(table, state, *more)
+    monkeypatch.setattr(C, "_rounds", watched)
+    n, e = graph(spark, [("a", "b"), ("b", "c"), ("a", "c"), ("d", "e")])
+    assert {r["id"]: r["community"] for r in C.louvain(n, e).collect()} == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "d"}
+    assert seen and all(cached and "REPARTITION_BY_NUM" not in plan and loops == ids for cached, plan, loops, ids in seen)
