@@ -324,3 +324,16 @@ def test_closeness_hll_with_hubs_of_many_neighbours(spark, hubs):
     assert set(approx) == set(exact) and approx["alone"] == 0
     assert all(approx[v] == pytest.approx(exact[v], rel=0.03) for v in nodes)
     assert spark.conf.get(threshold) == conf
+
+
+def test_only_nodes_of_pairs_are_dealt(spark, monkeypatch):
+    """Nodes that no pair asks for are not copied to blocks: few pairs of a large graph stay a small job."""
+    e = spark.range(3000).selectExpr("concat('p', id % 300) as src", "concat('c', id) as dst")
+    pairs = spark.createDataFrame([("p1", "p2"), ("c1", "p1"), ("none", "p3")], "u string, v string")
+    dealt = []
+    plain = type(spark.range(0)).sortWithinPartitions
+    monkeypatch.setattr(type(spark.range(0)), "sortWithinPartitions",
+                        lambda df, *c: dealt.append(df.where("v is null").count()) or plain(df, *c))
+    got = {(r.u, r.v): (r.cn, r.deg_u, r.deg_v) for r in L.pair_features(e, pairs).collect()}
+    assert got == {("p1", "p2"): (0, 10, 10), ("c1", "p1"): (0, 1, 10), ("none", "p3"): (0, 0, 10)}
+    assert dealt == [4 * 4]  # p1, p2, p3 and c1 in each of four blocks, of 3,300 nodes
