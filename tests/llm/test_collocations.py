@@ -138,3 +138,21 @@ def test_texts_are_written_in_slices(monkeypatch):
     assert max(b.num_rows for b in out) == 7
     rows = {(r["length"], r["phrase"]): r["n"] for b in out for r in b.to_pylist()}
     assert rows[0, ""] == 200 and rows[1, "w0"] == 16 and rows[3, "w12 w0 w1"] == 15 and len(rows) == 1 + 3 * 13
+
+
+def test_counts_are_shuffled_packed(spark):
+    """A group's phrases of a bucket cross the shuffle as one row, in scans and at the end."""
+    import pyarrow as pa
+    from vigila.llm import collocations as C
+    import numpy as np
+
+    class Sent:
+        value = np.zeros(64, np.int8).tobytes()
+    text = " ".join(f"w{i % 5000}" for i in range(20000))
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array([text])], names=["lang", "text"])
+    for rows, at in ((C._scan(1, [Sent, Sent], 2, 1), "hash"), (C._joined(C._close([Sent, Sent], 3, 0)), "phrases")):
+        out = [r for b in rows(iter([batch])) for r in b.to_pylist()]
+        lengths = {r["length"] for r in out}
+        assert sum(sum(r["n"]) for r in out if r["length"] == 2) == 19999
+        assert len(out) <= (len(lengths) + 1) * C.BUCKETS and max(len(r["n"]) for r in out) > 1
+        assert all(len(r["n"]) == len(r[at] if at == "hash" else r[at].split("\n")) for r in out)

@@ -17,8 +17,11 @@ early, and since activity is a function of the slots alone it still is counted
 in each shard once.  The tables are all that tasks get, whatever the size of the
 input; more phrases than slots cost rows to count, no result.
 
-Tasks add up a group of documents before they write; counts meet in aggregates
-by phrase, so no word, language or line gathers in a task.
+Tasks add up a group of documents before they write.  Counts are shuffled by one of
+``BUCKETS`` parts of a phrase's hash, those of a group and bucket in one row: in a scan
+as 32 more bits of the hash (phrases that share all bits are counted together, which may
+cost rows, no result), in the closing cycle as texts.  They meet in aggregates by phrase
+behind that shuffle, so no word, language or line gathers in a task.
 
 A candidate has n words, a = f(phrase) >= least.  Cut after k words it has
 l = f(first part), r = f(rest), score floor(10^6 a^2 / (l r)); its lowest cut
@@ -49,6 +52,8 @@ SHARDS = 2
 SLOTS = 1 << 22
 #: Bytes of text whose counts are added up at once in a task.
 GROUP_BYTES = 3_000_000
+#: Parts by which phrases are shuffled.
+BUCKETS = 1 << 11
 #: Phrases whose texts are written out at once.
 SLICE = 20_000
 #: The scan of a slot that has not reached the threshold.
@@ -115,6 +120,15 @@ def _slot(hashes: np.ndarray, slots: int) -> np.ndarray:
     return (hashes % np.uint64(slots)).astype(np.int64)
 
 
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(32)).astype(np.int64) % BUCKETS
+
+
+def _starts(bucket: np.ndarray) -> np.ndarray:
+    """Where each run of equal buckets begins; at last the end."""
+    return np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, np.int64)
+
+
 def _groups(batches):
     """(language, text) of groups of whole documents, joined by line feeds."""
     held: dict[str, list[bytes]] = {}
@@ -143,16 +157,23 @@ def _scan(scan: int, sent: list, longest: int, shards: int):
             for length, _, hashes, n, latest in found:
                 due = latest >= scan - shards
                 if due.any():
+                    hashes, n = hashes[due], n[due]
+                    order = np.argsort(bucket := _bucket(hashes), kind="stable")
+                    low = (hashes[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+                    starts = _starts(bucket[order])
+                    ends = pa.array(starts, pa.int32())
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(int(due.sum()), length, np.int8)), pa.array(hashes[due].view(np.int64)),
-                         pa.array(n[due].astype(np.int32))], names=["length", "hash", "n"])
+                        [pa.array(np.full(len(starts) - 1, length, np.int8)), pa.array(bucket[order][starts[:-1]].astype(np.int32)),
+                         pa.ListArray.from_arrays(ends, pa.array(low)),
+                         pa.ListArray.from_arrays(ends, pa.array(n[order].astype(np.int32)))],
+                        names=["length", "bucket", "hash", "n"])
     return count
 
 
-def _counted(lang: str, length: int, texts: pa.Array, n) -> pa.RecordBatch:
+def _counted(lang: str, length: int, bucket: np.ndarray, texts: pa.Array, n) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array([lang] * len(n), pa.string()), pa.array(np.full(len(n), length, np.int32)), texts.cast(pa.string()),
-         pa.array(n, pa.int64())], names=["lang", "length", "phrase", "n"])
+        [pa.array([lang] * len(n), pa.string()), pa.array(np.full(len(n), length, np.int32)), pa.array(bucket, pa.int32()),
+         texts.cast(pa.string()), pa.array(n, pa.int64())], names=["lang", "length", "bucket", "phrase", "n"])
 
 
 def _close(sent: list, longest: int, open_from: int):
@@ -164,22 +185,45 @@ def _close(sent: list, longest: int, open_from: int):
             found = _phrases(lang, text, reached, longest, NEVER, open_from)
             vocab, size = next(found)
             vocab = pa.array(vocab, pa.binary())
-            yield _counted(lang, 0, pa.array([b""], pa.binary()), [size])
+            yield _counted(lang, 0, np.zeros(1, np.int32), pa.array([b""], pa.binary()), [size])
             for length, words, hashes, n, latest in found:
                 pick = np.full(len(n), True)
                 if length < longest:
                     pick = (reached[length - 1][_slot(hashes, len(reached[0]))] < NEVER) | (latest >= open_from)
-                words, n = words[pick], n[pick]
+                bucket = _bucket(hashes[pick]).astype(np.int32)
+                order = np.argsort(bucket, kind="stable")
+                words, n, bucket = words[pick][order], n[pick][order], bucket[order]
                 for at in range(0, len(n), SLICE):
                     texts = [vocab.take(pa.array(w)) for w in words[at:at + SLICE].T]
-                    yield _counted(lang, length, pc.binary_join_element_wise(*texts, b" "), n[at:at + SLICE])
+                    yield _counted(lang, length, bucket[at:at + SLICE], pc.binary_join_element_wise(*texts, b" "), n[at:at + SLICE])
     return count
 
 
+def _joined(count):
+    """The same phrases, those of a bucket in one row, parted by line feeds."""
+    def join(batches):
+        for batch in count(batches):
+            starts = _starts(batch.column("bucket").to_numpy())
+            first, ends = pa.array(starts[:-1]), pa.array(starts, pa.int32())
+            texts = pc.binary_join(pa.ListArray.from_arrays(ends, batch.column("phrase")), "\n")
+            counts = pa.ListArray.from_arrays(ends, batch.column("n").cast(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(first) for c in ("lang", "length", "bucket")), texts, counts],
+                                             names=["lang", "length", "bucket", "phrases", "n"])
+    return join
+
+
+def _summed(rows: DataFrame, each: Column, keys: list[str], name: str) -> DataFrame:
+    """``keys, name, n``: the counts ``n`` of the values ``each`` of packed rows, added
+    up.  Rows are shuffled packed; all rows of a value are in one partition then."""
+    pairs = F.arrays_zip(each.alias("x"), F.col("n").alias("y"))
+    dealt = rows.repartition(*keys).select(*keys, F.explode(pairs).alias("p"))
+    return dealt.groupBy(*keys, F.col("p.x").alias(name)).agg(F.sum("p.y").alias("n"))
+
+
 def _reached(counts: DataFrame, length: int, least: int, slots: int) -> np.ndarray:
     """The slots of all phrases that have reached the threshold; the driver gets
     at most one number a slot."""
-    by = counts.where(F.col("length") == length).groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    by = _summed(counts.where(F.col("length") == length), F.col("hash"), ["length", "bucket"], "hash").where(F.col("n") >= least)
     slot = F.pmod("hash", F.lit(slots).cast("long")).cast("int").alias("slot")
     found = np.zeros(slots, bool)
     found[by.select(slot).distinct().toArrow()["slot"].to_numpy()] = True
@@ -205,9 +249,9 @@ def count_phrases(docs: DataFrame, least: int = 10, longest: int = 3, shards: in
     for scan in range(last + 1):
         with _sent(spark, tables) as sent:
             counts.append(written(given.where(shard == scan % shards).mapInArrow(
-                _scan(scan, sent, longest - 1, shards), "length byte, hash long, n int"), "zstd"))
+                _scan(scan, sent, longest - 1, shards), "length byte, bucket int, hash array<int>, n array<int>"), "zstd"))
         if scans is not None:
-            scans.append((scan, dict(counts[-1].groupBy("length").count().collect())))
+            scans.append((scan, dict(counts[-1].groupBy("length").agg(F.sum(F.size("n"))).collect())))
         sofar = reduce(DataFrame.unionByName, counts)
         for length in range(1, longest):
             # looked at as long as counts come in and something longer depends on it
@@ -217,8 +261,9 @@ def count_phrases(docs: DataFrame, least: int = 10, longest: int = 3, shards: in
     dropped(counts)
     # what scan 0 activated has been counted for a whole cycle, the rest has not
     with _sent(spark, tables) as sent:
-        total = written(given.mapInArrow(_close(sent, longest, last + 1 - shards), "lang string, length int, phrase string, n long")
-                        .groupBy("lang", "length", "phrase").agg(F.sum("n").alias("n"))
+        packed = given.mapInArrow(_joined(_close(sent, longest, last + 1 - shards)),
+                                  "lang string, length int, bucket int, phrases string, n array<int>")
+        total = written(_summed(packed, F.split("phrases", "\n"), ["lang", "length", "bucket"], "phrase").drop("bucket")
                         .where((F.col("n") >= least) | (F.col("length") == 0)))
     return total.where("length > 0"), total.where("length = 0").select("lang", F.col("n").alias("size"))
 
@@ -229,6 +274,8 @@ def dropped(tables: list[DataFrame]) -> None:
         for folder in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
             path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for spark in {t.sparkSession for t in tables}:
+        spark.sparkContext._jvm.System.gc()  # the shuffles behind what was read from them
 
 
 @contextmanager
