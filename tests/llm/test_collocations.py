@@ -156,3 +156,33 @@ def test_counts_are_shuffled_packed(spark):
         assert sum(sum(r["n"]) for r in out if r["length"] == 2) == 19999
         assert len(out) <= (len(lengths) + 1) * C.BUCKETS and max(len(r["n"]) for r in out) > 1
         assert all(len(r["n"]) == len(r[at] if at == "hash" else r[at].split("\n")) for r in out)
+
+
+def test_shuffles_go_with_their_step(spark, monkeypatch):
+    """No step's shuffle files are left when the closing cycle begins or is written."""
+    import time
+    from vigila.llm import collocations as C
+
+    def files():
+        disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        found = disk.getAllFiles().mkString("\n").split("\n")
+        return {f for f in found if "/shuffle_" in f}
+
+    def left(before):
+        for _ in range(50):  # they are deleted in the background
+            if not (found := files() - before):
+                break
+            time.sleep(0.1)
+        return len(found)
+
+    before, seen, close = files(), [], C._close
+    monkeypatch.setattr(C, "_close", lambda *a: seen.append(left(before)) or close(*a))
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    given = spark.conf.get(key, None)
+    rows = list(corpus(5, 60))
+    assert got(spark, rows) == brute(rows)
+    assert seen == [0] and spark.conf.get(key, None) == given
+    before = files()
+    total, _ = C.count_phrases(spark.createDataFrame(rows, "lang string, text string"), slots=1 << 12)
+    assert seen == [0, 0] and left(before) == 0
+    assert total.count() == total.count() > 50

@@ -21,7 +21,9 @@ Tasks add up a group of documents before they write.  Counts are shuffled by one
 ``BUCKETS`` parts of a phrase's hash, those of a group and bucket in one row: in a scan
 as 32 more bits of the hash (phrases that share all bits are counted together, which may
 cost rows, no result), in the closing cycle as texts.  They meet in aggregates by phrase
-behind that shuffle, so no word, language or line gathers in a task.
+behind that shuffle, so no word, language or line gathers in a task.  A shuffle's files
+go when the table behind it is written or its slots are read, so that the disk holds
+those of one step, not of all.
 
 A candidate has n words, a = f(phrase) >= least.  Cut after k words it has
 l = f(first part), r = f(rest), score floor(10^6 a^2 / (l r)); its lowest cut
@@ -236,9 +238,15 @@ def count_phrases(docs: DataFrame, least: int = 10, longest: int = 3, shards: in
     least ``least`` occurrences, ``lang, length, phrase, n``, and the number of
     all words by language, ``lang, size``.  ``docs`` has ``lang`` and ``text``;
     ``slots`` is a power of two.  ``scans`` receives (scan, rows by length), for tests."""
-    spark = docs.sparkSession
     if slots & (slots - 1):
         raise ValueError("slots must be a power of two")
+    with _freed(docs.sparkSession):
+        return _count_phrases(docs, least, longest, shards, slots, scans)
+
+
+def _count_phrases(docs: DataFrame, least: int, longest: int, shards: int, slots: int,
+                   scans: list | None) -> tuple[DataFrame, DataFrame]:
+    spark = docs.sparkSession
     text = text_of(F.col("text"))
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
     given = docs.select(lang.alias("lang"), text.alias("text"))
@@ -274,8 +282,20 @@ def dropped(tables: list[DataFrame]) -> None:
         for folder in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
             path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    for spark in {t.sparkSession for t in tables}:
-        spark.sparkContext._jvm.System.gc()  # the shuffles behind what was read from them
+
+
+@contextmanager
+def _freed(spark):
+    """Queries built and run in here delete their shuffles as they end; nothing reads
+    those again.  Else they stay until the driver's garbage is collected, the last
+    query's beyond that: the listener bus holds its plan until the next one runs."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 @contextmanager
