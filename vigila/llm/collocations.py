@@ -288,7 +288,8 @@ def dropped(tables: list[DataFrame]) -> None:
 def _freed(spark):
     """Queries built and run in here delete their shuffles as they end; nothing reads
     those again.  Else they stay until the driver's garbage is collected, the last
-    query's beyond that: the listener bus holds its plan until the next one runs."""
+    query's until another has run.  The setting is the session's: what other threads
+    build meanwhile is recomputed if it is run again."""
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key, None)
     spark.conf.set(key, "true")
