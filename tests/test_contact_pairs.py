@@ -9,6 +9,15 @@ from pyspark.sql import functions as F
 from vigila.operators import links as L
 
 
+def test_two_hubs_do_not_overflow(spark):
+    """The product of two degrees passes 32 bits."""
+    n = 47_000
+    e = spark.range(n).selectExpr("explode(array('a', 'b')) as src", "concat('c', id) as dst")
+    r = L.pair_features(e, spark.createDataFrame([("a", "b")], "u string, v string")).first()
+    assert (r.cn, r.pref_attach, r.deg_u, r.deg_v) == (n, n * n, n, n)
+    assert r.resource_alloc == pytest.approx(n / 2)
+
+
 def sample_calls(spark, seed=4, people=25, calls=400):
     rnd = np.random.default_rng(seed)
     rows = [(str(rnd.integers(people)), str(rnd.integers(8)), int(rnd.integers(0, 40_000))) for _ in range(calls)]
@@ -63,3 +72,13 @@ def test_contact_pairs_are_not_shuffled(spark):
     s = L.heuristic_link_scores(edges, L.shared_contact_pairs(calls, edges, "s"))
     plan = s._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Aggregate" not in plan and plan.count("Repartition") == 1
+
+
+def test_a_node_goes_to_the_blocks_of_its_pairs_only(spark, monkeypatch):
+    monkeypatch.setattr(L, "BLOCK", 250)
+    e = spark.range(2000).selectExpr("concat('p', id % 200) as src", "concat('c', id) as dst")
+    nbrs = L.neighbour_table(e)
+    rows, _ = L._dealt(nbrs, L.canonical_edges(e))
+    assert rows.where("v is null and name like 'c%'").count() == 2000
+    got = L.pair_features(e, L.canonical_edges(e), nbrs)
+    assert got.count() == 2000 and got.agg(F.min("deg_v"), F.max("deg_u")).first() == (10, 1)
